@@ -8,9 +8,11 @@ only where that setting is missing (single-machine tests).
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ ARROW_ROWS = 1024
 ARROW_BYTES = 8 << 20
 
 _local: list[str] = []
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,8 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="symloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, package.name), "zip", package.parent, package.name))
+
+
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so long texts cannot fill a Python worker."""
+    """Ship the code; keep Arrow batches small, so long texts cannot fill a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
