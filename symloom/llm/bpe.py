@@ -59,10 +59,7 @@ def encode_word(enc: tokens.Pieces, word: str) -> list[int]:
     """Ids of one split word, by the vocabulary's merges alone."""
     if enc.special.fullmatch(word):
         return [enc.lib.token_to_id(word)]
-    from tokenizers import pre_tokenizers
-
-    piece = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(word)
-    return [t.id for p, _ in piece for t in enc.lib.model.tokenize(p)]
+    return [t.id for t in enc.model.tokenize(tokens.byte_level(word))]
 
 
 def _blocks(path: str, emit_words: bool):

@@ -28,24 +28,40 @@ _BYTE = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 )
 
-#: Pieces a worker remembers, and the longest one worth remembering.
-MEMO_PIECES = 400_000
+#: Pieces of a generation (a worker remembers two), and the longest one worth it.
+MEMO_PIECES = 300_000
 MEMO_CHARS = 64
 
+# The byte-level alphabet: printable Latin-1 bytes stand for themselves, the
+# others for the characters from U+0100 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
+def byte_level(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_ALPHABET)
+
 
 class _Memo(dict):
     """piece -> its ids as little-endian bytes."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= MEMO_CHARS:
             self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        """Forget the pieces not met since the last time."""
+        self.old = dict(self)
+        self.clear()
+
 
 class Pieces:
     """Encoder for one vocabulary file; ids come as packed unsigned integers."""
@@ -61,13 +77,17 @@ class Pieces:
         self.lower = "</w>" in self._suffix()
         self.pattern = _WORD if self.lower else _BYTE
         self.memo = _Memo(self._of_piece)
+        self.model = self.lib.model
         self.special = re.compile("|".join(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()) or "(?!)")
 
     def _suffix(self) -> str:
         return getattr(self.lib.model, "end_of_word_suffix", None) or ""
 
     def _of_piece(self, piece: str) -> bytes:
-        return np.array(self.lib.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+        return np.array([t.id for t in self.model.tokenize(byte_level(piece))], self.dtype).tobytes()
+
+    def _of_text(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def split(self, text: str) -> list[str] | None:
         """The pieces in order, or None if only the library can split this text."""
@@ -78,9 +98,9 @@ class Pieces:
     def encode(self, text: str) -> bytes:
         pieces = self.split(text)
         if pieces is None:
-            return self._of_piece(text)
+            return self._of_text(text)
         if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
+            self.memo.age()
         return b"".join(map(self.memo.__getitem__, pieces))
 
 
