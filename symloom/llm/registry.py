@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
+from .minhash import op8_minhash
+from .packing import op6_packing
 from .token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op4_bpe": op4_bpe,
+    "op6_packing": op6_packing,
+    "op8_minhash": op8_minhash,
 }
 
 ORACLES: dict[str, str] = {}
