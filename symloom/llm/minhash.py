@@ -176,7 +176,7 @@ def _cross(percent: int, best: bool):
     """Pairs of different components from one pair of blocks of one bucket."""
     cut = T * (percent / 100) - SIGMAS * math.sqrt(T * percent / 100 * (1 - percent / 100))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         i, j = int(key[1]), int(key[2])
         left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]

@@ -143,7 +143,7 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
 
 
 def _pack(dtype: str, window: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         shard = key[0].as_py()
         rows = sorted(table.select(["doc_id", "row", "doc_tokens", "tail"]).to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["row"]))
         docs = [np.frombuffer(r["tail"], dtype) for r in rows]
