@@ -4,10 +4,11 @@ Documents are split into blocks of about ``BLOCK_WORDS`` words.  A block is a
 list of word numbers by position and a dictionary (number, word).  Only the
 dictionaries meet the distinct-word table: each distinct word is encoded once
 in the whole corpus, its ids are joined back to the blocks' dictionaries by
-word, and a block's numbers then become ids by position.  A word occurs once a
-block in that join, so frequent words cannot pile up.  Decoding looks up ids in
-the (id, piece) table of the vocabulary, which a worker holds whole (its size
-is that of the vocabulary file).
+word, and a block's numbers then become ids by position.  The ``HEAD`` words
+that occur in most blocks (of at most ``HEAD_CHARS`` characters, hence of
+bounded size) are broadcast instead; any other word meets the join, once a
+block.  Decoding looks up ids in the (id, piece) table of the vocabulary, which
+a worker holds whole (its size is that of the vocabulary file).
 
 Splitting is deterministic for an input partition: the two branches that read
 the documents number blocks and words alike.
@@ -34,6 +35,8 @@ from .common import load, materialise, texts, tune
 
 BLOCK_WORDS = 2_000_000
 BLOCK_DISTINCT = 1 << 18
+HEAD = 1 << 16
+HEAD_CHARS = 32
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -62,8 +65,11 @@ def encode_word(enc: tokens.Pieces, word: str) -> list[int]:
     return [t.id for t in enc.model.tokenize(tokens.byte_level(word))]
 
 
-def _blocks(path: str, emit_words: bool):
-    """Blocks of this partition: their dictionaries, or their documents."""
+def _blocks(path: str, emit_words: bool, head: dict[str, int] | None = None):
+    """Blocks of this partition: their dictionaries, or their documents.
+
+    In a document a head word stands as its place in the head, another word as
+    ``HEAD`` plus its number in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = tokens.pieces(path), TaskContext.get().partitionId()
@@ -74,7 +80,8 @@ def _blocks(path: str, emit_words: bool):
             if emit_words:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), block)), pa.array(np.arange(len(number)), pa.int32()), pa.array(list(number), pa.string())], ["block", "no", "word"])
             else:
-                seq = np.concatenate(seqs) if seqs else np.zeros(0, "<u4")
+                code = np.fromiter((head.get(w, HEAD + k) for k, w in enumerate(number)), "<u4", len(number))
+                seq = code[np.concatenate(seqs)] if number else np.zeros(0, "<u4")
                 planes = zstandard.compress(seq.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([planes], pa.binary())], ["block", "doc_ids", "lengths", "seq"])
 
@@ -104,39 +111,43 @@ def _encode_words(path: str):
         enc = tokens.pieces(path)
         for batch in batches:
             words = batch.column(0)
-            yield pa.RecordBatch.from_arrays([words, pa.array([encode_word(enc, w) for w in words.to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([words, pa.array([np.array(encode_word(enc, w), enc.dtype).tobytes() for w in words.to_pylist()], pa.binary())], ["word", "ids"])
 
     return run
 
 
-def word_table(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
-    """Dictionaries ``(block, no, word)`` and the table ``(word, ids)``."""
-    entries = materialise(texts(docs).mapInArrow(_blocks(tokenizer, True), "block long, no int, word string"), "bpe-words")
-    table = entries.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word").mapInArrow(_encode_words(tokenizer), "word string, ids array<int>")
-    return entries, table
-
-
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """One row a block: its documents, their word numbers by position, and the
-    ids of each number.  ``per_document`` turns that into rows a document."""
-    tune(docs.sparkSession)
-    entries, table = word_table(docs, tokenizer)
-    known = entries.join(table, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("words"))
-    blocks = texts(docs).mapInArrow(_blocks(tokenizer, False), "block long, doc_ids array<bigint>, lengths array<int>, seq binary")
-    return blocks.join(known, "block", "left").select("doc_ids", "lengths", "seq", F.col("words.ids").alias("word_ids"))
-
-
-def _documents(path: str, digest: bool):
+def encode(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, list[str]]:
+    """One row a block: its documents, their word codes by position, and the
+    ids of the words outside the head; and the head.  ``per_document`` turns
+    that into rows a document."""
+    spark = docs.sparkSession
+    tune(spark)
+    rows = texts(docs)
+    entries = materialise(rows.mapInArrow(_blocks(tokenizer, True), "block long, no int, word string"), "bpe-entries")
+    distinct = materialise(entries.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
+    head = [r["word"] for r in distinct.filter(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    known = F.broadcast(spark.createDataFrame([(w,) for w in head], "word string"))
+    ids = distinct.select("word").join(known, "word", "left_anti").mapInArrow(_encode_words(tokenizer), "word string, ids binary")
+    tail = entries.join(known, "word", "left_anti").join(ids, "word").groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("words"))
+    place = {w: i for i, w in enumerate(head)}
+    blocks = rows.mapInArrow(_blocks(tokenizer, False, place), "block long, doc_ids array<bigint>, lengths array<int>, seq binary")
+    return blocks.join(tail, "block", "left").select("doc_ids", "lengths", "seq", F.col("words.no").alias("no"), F.col("words.ids").alias("ids")), head
+
+
+def _documents(path: str, head: list[str], digest: bool):
     def run(batches):
         enc = tokens.pieces(path)
         piece = [enc.lib.id_to_token(i) or "" for i in range(enc.size)]
+        common = [encode_word(enc, w) for w in head]
+        fill = [[]] * (HEAD - len(head))
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, lens = (batch.column(c)[row].as_py() for c in (0, 1))
-                raw = zstandard.decompress(batch.column(2)[row].as_py())
-                seq = np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
-                cell = batch.column(3)[row]
-                of = [] if not cell.is_valid else cell.values.to_pylist()
+                doc_ids, lens, raw, no, packed = (batch.column(c)[row].as_py() for c in range(5))
+                seq = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
+                local = [[]] * (max(no) + 1 if no else 0)
+                for k, x in zip(no or (), packed or (), strict=True):
+                    local[k] = np.frombuffer(x, enc.dtype).tolist()
+                of = [*common, *fill, *local]
                 count = np.array([len(x) for x in of], np.int64)
                 if digest:
                     ids_of = [" ".join(map(str, x)).encode() for x in of]
@@ -146,10 +157,9 @@ def _documents(path: str, digest: bool):
                     own = seq[at : at + n]
                     at += n
                     if digest:
-                        numbers = own.tolist()
-                        if len(count) and n and not count[own].all():
-                            numbers = [k for k in numbers if count[k]]
-                        out.append((doc_id, int(count[own].sum()) if n else 0, hashlib.sha256(b" ".join(map(ids_of.__getitem__, numbers))).hexdigest(), hashlib.sha256(b" ".join(map(text_of.__getitem__, numbers))).hexdigest()))
+                        each = count[own]
+                        numbers = own.tolist() if each.all() else own[each > 0].tolist()
+                        out.append((doc_id, int(each.sum()), hashlib.sha256(b" ".join(map(ids_of.__getitem__, numbers))).hexdigest(), hashlib.sha256(b" ".join(map(text_of.__getitem__, numbers))).hexdigest()))
                     else:
                         ids = [i for k in own.tolist() for i in of[k]]
                         out.append((doc_id, ids, " ".join(map(piece.__getitem__, ids))))
@@ -169,11 +179,12 @@ def _rows(out: list, digest: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.string())], ["doc_id", "ids", "decoded"])
 
 
-def per_document(blocks: DataFrame, tokenizer: str) -> DataFrame:
-    """``(doc_id, ids, decoded)`` from ``encode``'s blocks."""
-    return blocks.mapInArrow(_documents(tokenizer, False), "doc_id long, ids array<int>, decoded string")
+def per_document(blocks: DataFrame, head: list[str], tokenizer: str) -> DataFrame:
+    """``(doc_id, ids, decoded)`` from what ``encode`` returns."""
+    return blocks.mapInArrow(_documents(tokenizer, head, False), "doc_id long, ids array<int>, decoded string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.public("word_bpe_49k.json")
-    return encode(load(spark, sf_dir, "documents"), path).mapInArrow(_documents(path, True), OUT)
+    blocks, head = encode(load(spark, sf_dir, "documents"), path)
+    return blocks.mapInArrow(_documents(path, head, True), OUT)
