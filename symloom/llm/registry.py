@@ -6,12 +6,14 @@ from .bpe import op4_bpe
 from .langid import op3_language_id
 from .minhash import op8_minhash
 from .packing import op6_packing
+from .pii import op5_pii
 from .token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op8_minhash": op8_minhash,
 }
