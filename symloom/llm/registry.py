@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .fingerprint import op10_fingerprint
 from .langid import op3_language_id
+from .media import op2_media
 from .minhash import op8_minhash
 from .packing import op6_packing
 from .pii import op5_pii
@@ -11,11 +13,13 @@ from .token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_media": op2_media,
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op8_minhash": op8_minhash,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 ORACLES: dict[str, str] = {}
