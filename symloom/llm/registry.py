@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .fingerprint import op10_fingerprint
+from .html import op7_html
 from .langid import op3_language_id
 from .media import op2_media
 from .minhash import op8_minhash
 from .packing import op6_packing
 from .pii import op5_pii
 from .token_output import op1_token_output
+from .warc import op9_warc
 
 QUERIES = {
     "op1_token_output": op1_token_output,
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op7_html": op7_html,
     "op8_minhash": op8_minhash,
+    "op9_warc": op9_warc,
     "op10_fingerprint": op10_fingerprint,
 }
 
