@@ -1,20 +1,63 @@
-"""Cleaning and packing pipeline over ``documents``: see ``STAGES``."""
+"""Cleaning and packing pipeline over ``documents``: see ``STAGES``.
+
+Each stage works on all rows its predecessor kept and returns the columns of
+``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from symloom.llm import langid, minhash, packing, pii, tokens
+from symloom.llm.common import materialise, tune
+
+#: Least language score of a document that stays.
+LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; the others go."""
+    model = langid.fit(docs.select("doc_id", "text", "lang").filter(~langid.held_out()))
+    return langid.keep_identified(docs, model, LANGUAGE_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five words, 0.8): the smallest id.
+
+    A document without words is a group of its own; of rows equal in id and text
+    one stays."""
+    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    copy = Window.partitionBy("doc_id", "text").orderBy("lang", "source")
+    return left.withColumn("_copy", F.row_number().over(copy)).filter("_copy = 1").select(*docs.columns)
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return packing.pack(docs, tokens.public("byte_bpe_50k.json"))
 
-from symloom.llm.common import materialise
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("pii", mask_pii),
+    ("packing", pack),
+]
 
 #: The stages need tokenisers, sketches and iteration, which SQL lacks.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")

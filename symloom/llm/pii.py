@@ -156,11 +156,11 @@ def bootstrap(candidates: DataFrame, rounds: int = ROUNDS, support: int = SUPPOR
     return graph.join(patterns.filter(F.col("score") >= accept / 2).select("pattern"), "pattern").join(good, "instance").select("pattern", "instance")
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``_email _ip _card _phone _id``, each an array of spans
-    ``(s, e)`` in code points, ascending; ``_text`` is the text, never null."""
+    ``(s, e)`` in code points, ascending."""
     tune(docs.sparkSession)
-    scanned = scan(docs).withColumn("_row", F.monotonically_increasing_id())
+    scanned = scan(docs).drop("_text", *([] if keep_text else ["text"])).withColumn("_row", F.monotonically_increasing_id())
     scanned = materialise(scanned, "pii-scan")  # fixes the row numbers
     seen = _candidates(scanned)
     found = bootstrap(seen)
@@ -182,7 +182,7 @@ def _written(kinds: tuple[str, ...]) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts and spans a document; the base spans apart as a digest."""
-    return find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
+    return find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keep_text=False).select(
         "doc_id",
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_written(KINDS), 256).alias("base_sha256"),
@@ -198,7 +198,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.transform(f"_{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
 
     marks = F.array_sort(F.concat(*map(mark, (*KINDS, "id"))))
-    text = F.col("_text")
+    text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
