@@ -13,8 +13,10 @@ is all but 8 in a million.  Links are confirmed on the full sets.
 
 Equal sets meet first, by a 128-bit digest, and go on as one class.  Then
 1. each class is compared with the smallest class of its buckets;
-2. in buckets that still hold several components, the likeliest pairs of each
-   two components are compared, then
+2. in buckets that still hold several components, each member is compared with
+   its likeliest partner in another one, in as many rounds as ``BEST`` has
+   entries (of so many partners from each bucket one not yet tried is taken);
+   true groups become one component here, without all their pairs; then
 3. all pairs of different components whose sketches do not rule them out
    (agreement under the threshold by ``SIGMAS`` standard deviations).
 Buckets of any size are compared in blocks of ``BLOCK`` members against each
@@ -32,7 +34,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,7 +46,7 @@ BANDS, ROWS = 64, 8
 T = BANDS * ROWS
 SIGMAS = 5
 BLOCK = 1024
-BEST = 3
+BEST = (2, 4, 8)
 MEMO_WORDS = 500_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -99,8 +100,8 @@ def sketch(s: np.ndarray, t: int = T) -> np.ndarray:
         if not len(empty):
             return out
     for b in empty:
-        r = np.uint64(t + b)
-        out[b] = (r << _VALUE_BITS) | (mix(s ^ mix((r + np.uint64(1)) * _A)) & low).min()
+        r = np.array([t + b], np.uint64)
+        out[b] = (r[0] << _VALUE_BITS) | (mix(s ^ mix((r + np.uint64(1)) * _A)) & low).min()
     return out
 
 
@@ -172,40 +173,70 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return wide.mapInArrow(_confirm(k, percent), "a long, b long").distinct()
 
 
-def _cross(percent: int, best: bool):
-    """Pairs of different components from one pair of blocks of one bucket."""
+def _cross(percent: int, best: int | None):
+    """Pairs of different components from the pairs of blocks of each bucket.
+
+    With ``best``, each member's likeliest partners in other components as
+    ``(a, b, s)``, a being the member and s the coordinates that agree."""
     cut = T * (percent / 100) - SIGMAS * math.sqrt(T * percent / 100 * (1 - percent / 100))
 
-    def run(key, pdf):
-        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        i, j = int(key[1]), int(key[2])
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        if left.empty or right.empty:
-            return none
-        grid = lambda d: np.frombuffer(b"".join(d["coords"]), np.uint8).reshape(len(d), T)
-        rc, ri, rn, rs = (right[c].to_numpy() for c in ("component", "id", "n", "n"))
-        rg, out = grid(right), []
-        for lid, lcomp, ln, lg in zip(left["id"], left["component"], left["n"], grid(left), strict=True):
-            ok = (rc != lcomp) & (100 * np.minimum(rn, ln) >= percent * np.maximum(rn, ln))
-            if i == j:
-                ok &= ri > lid
+    def group(ids, comp, n, block, grid, i: int, j: int):
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        rc, ri, rn, rg = comp[right], ids[right], n[right], grid[right]
+        for m in left:
+            ok = (rc != comp[m]) & (100 * np.minimum(rn, n[m]) >= percent * np.maximum(rn, n[m]))
+            if i == j and best is None:
+                ok &= ri > ids[m]
             at = np.flatnonzero(ok)
-            if len(at):
-                same = (rg[at] == lg).sum(1)
-                hit = same >= cut
-                out += [(min(lid, r), max(lid, r), min(lcomp, c), max(lcomp, c), s) for r, c, s in zip(ri[at][hit], rc[at][hit], same[hit], strict=True)]
-        if not out:
-            return none
-        pairs = pd.DataFrame(out, columns=["a", "b", "ca", "cb", "s"])
-        if best:
-            pairs = pairs.sort_values(["s", "a", "b"], ascending=[False, True, True]).groupby(["ca", "cb"]).head(BEST)
-        return pairs[["a", "b"]].drop_duplicates()
+            if not len(at):
+                continue
+            same = (rg[at] == grid[m]).sum(1)
+            hit = np.flatnonzero(same >= cut)
+            if best is not None and len(hit) > best:
+                hit = hit[np.argsort(-same[hit], kind="stable")[:best]]
+            me = int(ids[m])
+            if best is None:
+                yield from ((min(me, r), max(me, r), 0) for r in ri[at[hit]].tolist())
+            else:
+                yield from ((me, r, s) for r, s in zip(ri[at[hit]].tolist(), same[hit].tolist(), strict=True))
+
+    def run(batches):
+        held = None
+
+        def done(table, upto: int):
+            """Pairs of the first ``upto`` rows, which hold whole groups."""
+            k, i, j, block, ids, comp, n = (np.asarray(table.column(c)) for c in range(7))
+            grid = np.frombuffer(b"".join(table.column(7).slice(0, upto).to_pylist()), np.uint8).reshape(upto, T)
+            edge = np.flatnonzero((np.diff(k[:upto]) != 0) | (np.diff(i[:upto]) != 0) | (np.diff(j[:upto]) != 0)) + 1
+            out = set()
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), upto], strict=True):
+                w = slice(lo, hi)
+                out.update(group(ids[w], comp[w], n[w], block[w], grid[w], int(i[lo]), int(j[lo])))
+            pairs = sorted(out)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.int32())], ["a", "b", "s"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.num_rows < 4 * BLOCK:
+                continue
+            held = held.combine_chunks()
+            key = [np.asarray(held.column(c)) for c in range(3)]
+            last = np.flatnonzero(np.any([x != x[-1] for x in key], axis=0))
+            if len(last):
+                yield done(held, int(last[-1]) + 1)
+                held = held.slice(int(last[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield done(held.combine_chunks(), held.num_rows)
 
     return run
 
 
-def _across(stars: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs in buckets that hold more than one component."""
+def _across(stars: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Candidate pairs, not yet tried, in buckets of more than one component:
+    all of them, or with ``best`` the likeliest of each member."""
     part = classes.select("id", "n", "coords").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     comp = part.select("id", "component")
     mixed = (
@@ -216,19 +247,26 @@ def _across(stars: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
         .distinct()
     )
     inside = stars.join(mixed, "k", "left_semi")
-    members = inside.select("k", "id").union(inside.select("k", F.col("rep").alias("id")).distinct())
-    # buckets of one content are compared once
+    members = materialise(inside.select("k", "id").union(inside.select("k", F.col("rep").alias("id")).distinct()), "bucket-members")
+    # buckets of the same members are compared once
+    one = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
+    kept = one.groupBy("size", "x", "y").agg(F.min("k").alias("k"), F.floor((F.first("size") - 1) / BLOCK).cast("int").alias("last")).select("k", "last")
     bucket = Window.partitionBy("k").orderBy("id")
-    numbered = members.withColumn("block", F.floor((F.row_number().over(bucket) - 1) / BLOCK).cast("int"))
-    blocks = numbered.groupBy("k").agg(F.max("block").alias("last"))
     dealt = (
-        numbered.join(blocks, "k")
+        members.join(kept, "k")
+        .withColumn("block", F.floor((F.row_number().over(bucket) - 1) / BLOCK).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
         .select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
         .join(part, "id")
+        .select("k", "i", "j", "block", "id", "component", "n", "coords")
     )
-    found = dealt.groupBy("k", "i", "j").applyInPandas(_cross(percent, best), "a long, b long")
-    return found.distinct()
+    groups = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "block", "id")
+    found = groups.mapInArrow(_cross(percent, best), "a long, b long, s int")
+    if best is None:
+        return found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    fresh = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "s").distinct()
+    fresh = fresh.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
+    return fresh.groupBy("a").agg(F.max(F.struct("s", -F.col("x"), -F.col("y"), "x", "y")).alias("m")).select(F.col("m.x").alias("a"), F.col("m.y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -248,9 +286,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = stars.groupBy(F.col("id").alias("b")).agg(F.min("rep").alias("a")).select("a", "b")
     links = materialise(confirm(pairs, rows, words, percent), "near-links")
     tried = pairs
-    for best in (True, False):
+    for best in (*BEST, None):
         labels = components(links)
-        pairs = materialise(_across(stars, classes, labels, percent, best).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = materialise(_across(stars, classes, labels, tried, percent, best), "near-pairs")
         if not pairs.limit(1).count():
             continue
         tried = tried.union(pairs)
