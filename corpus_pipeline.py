@@ -29,10 +29,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without words is a group of its own; of rows equal in id and text
     one stays."""
-    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
     copy = Window.partitionBy("doc_id", "text").orderBy("lang", "source")
-    return left.withColumn("_copy", F.row_number().over(copy)).filter("_copy = 1").select(*docs.columns)
+    return left.withColumn("__copy", F.row_number().over(copy)).filter("__copy = 1").select(*docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

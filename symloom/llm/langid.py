@@ -179,7 +179,7 @@ def _annotate(model: Model):
         for batch in batches:
             text = ["" if t is None else t for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             found = [x for held in _batches((t,) for t in text) for x in model.predict([t for (t,) in held])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, "__lang_pred", "__lang_score"])
 
     return run
 
@@ -188,8 +188,8 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     """The rows whose language is identified with at least this score."""
     tune(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.mapInArrow(_annotate(model), f"{fields}, lang_pred string, lang_score double")
-    return marked.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*docs.columns)
+    marked = docs.mapInArrow(_annotate(model), f"{fields}, __lang_pred string, __lang_score double")
+    return marked.filter((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= least)).select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import load, materialise, tune
 
+#: Names of added columns begin so.
+OWN = "__pii_"
 KINDS = ("email", "ip", "card", "phone")
 
 #: A run of local characters is entered at its begin, or where the last match ended.
@@ -93,18 +95,18 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _only_valid(kind: str) -> Column:
-    return F.filter(f"_{kind}", lambda x: _valid(kind, x["m"]))
+    return F.filter(f"{OWN}{kind}", lambda x: _valid(kind, x["m"]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with the arrays ``email ip card phone token`` of spans."""
-    text = F.col("_text")
-    out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.col(OWN + "text")
+    out = docs.withColumn(OWN + "text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     for kind in KINDS:
-        out = out.withColumn(f"_{kind}", _matches(text, PATTERNS[kind], NEEDS[kind]))
-    out = out.withColumn("_token", _matches(text, TOKEN, None))
+        out = out.withColumn(f"{OWN}{kind}", _matches(text, PATTERNS[kind], NEEDS[kind]))
+    out = out.withColumn(OWN + "token", _matches(text, TOKEN, None))
     for kind in KINDS:
-        out = out.withColumn(f"_{kind}", _only_valid(kind))
+        out = out.withColumn(f"{OWN}{kind}", _only_valid(kind))
     return out
 
 
@@ -112,13 +114,13 @@ def _candidates(scanned: DataFrame) -> DataFrame:
     """``(row, s, e, pattern, instance, seed)``: tokens in context.
 
     A token inside a base entity counts only where the entity begins."""
-    base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    one = scanned.select("_row", base.alias("base"), F.explode("_token").alias("t"))
+    base = F.concat(*[F.col(f"{OWN}{k}") for k in KINDS])
+    one = scanned.select(OWN + "row", base.alias("base"), F.explode(OWN + "token").alias("t"))
     begins = F.exists("base", lambda b: b["s"] == F.col("t.s"))
     touches = F.exists("base", lambda b: (b["s"] < F.col("t.e")) & (F.col("t.s") < b["e"]))
     return (
         one.select(
-            "_row",
+            OWN + "row",
             F.col("t.s").alias("s"),
             F.col("t.e").alias("e"),
             F.regexp_replace(F.lower(F.regexp_extract(F.col("t.gap"), LEFT, 1)), r"\s+", " ").alias("pattern"),
@@ -157,25 +159,25 @@ def bootstrap(candidates: DataFrame, rounds: int = ROUNDS, support: int = SUPPOR
 
 
 def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``_email _ip _card _phone _id``, each an array of spans
-    ``(s, e)`` in code points, ascending."""
+    """``docs`` with the columns ``OWN`` + ``email ip card phone id``, each an
+    array of spans ``(s, e)`` in code points, ascending."""
     tune(docs.sparkSession)
-    scanned = scan(docs).drop("_text", *([] if keep_text else ["text"])).withColumn("_row", F.monotonically_increasing_id())
+    scanned = scan(docs).drop(OWN + "text", *([] if keep_text else ["text"])).withColumn(OWN + "row", F.monotonically_increasing_id())
     scanned = materialise(scanned, "pii-scan")  # fixes the row numbers
     seen = _candidates(scanned)
     found = bootstrap(seen)
     span = F.struct("s", "e")
-    spans = seen.filter(~F.col("seed")).join(found, ["pattern", "instance"]).groupBy("_row").agg(F.sort_array(F.collect_set(span)).alias("_id"))
+    spans = seen.filter(~F.col("seed")).join(found, ["pattern", "instance"]).groupBy(OWN + "row").agg(F.sort_array(F.collect_set(span)).alias(OWN + "id"))
     plain = "array<struct<s:int,e:int>>"
-    out = scanned.join(spans, "_row", "left").withColumn("_id", F.coalesce(F.col("_id"), F.array().cast(plain)))
+    out = scanned.join(spans, OWN + "row", "left").withColumn(OWN + "id", F.coalesce(F.col(OWN + "id"), F.array().cast(plain)))
     for kind in KINDS:
-        out = out.withColumn(f"_{kind}", F.transform(f"_{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    return out.drop("_row", "_token")
+        out = out.withColumn(f"{OWN}{kind}", F.transform(f"{OWN}{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    return out.drop(OWN + "row", OWN + "token")
 
 
 def _written(kinds: tuple[str, ...]) -> Column:
     def one(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
+        return F.transform(f"{OWN}{kind}", lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
     return F.concat_ws(",", F.concat(*map(one, kinds)))
 
@@ -184,7 +186,7 @@ def report(docs: DataFrame) -> DataFrame:
     """Counts and spans a document; the base spans apart as a digest."""
     return find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keep_text=False).select(
         "doc_id",
-        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(f"{OWN}{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_written(KINDS), 256).alias("base_sha256"),
         _written((*KINDS, "id")).alias("spans"),
     )
@@ -195,7 +197,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans become one mark, that of the one that begins first."""
     def mark(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
+        return F.transform(f"{OWN}{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
 
     marks = F.array_sort(F.concat(*map(mark, (*KINDS, "id"))))
     text = F.col("text")
@@ -206,9 +208,9 @@ def redact(docs: DataFrame) -> DataFrame:
         put = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["k"]).alias("out"))
         return F.when(x["s"] < acc["at"], skip).otherwise(put)
 
-    clean = F.aggregate("_marks", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    rows = find(docs).withColumn("_marks", marks)
-    new = F.when(F.size("_marks") > 0, clean).otherwise(F.col("text"))
+    clean = F.aggregate(OWN + "marks", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    rows = find(docs).withColumn(OWN + "marks", marks)
+    new = F.when(F.size(OWN + "marks") > 0, clean).otherwise(F.col("text"))
     return rows.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
