@@ -12,6 +12,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.sources.session import ship
+
 K1, B = 1.2, 0.75
 
 
@@ -28,6 +30,7 @@ def postings(docs: DataFrame, fields: list[str], key: str = "id", stemmed: bool
         each = one if each is None else each.union(one)
     if stemmed:
         words = each.select("term").distinct()
+        ship(docs.sparkSession)
         stems = words.mapInPandas(_stems, "term string, stem string")
         each = each.join(stems, "term").select(key, "field", "pos", F.col("stem").alias("term"))
     return each.select("term", key, "field", "pos")
