@@ -2,13 +2,13 @@
 
 Documents are split into blocks of about ``BLOCK_WORDS`` words.  A block is a
 list of word numbers by position and a dictionary (number, word).  Only the
-dictionaries meet the distinct-word table: each distinct word is encoded once
-in the whole corpus, its ids are joined back to the blocks' dictionaries by
-word, and a block's numbers then become ids by position.  The ``HEAD`` words
-that occur in most blocks (of at most ``HEAD_CHARS`` characters, hence of
-bounded size) are broadcast instead; any other word meets the join, once a
-block.  Decoding looks up ids in the (id, piece) table of the vocabulary, which
-a worker holds whole (its size is that of the vocabulary file).
+dictionaries are shuffled by word: sorted, they are the distinct-word table, in
+which each distinct word of the corpus is encoded once, and its ids go back to
+the numbers of every block that has it, packed by block.  Joined with its
+numbers, a block's positions become ids.  A word occurs once a block there, so
+the most frequent word meets as many rows as there are blocks, not occurrences.
+Decoding looks up ids in the (id, piece) table of the vocabulary, which a worker
+holds whole (its size is that of the vocabulary file).
 
 Splitting is deterministic for an input partition: the two branches that read
 the documents number blocks and words alike.
@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import load, materialise, texts, tune
+from .common import load, texts, tune
 
-BLOCK_WORDS = 2_000_000
-BLOCK_DISTINCT = 1 << 18
-HEAD = 1 << 16
-HEAD_CHARS = 32
+BLOCK_WORDS = 8_000_000
+BLOCK_DISTINCT = 1 << 20
+#: Dictionary entries a task packs at once.
+PACK = 1 << 18
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -65,11 +65,8 @@ def encode_word(enc: tokens.Pieces, word: str) -> list[int]:
     return [t.id for t in enc.model.tokenize(tokens.byte_level(word))]
 
 
-def _blocks(path: str, emit_words: bool, head: dict[str, int] | None = None):
-    """Blocks of this partition: their dictionaries, or their documents.
-
-    In a document a head word stands as its place in the head, another word as
-    ``HEAD`` plus its number in the block."""
+def _blocks(path: str, emit_words: bool):
+    """Blocks of this partition: their dictionaries, or their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = tokens.pieces(path), TaskContext.get().partitionId()
@@ -80,8 +77,7 @@ def _blocks(path: str, emit_words: bool, head: dict[str, int] | None = None):
             if emit_words:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), block)), pa.array(np.arange(len(number)), pa.int32()), pa.array(list(number), pa.string())], ["block", "no", "word"])
             else:
-                code = np.fromiter((head.get(w, HEAD + k) for k, w in enumerate(number)), "<u4", len(number))
-                seq = code[np.concatenate(seqs)] if number else np.zeros(0, "<u4")
+                seq = np.concatenate(seqs) if seqs else np.zeros(0, "<u4")
                 planes = zstandard.compress(seq.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([planes], pa.binary())], ["block", "doc_ids", "lengths", "seq"])
 
@@ -107,47 +103,69 @@ def _blocks(path: str, emit_words: bool, head: dict[str, int] | None = None):
 
 
 def _encode_words(path: str):
+    """Ids of each distinct word, from rows ``(word, block, no)`` sorted by word,
+    packed by block: numbers, counts of ids and ids."""
+
     def run(batches):
         enc = tokens.pieces(path)
+        blocks, numbers, ids = [], [], []
+        last, coded = None, b""
+
+        def flush():
+            order = np.argsort(np.array(blocks), kind="stable")
+            sorted_blocks = np.array(blocks)[order]
+            edges = [0, *(np.flatnonzero(np.diff(sorted_blocks)) + 1).tolist(), len(order)]
+            out = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                own = order[lo:hi].tolist()
+                each = [ids[i] for i in own]
+                out.append((int(sorted_blocks[lo]), np.array([numbers[i] for i in own], "<u4").tobytes(), np.array([len(x) // enc.dtype.itemsize for x in each], "<u4").tobytes(), b"".join(each)))
+            cols = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["block", "no", "n", "ids"])
+
         for batch in batches:
-            words = batch.column(0)
-            yield pa.RecordBatch.from_arrays([words, pa.array([np.array(encode_word(enc, w), enc.dtype).tobytes() for w in words.to_pylist()], pa.binary())], ["word", "ids"])
+            for word, block, no in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if word != last:
+                    last, coded = word, np.array(encode_word(enc, word), enc.dtype).tobytes()
+                blocks.append(block)
+                numbers.append(no)
+                ids.append(coded)
+            if len(ids) >= PACK:
+                yield flush()
+                blocks, numbers, ids = [], [], []
+        if ids:
+            yield flush()
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, list[str]]:
-    """One row a block: its documents, their word codes by position, and the
-    ids of the words outside the head; and the head.  ``per_document`` turns
-    that into rows a document."""
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """One row a block: its documents, their word numbers by position, and the
+    packed ids of the numbers.  ``per_document`` turns that into rows a document."""
     spark = docs.sparkSession
     tune(spark)
     rows = texts(docs)
-    entries = materialise(rows.mapInArrow(_blocks(tokenizer, True), "block long, no int, word string"), "bpe-entries")
-    distinct = materialise(entries.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
-    head = [r["word"] for r in distinct.filter(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD).collect()]
-    known = F.broadcast(spark.createDataFrame([(w,) for w in head], "word string"))
-    ids = distinct.select("word").join(known, "word", "left_anti").mapInArrow(_encode_words(tokenizer), "word string, ids binary")
-    tail = entries.join(known, "word", "left_anti").join(ids, "word").groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("words"))
-    place = {w: i for i, w in enumerate(head)}
-    blocks = rows.mapInArrow(_blocks(tokenizer, False, place), "block long, doc_ids array<bigint>, lengths array<int>, seq binary")
-    return blocks.join(tail, "block", "left").select("doc_ids", "lengths", "seq", F.col("words.no").alias("no"), F.col("words.ids").alias("ids")), head
-
-
-def _documents(path: str, head: list[str], digest: bool):
+    entries = rows.mapInArrow(_blocks(tokenizer, True), "block long, no int, word string").select("word", "block", "no")
+    table = entries.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(tokenizer), "block long, no binary, n binary, ids binary")
+    words = table.groupBy("block").agg(F.collect_list(F.struct("no", "n", "ids")).alias("words"))
+    blocks = rows.mapInArrow(_blocks(tokenizer, False), "block long, doc_ids array<bigint>, lengths array<int>, seq binary")
+    return blocks.join(words, "block", "left").select("doc_ids", "lengths", "seq", "words")
+
+
+def _documents(path: str, digest: bool):
     def run(batches):
         enc = tokens.pieces(path)
         piece = [enc.lib.id_to_token(i) or "" for i in range(enc.size)]
-        common = [encode_word(enc, w) for w in head]
-        fill = [[]] * (HEAD - len(head))
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, lens, raw, no, packed = (batch.column(c)[row].as_py() for c in range(5))
+                doc_ids, lens, raw, packed = (batch.column(c)[row].as_py() for c in range(4))
                 seq = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
-                local = [[]] * (max(no) + 1 if no else 0)
-                for k, x in zip(no or (), packed or (), strict=True):
-                    local[k] = np.frombuffer(x, enc.dtype).tolist()
-                of = [*common, *fill, *local]
+                of: list[list[int]] = [[]] * (int(seq.max()) + 1 if len(seq) else 0)
+                for p in packed or ():
+                    flat, at = np.frombuffer(p["ids"], enc.dtype).tolist(), 0
+                    for k, n in zip(np.frombuffer(p["no"], "<u4").tolist(), np.frombuffer(p["n"], "<u4").tolist(), strict=True):
+                        of[k] = flat[at : at + n]
+                        at += n
                 count = np.array([len(x) for x in of], np.int64)
                 if digest:
                     ids_of = [" ".join(map(str, x)).encode() for x in of]
@@ -179,12 +197,11 @@ def _rows(out: list, digest: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.string())], ["doc_id", "ids", "decoded"])
 
 
-def per_document(blocks: DataFrame, head: list[str], tokenizer: str) -> DataFrame:
-    """``(doc_id, ids, decoded)`` from what ``encode`` returns."""
-    return blocks.mapInArrow(_documents(tokenizer, head, False), "doc_id long, ids array<int>, decoded string")
+def per_document(blocks: DataFrame, tokenizer: str) -> DataFrame:
+    """``(doc_id, ids, decoded)`` from ``encode``'s blocks."""
+    return blocks.mapInArrow(_documents(tokenizer, False), "doc_id long, ids array<int>, decoded string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.public("word_bpe_49k.json")
-    blocks, head = encode(load(spark, sf_dir, "documents"), path)
-    return blocks.mapInArrow(_documents(path, head, True), OUT)
+    return encode(load(spark, sf_dir, "documents"), path).mapInArrow(_documents(path, True), OUT)
