@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from symloom.functions import text
 from symloom.operators import graph, lookup, rules, search, stats, store
 
-from . import bridge
+from . import bridge, ingest_queries
 from .bridge import ORACLE
 
 
@@ -377,6 +377,12 @@ def _slice_tables(g: Graph):
     return s, e, s.select("commit_id", "file_path")
 
 
+for _name, _query in ingest_queries.QUERIES.items():
+    _QUERIES[_name] = _query
+    if _name in ingest_queries.ORACLES:
+        _ORACLES[_name] = ingest_queries.ORACLES[_name]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impact radius of the most called symbol, with names, nearest first."""
     g = Graph(spark, sf_dir)

@@ -76,5 +76,5 @@ def upgrade(edges_: DataFrame, symbols_: DataFrame, dst: str = "dst") -> DataFra
     """Syntactic edges whose target text is a stored name become semantic."""
     known = symbols_.groupBy(F.col("fqn").alias(dst)).agg(F.max_by("symbol_id", "seq").alias("_id"))
     hit = F.col("_id").isNotNull() & (F.col("resolution") == "syntactic")
-    joined = edges_.join(known, dst, "left")
-    return joined.withColumn(dst, F.when(hit, F.col("_id")).otherwise(F.col(dst))).withColumn("resolution", F.when(hit, "semantic").otherwise(F.col("resolution"))).withColumn("resolved_by", F.when(hit, "scip")).drop("_id")
+    new = {dst: F.when(hit, F.col("_id")).otherwise(F.col(dst)), "resolution": F.when(hit, "semantic").otherwise(F.col("resolution")), "resolved_by": F.when(hit, "scip")}
+    return edges_.join(known, dst, "left").withColumns(new).drop("_id")
