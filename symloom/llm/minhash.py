@@ -14,13 +14,14 @@ is all but 8 in a million.  Links are confirmed on the full sets.
 Equal sets meet first, by a 128-bit digest, and go on as one class.  Then
 1. each class is compared with the smallest class of its buckets;
 2. in buckets that still hold several components, each member is compared with
-   its likeliest partner in another one, in as many rounds as ``BEST`` has
+   its likeliest partner in a larger one, in as many rounds as ``BEST`` has
    entries (of so many partners from each bucket one not yet tried is taken);
    true groups become one component here, without all their pairs; then
 3. all pairs of different components whose sketches do not rule them out
-   (agreement under the threshold by ``SIGMAS`` standard deviations).
+   (agreement under the threshold by ``SIGMAS`` standard deviations) are compared
+   on their sets, which join only the members that have such a partner.
 Buckets of any size are compared in blocks of ``BLOCK`` members against each
-other inside tasks, which emit only pairs that need a look at their sets.
+other inside tasks, which emit links or one candidate a member, not all pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and no links; fewer words than a shingle form one shingle; equal rows and ties
@@ -45,8 +46,11 @@ from .graph import components
 BANDS, ROWS = 64, 8
 T = BANDS * ROWS
 SIGMAS = 5
-BLOCK = 1024
-BEST = (2, 4, 8)
+BLOCK = 2048  # members of a block; a large set counts as one more for every BLOCK_WORDS
+BLOCK_WORDS = 512
+#: Bytes of rows a task holds before it compares the groups that are whole.
+HELD_BYTES = 32 << 20
+BEST = (1, 3)
 MEMO_WORDS = 500_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -173,71 +177,109 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return wide.mapInArrow(_confirm(k, percent), "a long, b long").distinct()
 
 
+def _groups(batches, key: int):
+    """Whole groups of rows that agree in the first ``key`` columns, as lists of
+    tables with the groups' borders; the rows come sorted by them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        if held.num_rows < 2 * BLOCK and held.nbytes < HELD_BYTES:
+            continue
+        held = held.combine_chunks()
+        last = np.flatnonzero(np.any([(x := np.asarray(held.column(c))) != x[-1] for c in range(key)], axis=0))
+        if len(last):
+            upto = int(last[-1]) + 1
+            yield held.slice(0, upto), _borders(held.slice(0, upto), key)
+            held = held.slice(upto)
+    if held is not None and held.num_rows:
+        yield held, _borders(held, key)
+
+
+def _borders(table: pa.Table, key: int) -> list[int]:
+    step = np.any([np.diff(np.asarray(table.column(c))) != 0 for c in range(key)], axis=0)
+    return [0, *(np.flatnonzero(step) + 1).tolist(), table.num_rows]
+
+
 def _cross(percent: int, best: int | None):
-    """Pairs of different components from the pairs of blocks of each bucket.
+    """Likely pairs of different components in the pairs of blocks of buckets.
 
-    With ``best``, each member's likeliest partners in other components as
-    ``(a, b, s)``, a being the member and s the coordinates that agree."""
+    With ``best``, each member's likeliest partners in larger components as
+    ``(a, b, s)``, a being the member and s the coordinates that agree.  Without, all likely pairs are
+    compared: on ``set`` where the rows have it, and the links come out, one for
+    each two components; else the ids that take part come out, as a."""
     cut = T * (percent / 100) - SIGMAS * math.sqrt(T * percent / 100 * (1 - percent / 100))
 
-    def group(ids, comp, n, block, grid, i: int, j: int):
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        rc, ri, rn, rg = comp[right], ids[right], n[right], grid[right]
-        for m in left:
-            ok = (rc != comp[m]) & (100 * np.minimum(rn, n[m]) >= percent * np.maximum(rn, n[m]))
-            if i == j and best is None:
-                ok &= ri > ids[m]
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            same = (rg[at] == grid[m]).sum(1)
-            hit = np.flatnonzero(same >= cut)
-            if best is not None and len(hit) > best:
-                hit = hit[np.argsort(-same[hit], kind="stable")[:best]]
-            me = int(ids[m])
-            if best is None:
-                yield from ((min(me, r), max(me, r), 0) for r in ri[at[hit]].tolist())
-            else:
-                yield from ((me, r, s) for r, s in zip(ri[at[hit]].tolist(), same[hit].tolist(), strict=True))
-
     def run(batches):
-        held = None
-
-        def done(table, upto: int):
-            """Pairs of the first ``upto`` rows, which hold whole groups."""
-            k, i, j, block, ids, comp, n = (np.asarray(table.column(c)) for c in range(7))
-            grid = np.frombuffer(b"".join(table.column(7).slice(0, upto).to_pylist()), np.uint8).reshape(upto, T)
-            edge = np.flatnonzero((np.diff(k[:upto]) != 0) | (np.diff(i[:upto]) != 0) | (np.diff(j[:upto]) != 0)) + 1
+        for table, edges in _groups(batches, 3):
+            i, j, block, ids, comp, n, size = (np.asarray(table.column(c)) for c in range(1, 8))
+            grid = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(len(ids), T)
+            sets = table.column(9).to_pylist() if table.num_columns > 9 else None
             out = set()
-            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), upto], strict=True):
-                w = slice(lo, hi)
-                out.update(group(ids[w], comp[w], n[w], block[w], grid[w], int(i[lo]), int(j[lo])))
-            pairs = sorted(out)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.int32())], ["a", "b", "s"])
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                root: dict[int, int] = {}
+
+                def of(c: int, root=root) -> int:
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                left = lo + np.flatnonzero(block[lo:hi] == i[lo])
+                right = lo + np.flatnonzero(block[lo:hi] == j[lo])
+                both = best is not None and i[lo] != j[lo]
+                for m, right in [*((m, right) for m in left.tolist()), *((m, left) for m in right.tolist() if both)]:
+                    rc, rn = comp[right], n[right]
+                    ok = (rc != comp[m]) & (100 * np.minimum(rn, n[m]) >= percent * np.maximum(rn, n[m]))
+                    if best is not None:  # the smaller component proposes
+                        ok &= (size[right] > size[m]) | ((size[right] == size[m]) & (rc < comp[m]))
+                    elif i[lo] == j[lo]:
+                        ok &= right > m
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    same = (grid[right[at]] == grid[m]).sum(1)
+                    hit = np.flatnonzero(same >= cut)
+                    if not len(hit):
+                        continue
+                    hit = hit[np.argsort(-same[hit], kind="stable")]
+                    me = int(ids[m])
+                    if best is not None:
+                        out.update((me, r, s) for r, s in zip(ids[right[at[hit[:best]]]].tolist(), same[hit[:best]].tolist(), strict=True))
+                    elif sets is None:
+                        out.add((me, 0, 0))
+                        out.update((r, 0, 0) for r in ids[right[at[hit]]].tolist())
+                    else:
+                        mine = np.frombuffer(sets[m], "<u8")
+                        for r in right[at[hit]].tolist():
+                            if of(int(comp[m])) == of(int(comp[r])):
+                                continue
+                            other = np.frombuffer(sets[r], "<u8")
+                            place = np.searchsorted(mine, other)
+                            shared = int((mine[np.minimum(place, len(mine) - 1)] == other).sum())
+                            if 100 * shared >= percent * (len(mine) + len(other) - shared):
+                                root[of(int(comp[m]))] = of(int(comp[r]))
+                                out.add((min(me, int(ids[r])), max(me, int(ids[r])), 0))
+            rows = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64()), pa.array([p[2] for p in rows], pa.int32())], ["a", "b", "s"])
 
+    return run
+
+
+def _sets(k: int):
+    def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            if held.num_rows < 4 * BLOCK:
-                continue
-            held = held.combine_chunks()
-            key = [np.asarray(held.column(c)) for c in range(3)]
-            last = np.flatnonzero(np.any([x != x[-1] for x in key], axis=0))
-            if len(last):
-                yield done(held, int(last[-1]) + 1)
-                held = held.slice(int(last[-1]) + 1)
-        if held is not None and held.num_rows:
-            yield done(held.combine_chunks(), held.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "set"])
 
     return run
 
 
-def _across(stars: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Candidate pairs, not yet tried, in buckets of more than one component:
-    all of them, or with ``best`` the likeliest of each member."""
+def _mixed(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets that hold more than one component, dealt to pairs
+    of blocks ``(k, i, j, block, id)``, and every class with its component."""
     part = classes.select("id", "n", "coords").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    part = part.join(part.groupBy("component").agg(F.count(F.lit(1)).alias("csize")), "component")
     comp = part.select("id", "component")
     mixed = (
         stars.join(comp, "id")
@@ -247,23 +289,35 @@ def _across(stars: DataFrame, classes: DataFrame, labels: DataFrame, tried: Data
         .distinct()
     )
     inside = stars.join(mixed, "k", "left_semi")
-    members = materialise(inside.select("k", "id").union(inside.select("k", F.col("rep").alias("id")).distinct()), "bucket-members")
+    ids = inside.select("k", "id").union(inside.select("k", F.col("rep").alias("id")).distinct())
+    members = materialise(ids.join(classes.select("id", (1 + F.floor(F.col("n") / BLOCK_WORDS)).alias("weight")), "id"), "bucket-members")
     # buckets of the same members are compared once
-    one = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
-    kept = one.groupBy("size", "x", "y").agg(F.min("k").alias("k"), F.floor((F.first("size") - 1) / BLOCK).cast("int").alias("last")).select("k", "last")
-    bucket = Window.partitionBy("k").orderBy("id")
-    dealt = (
-        members.join(kept, "k")
-        .withColumn("block", F.floor((F.row_number().over(bucket) - 1) / BLOCK).cast("int"))
+    one = members.groupBy("k").agg(F.sum("weight").alias("size"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
+    kept = one.groupBy("size", "x", "y").agg(F.min("k").alias("k")).select("k", F.floor((F.col("size") - 1) / BLOCK).cast("int").alias("last"))
+    whole = members.join(kept.filter("last = 0"), "k").select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "id")
+    before = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    split = (
+        members.join(kept.filter("last > 0"), "k")
+        .withColumn("block", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0)) / BLOCK).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
         .select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
-        .join(part, "id")
-        .select("k", "i", "j", "block", "id", "component", "n", "coords")
     )
-    groups = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "block", "id")
-    found = groups.mapInArrow(_cross(percent, best), "a long, b long, s int")
-    if best is None:
-        return found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    dealt = whole.union(split)
+    return dealt, part
+
+
+def _compared(dealt: DataFrame, part: DataFrame, percent: int, best: int | None, sets: DataFrame | None = None) -> DataFrame:
+    columns = ["k", "i", "j", "block", "id", "component", "n", "csize", "coords"]
+    rows = dealt.join(part, "id")
+    if sets is not None:
+        rows, columns = rows.join(sets, "id"), [*columns, "set"]
+    groups = rows.select(*columns).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "block", "id")
+    return groups.mapInArrow(_cross(percent, best), "a long, b long, s int")
+
+
+def _best(dealt: DataFrame, part: DataFrame, tried: DataFrame, percent: int, best: int) -> DataFrame:
+    """The likeliest pair, not yet tried, of each member."""
+    found = _compared(dealt, part, percent, best)
     fresh = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "s").distinct()
     fresh = fresh.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
     return fresh.groupBy("a").agg(F.max(F.struct("s", -F.col("x"), -F.col("y"), "x", "y")).alias("m")).select(F.col("m.x").alias("a"), F.col("m.y").alias("b")).distinct()
@@ -286,13 +340,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = stars.groupBy(F.col("id").alias("b")).agg(F.min("rep").alias("a")).select("a", "b")
     links = materialise(confirm(pairs, rows, words, percent), "near-links")
     tried = pairs
-    for best in (*BEST, None):
-        labels = components(links)
-        pairs = materialise(_across(stars, classes, labels, tried, percent, best), "near-pairs")
+    for best in BEST:
+        dealt, part = _mixed(stars, classes, components(links))
+        pairs = materialise(_best(dealt, part, tried, percent, best), "near-pairs")
         if not pairs.limit(1).count():
-            continue
+            break
         tried = tried.union(pairs)
         links = materialise(links.union(confirm(pairs, rows, words, percent)), "near-links")
+    dealt, part = _mixed(stars, classes, components(links))
+    dealt = materialise(dealt, "dealt")
+    left = materialise(_compared(dealt, part, percent, None).select(F.col("a").alias("id")).distinct(), "undecided")
+    sets = rows.join(left.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, set binary")
+    # rows of one id are one node: its class has the set of one of them
+    sets = sets.join(classes.select("id", "n"), "id").filter(F.length("set") == F.col("n") * 8).groupBy("id").agg(F.min("set").alias("set"))
+    last = _compared(dealt.join(left, "id", "left_semi"), part, percent, None, sets).select("a", "b")
+    links = materialise(links.union(last.distinct()), "near-links")
     labels = components(links)
     of = classes.select("key", F.col("id")).join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     return (
