@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load, texts, tune
-from .order import with_successor_ranges
+from .order import with_successors
 
 W = 64
 RUN = 64
@@ -173,12 +173,12 @@ def _compare(rank: np.ndarray):
         for batch in batches:
             out = []
             for doc_id, text, p, tail in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if tail and (last is None or part != p):
+                    continue  # only the first of the next part's rows counts
                 own = digest(text, rank)
-                if part == p:
+                if last is not None and part == p:
                     out.append(_row(*last, text, own, rank))
-                part, last = p, (doc_id, text, own)
-                if tail:
-                    part = None
+                part, last = p, None if tail else (doc_id, text, own)
             cols = list(zip(*out, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in OUT.split(", ")])
@@ -198,7 +198,7 @@ def _row(doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray,
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Digests of all documents and of their edited texts; see ``OUT``."""
     rank = rarity(docs)
-    rows = with_successor_ranges(texts(docs), "doc_id", "text")
+    rows = with_successors(texts(docs), "doc_id", "text")
     return rows.select("doc_id", "text", "part", "tail").mapInArrow(_compare(rank), OUT)
 
 

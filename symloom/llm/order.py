@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, width
+from .common import width
+
+_NULL = -(1 << 63)
+
+
+def _part(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most the key, less one; two steps
+    of a square root of their number each."""
+    step = max(1, math.isqrt(len(bounds)))
+    heads = F.array(*[F.lit(b) for b in bounds[::step]])
+    at = F.size(F.filter(heads, lambda b: b <= key)) - 1
+    near = F.slice(F.array(*[F.lit(b) for b in bounds]), at * step + 1, F.lit(step))
+    return at * step + F.size(F.filter(near, lambda b: b <= key)) - 1
 
 
-def with_successor_ranges(rows: DataFrame, key: str, text: str) -> DataFrame:
+def with_successors(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Rows dealt to parts by ranges of ``key``, for a pass in order.
 
     Adds ``part`` and ``tail``: a part's rows are in one partition, sorted, and
-    end with a copy (``tail`` true) of the first row of the next part that has
-    one; the last part ends with a copy of the very first row.  Only the
-    numbers of parts reach the driver.  Rows of one key follow each other in
-    the order of ``text``; null keys come first.
+    end with copies (``tail`` true) of the rows of the id that begins the next
+    part; the last part ends with those of the very first id.  Bounds come from
+    the ids alone; the driver sees one id a part, and the texts move once.
+    Rows of one id follow each other in the order of ``text``; null ids come
+    first.
     """
-    spark = rows.sparkSession
-    n = width(spark)
-    dealt = materialise(
-        rows.repartitionByRange(n, F.col(key).asc_nulls_first(), F.col(text)).withColumn("part", F.spark_partition_id()), "ordered"
-    )
-    firsts = dealt.groupBy("part").agg(F.min(F.struct(F.col(key).isNotNull().alias("k"), F.col(key).alias("v"), F.col(text).alias("t"))).alias("first"))
-    parts = sorted(r["part"] for r in firsts.select("part").collect())
-    if not parts:
-        return dealt.withColumn("tail", F.lit(False))
-    before = F.create_map(*[x for i, p in enumerate(parts) for x in (F.lit(p), F.lit(parts[i - 1]))])
-    ends = firsts.select(F.col("first.v").alias(key), F.col("first.t").alias(text), before[F.col("part")].alias("part"), F.lit(True).alias("tail"))
-    both = dealt.select(key, text, "part", F.lit(False).alias("tail")).union(ends.select(key, text, "part", "tail"))
-    return both.repartitionById(n, F.col("part")).sortWithinPartitions("part", "tail", F.col(key).asc_nulls_first(), text)
+    ids = F.coalesce(F.col(key), F.lit(_NULL))
+    lows = rows.select(ids.alias("k")).repartitionByRange(width(rows.sparkSession), "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("low"))
+    bounds = sorted(r["low"] for r in lows.collect()) or [_NULL]
+    part = _part(ids, bounds)
+    before = F.when(part == 0, F.lit(len(bounds) - 1)).otherwise(part - 1)
+    begins = F.element_at(F.array(*[F.lit(b) for b in bounds]), part + 1) == ids
+    own, copy = F.struct(part.alias("part"), F.lit(False).alias("tail")), F.struct(before.alias("part"), F.lit(True).alias("tail"))
+    dealt = rows.select(key, text, F.explode(F.when(begins, F.array(own, copy)).otherwise(F.array(own))).alias("_to")).select(key, text, "_to.part", "_to.tail")
+    return dealt.repartitionById(len(bounds), F.col("part")).sortWithinPartitions("part", "tail", F.col(key).asc_nulls_first(), text)
