@@ -337,8 +337,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         classes.select("id", "bands").mapInArrow(_explode_bands, "k long, id long").withColumn("rep", F.first("id").over(bucket)).filter("rep <> id"),
         "stars",
     )
+    # only texts that share a bucket are compared: they are set apart once
+    shared = stars.select(F.col("id").alias("doc_id")).union(stars.select("rep")).distinct()
+    near = materialise(rows.join(shared, "doc_id", "left_semi"), "near-texts")
     pairs = stars.groupBy(F.col("id").alias("b")).agg(F.min("rep").alias("a")).select("a", "b")
-    links = materialise(confirm(pairs, rows, words, percent), "near-links")
+    links = materialise(confirm(pairs, near, words, percent), "near-links")
     tried = pairs
     for best in BEST:
         dealt, part = _mixed(stars, classes, components(links))
@@ -346,11 +349,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if not pairs.limit(1).count():
             break
         tried = tried.union(pairs)
-        links = materialise(links.union(confirm(pairs, rows, words, percent)), "near-links")
+        links = materialise(links.union(confirm(pairs, near, words, percent)), "near-links")
     dealt, part = _mixed(stars, classes, components(links))
     dealt = materialise(dealt, "dealt")
     left = materialise(_compared(dealt, part, percent, None).select(F.col("a").alias("id")).distinct(), "undecided")
-    sets = rows.join(left.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, set binary")
+    sets = near.join(left.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, set binary")
     # rows of one id are one node: its class has the set of one of them
     sets = sets.join(classes.select("id", "n"), "id").filter(F.length("set") == F.col("n") * 8).groupBy("id").agg(F.min("set").alias("set"))
     last = _compared(dealt.join(left, "id", "left_semi"), part, percent, None, sets).select("a", "b")
