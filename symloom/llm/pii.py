@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions.
 
 Base entities (e-mail, IP, card, phone) come from fixed patterns.  They are the
-seeds: the words left of an entity are a lexical pattern.  Over the bipartite
-graph of patterns and instances (identifier-like tokens, which hold a digit)
+seeds, whatever their form: the words left of an entity are a lexical pattern.
+Over the bipartite graph of patterns and instances (identifier-like tokens, which hold a digit)
 rounds of scoring alternate:
 
 * a pattern's score is the mean confidence of its distinct instances, if at
@@ -43,8 +43,8 @@ PATTERNS = {
 #: A text without this cannot match; cheap to look for.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
-#: An identifier-like token: a maximal run of these characters of 6 to 128, with a digit.
-TOKEN = r"(?<![A-Za-z0-9@._%+/-])(?=[A-Za-z@._%+/-]{0,127}[0-9])[A-Za-z0-9@._%+/-]{6,128}+(?![A-Za-z0-9@._%+/-])"
+#: An identifier-like token: a maximal run of these characters of 6 or more, with a digit.
+TOKEN = r"(?<![A-Za-z0-9@._%+/-])(?=[A-Za-z@._%+/-]*+[0-9])[A-Za-z0-9@._%+/-]{6,}+"
 #: The last two words before it, within CONTEXT characters.
 CONTEXT = 48
 LEFT = r"((?:\S+\s+)?\S+\s*)$"
@@ -53,22 +53,23 @@ ROUNDS = 3
 SUPPORT = 3
 ACCEPT = 0.6
 
-_SPAN = "array<struct<s:int,e:int,m:string,gap:string>>"
+_SPAN = "array<struct<s:int,e:int,m:string,left:string>>"
 
 
 def _matches(text: Column, pattern: str, needs: str | None) -> Column:
-    """Spans of all matches in code points, each with the text before it."""
+    """Spans of all matches in code points, each with the CONTEXT characters before it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc, x):
         s = acc["at"] + F.char_length(x["g"])
         e = s + F.char_length(x["m"])
-        gap = F.right(x["g"], F.lit(CONTEXT))
-        one = F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), x["m"].alias("m"), gap.alias("gap"))
-        return F.struct(e.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        left = F.right(F.concat(acc["last"], x["g"]), F.lit(CONTEXT))
+        last = F.right(F.concat(acc["last"], x["g"], x["m"]), F.lit(CONTEXT))
+        one = F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), x["m"].alias("m"), left.alias("left"))
+        return F.struct(e.cast("int").alias("at"), last.alias("last"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     guard = text.rlike(pattern) if needs is None else F.contains(text, F.lit(needs)) & text.rlike(pattern)
@@ -111,24 +112,26 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(scanned: DataFrame) -> DataFrame:
-    """``(row, s, e, pattern, instance, seed)``: tokens in context.
-
-    A token inside a base entity counts only where the entity begins."""
+    """``(row, s, e, pattern, instance, seed)``: base entities (the seeds), and
+    the tokens that touch none, in context."""
     base = F.concat(*[F.col(f"{OWN}{k}") for k in KINDS])
-    one = scanned.select(OWN + "row", base.alias("base"), F.explode(OWN + "token").alias("t"))
-    begins = F.exists("base", lambda b: b["s"] == F.col("t.s"))
+
+    def marked(spans: Column, seed: bool) -> Column:
+        return F.transform(spans, lambda x: F.struct(*[x[k].alias(k) for k in ("s", "e", "m", "left")], F.lit(seed).alias("seed")))
+
+    one = scanned.select(OWN + "row", base.alias("base"), F.explode(F.concat(marked(base, True), marked(F.col(OWN + "token"), False))).alias("t"))
     touches = F.exists("base", lambda b: (b["s"] < F.col("t.e")) & (F.col("t.s") < b["e"]))
     return (
-        one.select(
+        one.filter(F.col("t.seed") | ~touches)
+        .select(
             OWN + "row",
             F.col("t.s").alias("s"),
             F.col("t.e").alias("e"),
-            F.regexp_replace(F.lower(F.regexp_extract(F.col("t.gap"), LEFT, 1)), r"\s+", " ").alias("pattern"),
+            F.regexp_replace(F.lower(F.regexp_extract(F.col("t.left"), LEFT, 1)), r"\s+", " ").alias("pattern"),
             F.lower(F.col("t.m")).alias("instance"),
-            begins.alias("seed"),
-            touches.alias("base"),
+            F.col("t.seed").alias("seed"),
         )
-        .filter("(seed or not base) and pattern <> ''")
+        .filter("pattern <> ''")
         .withColumn("instance", F.xxhash64("instance"))
     )
 

@@ -58,6 +58,31 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert got[21] == "" and got[22] == ""
 
 
+SEEDS = {
+    "phone": "+1 (743) 555-38{:02}",
+    "card": "4111 1111 1111 1111",
+    "email": "john.smith@example{}.com",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(SEEDS))
+def test_entities_of_any_form_are_seeds(spark, kind):
+    names = ["alpha", "bravo", "charlie", "delta"]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004"]
+    seed = [cards[i] if kind == "card" else SEEDS[kind].format(names[i] if kind == "email" else i) for i in range(4)]
+    rows = [(i, f"please ask {seed[i]} about it") for i in range(4)]
+    rows += [(20, "please ask agent007-x9 about it"), (21, "please ask " + "k" * 200 + "7 about it")]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i][f"n_{kind}"] == 1 for i in range(4))
+    assert got[20].spans == "id:11:22" and got[21].spans == "id:11:212"
+
+
+def test_context_is_read_from_the_text(spark):
+    rows = [(i, f"see room 1234567 a{i}.b@c.org now") for i in range(4)] + [(9, "see room 1234567 agent007-x9 now")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9] == "id:17:28"
+
+
 def test_redaction_keeps_columns_and_clean_texts(docs, texts, no_docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns
