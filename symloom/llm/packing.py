@@ -1,12 +1,16 @@
 """Lexical retrieval packing.
 
 A document's ids (with an end id) first fill whole windows by itself; only its
-tail, shorter than a window, is packed with others.  Tails are dealt by hash
-into shards of about ``SHARD_DOCS``; a shard builds a BM25 inverted index over
-its tails' token ids.  The next unused tail is a seed: the index returns its
-unused neighbours, which fill the window greedily, best first, as far as they
-fit whole; the best neighbour left is cut to close the gap, and its rest stays
-in the shard.  So every sequence but a shard's last is full.
+tail, shorter than a window, is packed with others.  Tails are sorted by
+content and cut into shards of ``SHARD_DOCS``: the key is ``SKETCH`` min-hashes
+of a tail's ids, weighted by how rare an id is, so two tails begin with the same
+hash with the probability of their weighted overlap, and those of a hot hash
+part by the next.  A shard builds a BM25 inverted index over its tails' token
+ids.  The next unused tail is a seed: the index, asked with all of its ids,
+returns unused neighbours, which fill the window greedily, best first, as far
+as they fit whole; the best neighbour left is cut to close the gap, and its rest
+stays in the shard.  The index is asked again while the window has room and a
+neighbour is left.  So every sequence but a shard's last is full.
 
 Defined results: a null or empty text is a document of the end id alone; equal
 rows are packed like any others; score ties fall to the earlier tail in the
@@ -17,6 +21,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,9 @@ from .common import load, materialise, texts, tune
 
 WINDOW = 1024
 SHARD_DOCS = 2048
-QUERY_TERMS = 24
+#: Min-hashes of a tail, in the order in which they sort.
+SKETCH = 3
+#: Neighbours the index returns at once.
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 
@@ -66,8 +73,8 @@ def _cut(path: str, end_id: int, window: int):
 class Index:
     """BM25 inverted index over short documents of token ids."""
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int = QUERY_TERMS):
-        self.n, self.query_terms = len(docs), query_terms
+    def __init__(self, docs: list[np.ndarray]):
+        self.n = len(docs)
         size = np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(self.n, dtype=np.int64), size)
         both, tf = np.unique(owner << 32 | np.concatenate(docs).astype(np.int64), return_counts=True)
@@ -77,7 +84,7 @@ class Index:
         norm = K1 * (1 - B + B * size / max(1.0, size.mean()))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
         self.begin = np.searchsorted(owner, np.arange(self.n + 1))  # a document's terms
-        self.terms, self.idf, self.df = term, idf, df
+        self.terms, self.df = term, df
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = owner[order], weight[order]
         self.post_at = np.concatenate([[0], np.cumsum(df)])
@@ -86,8 +93,6 @@ class Index:
         """The k best unused documents with a term in common, best first."""
         terms = self.terms[self.begin[doc] : self.begin[doc + 1]]
         terms = terms[self.df[terms] > 1]
-        if len(terms) > self.query_terms:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[: self.query_terms]]
         spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in terms]
         if not spans:
             return np.zeros(0, np.int64)
@@ -116,19 +121,22 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
             n = int(min(room, size[seed] - begin[seed]))
             use(seed, n)
             room -= n
-            near = index.neighbours(seed, unused) if room else []
-            for d in near:
-                left = int(size[d] - begin[d])
-                if left <= room:
-                    use(d, left)
-                    room -= left
-                if not room:
+            while room:
+                near = index.neighbours(seed, unused)
+                if not len(near):
                     break
-            for d in near:
-                if room and unused[d]:
-                    n = int(min(room, size[d] - begin[d]))
-                    use(d, n)
-                    room -= n
+                for d in near:
+                    left = int(size[d] - begin[d])
+                    if left <= room:
+                        use(d, left)
+                        room -= left
+                    if not room:
+                        break
+                for d in near:
+                    if room and unused[d]:
+                        n = int(min(room, size[d] - begin[d]))
+                        use(d, n)
+                        room -= n
             at = seed
             while room:  # no neighbour is left: the next tails in order
                 rest = np.flatnonzero(unused[at:])
@@ -161,17 +169,94 @@ def _pack(dtype: str, window: int):
     return run
 
 
+def _holders(dtype: str):
+    """The number of tails that hold each id, of each batch."""
+
+    def run(batches):
+        for batch in batches:
+            tails = [np.frombuffer(t, dtype) for t in batch.column(0).to_pylist()]
+            if tails:
+                owner = np.repeat(np.arange(len(tails), dtype=np.int64), [len(t) for t in tails])
+                both = np.unique(owner << 32 | np.concatenate(tails).astype(np.int64))
+                ids, n = np.unique(both & 0xFFFFFFFF, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
+
+    return run
+
+
+def _ranks(df: np.ndarray, tails: int) -> np.ndarray:
+    """``SKETCH`` orders of the ids; the first of a tail's ids is its min-hash.
+
+    Exponential times with the inverse document frequency as rate; ids of one
+    tail alone, which nothing can share, come last."""
+    rate = np.log1p((tails - df + 0.5) / (df + 0.5))
+    with np.errstate(divide="ignore"):
+        times = np.stack([-np.log(np.random.default_rng(i).random(len(df))) / rate for i in range(SKETCH)])
+    times[:, df < 2] = np.inf
+    return np.argsort(np.argsort(times, axis=1, kind="stable"), axis=1, kind="stable").astype(">u4")
+
+
+def _sketch(dtype: str, ranks: np.ndarray):
+    """The sort key of a tail: its min-hashes, then its row."""
+
+    def run(batches):
+        for batch in batches:
+            key = []
+            for row, tail in zip(batch.column("row").to_pylist(), batch.column("tail").to_pylist(), strict=True):
+                key.append(ranks[:, np.frombuffer(tail, dtype)].min(1).astype(">u4").tobytes() + row.to_bytes(8, "big"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.binary())], [*batch.schema.names, "key"])
+
+    return run
+
+
+def _bounds(keyed: DataFrame) -> list[bytes]:
+    """The first key of every shard but the first, in order: every
+    ``SHARD_DOCS``-th of the sorted keys."""
+    at = F.monotonically_increasing_id()
+    keys = materialise(keyed.select("key").orderBy("key").withColumn("at", at), "packing-keys")
+    part = F.shiftright("at", 33).cast("int")
+    sizes = {r["part"]: r["n"] for r in keys.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for i in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(i, 0)
+    if total <= SHARD_DOCS:
+        return []
+    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), part + 1)
+    place = first + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    chosen = keys.filter((place > 0) & (place % SHARD_DOCS == 0)).select("key").collect()
+    return sorted(bytes(r["key"]) for r in chosen)
+
+
+def _deal(bounds: list[bytes]):
+    def run(batches):
+        for batch in batches:
+            shard = [bisect_right(bounds, k) for k in batch.column("key").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "doc_tokens", "tail", "row")), pa.array(shard, pa.int64())], ["doc_id", "doc_tokens", "tail", "row", "shard"])
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
     """The pieces of all documents; see ``PIECES``."""
     spark = docs.sparkSession
     tune(spark)
     dtype = tokens.pieces(tokenizer).dtype.str
     cut = materialise(texts(docs).mapInArrow(_cut(tokenizer, end_id, window), _CUT), "packing-cut")
-    shards = max(1, -(-cut.count() // SHARD_DOCS))
     whole = cut.select("doc_id", "doc_tokens", "first", F.posexplode("full").alias("i", "ids_crc32")).select(
         "doc_id", (F.col("i").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    tails = cut.filter(F.length("tail") > 0).select("doc_id", "doc_tokens", "tail", "row", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+    tails = cut.filter(F.length("tail") > 0).select("doc_id", "doc_tokens", "tail", "row")
+    n = tails.count()
+    held = tails.select("tail").mapInArrow(_holders(dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(max(held.column("id").to_pylist(), default=0) + 1, np.int64)
+    df[held.column("id").to_numpy()] = held.column("n").to_numpy()
+    if n > SHARD_DOCS:
+        fields = "doc_id long, doc_tokens long, tail binary, row long"
+        keyed = materialise(tails.mapInArrow(_sketch(dtype, _ranks(df, n)), f"{fields}, key binary"), "packing-keyed")
+        tails = keyed.mapInArrow(_deal(_bounds(keyed)), f"{fields}, shard long")
+    else:
+        tails = tails.withColumn("shard", F.lit(0).cast("long"))
     packed = tails.groupBy("shard").applyInArrow(_pack(dtype, window), PIECES)
     return whole.union(packed)
 

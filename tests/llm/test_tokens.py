@@ -110,6 +110,45 @@ def test_packing_covers_every_id_once(docs, texts):
     assert sum(sum(n for _, n in p) < packing.WINDOW for p in seqs.values()) <= 1
 
 
+def test_related_tails_meet_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    topics = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}zq{i * 31 + j}" for j in range(12)) for i in range(60)]
+    rows = [(j * 60 + i, f"the text number {j} is about " + t) for i, t in enumerate(topics) for j in range(8)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), BYTE).collect()
+    held = {}
+    for r in out:
+        held.setdefault(r.doc_id % 60, set()).add(r.sequence_id >> 24)
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values()) and len({r.doc_id for r in out}) == 480
+    shards = {}
+    for r in out:
+        shards.setdefault(r.sequence_id >> 24, set()).add(r.doc_id)
+    assert len(shards) == 30 and all(len(x) == 16 for x in shards.values())
+    assert sum(len(x) <= 2 for x in held.values()) >= 55
+
+
+def test_equal_tails_part_into_bounded_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    out = packing.pack(spark.createDataFrame([(i, "all the same") for i in range(100)], "doc_id long, text string"), BYTE).collect()
+    shards = {}
+    for r in out:
+        shards.setdefault(r.sequence_id >> 24, set()).add(r.doc_id)
+    assert sorted(map(len, shards.values())) == [4, *[16] * 6]
+
+
+def test_the_index_is_asked_until_a_window_is_full():
+    copies = [np.array([1, 2], np.uint16)] * 100
+    mixed = [x for i, c in enumerate(copies) for x in (c, np.array([1000 + 2 * i, 1001 + 2 * i], np.uint16))]
+    assert sorted(d for d, _, _ in packing.fill(mixed, 200)[0]) == list(range(0, 200, 2))
+
+
+def test_all_ids_of_the_seed_are_scored():
+    seed = np.arange(40, dtype=np.uint16)
+    rare = [np.array([i, 500 + i], np.uint16) for i in range(24)]
+    common = [np.arange(24, 40, dtype=np.uint16)] * 3
+    found = packing.Index([seed, *rare, *common]).neighbours(0, np.ones(28, bool))
+    assert set(found[:4]) == {0, 25, 26, 27}
+
+
 def test_index_returns_the_lexical_neighbour():
     docs = [np.array([1, 2, 3, 4]), np.array([9, 8, 7]), np.array([1, 2, 3, 5]), np.array([8, 20, 21])]
     index = packing.Index(docs)
