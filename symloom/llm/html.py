@@ -6,8 +6,11 @@ scripts, styles ...) or by words in class and id (adverts, notices, comments,
 shares ...).  Each paragraph then passes points to its ancestors: one, one for
 each comma, up to three for its length, halved at the grandparent and further
 divided above.  A container's points are discounted by its link density; the
-best one is kept, with those siblings that score nearly as well or are plain
-paragraphs.  Its blocks are the text.
+best one is kept.  Around it, up to the enclosing article or main part or else
+the whole page, everything goes that is mostly links; the other blocks are the
+text.  Beside an article or main part stay others, plain paragraphs and what
+scores nearly as well.  A page on which nothing scores gives all its blocks that
+are not mostly links.
 
 Defined results: a null or empty html, or one without main text, gives the empty
 text; equal rows give equal rows; a null id is kept; very long pages count whole;
@@ -32,8 +35,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^
 #: Their content is no markup; it goes with the tag.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROP = frozenset("script style noscript template head title nav header footer aside form button select option textarea input label iframe svg canvas object embed audio video dialog menu figure map fieldset xmp noembed noframes".split())
-BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre address hr center details summary".split())
+DROP = frozenset("script style noscript template head title nav header footer aside form button select option textarea input label iframe svg canvas object embed audio video dialog menu map fieldset xmp noembed noframes".split())
+BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption blockquote pre address hr center details summary".split())
 #: An open one of these ends where one of the set begins.
 _PARAGRAPH_ENDS = BLOCK | frozenset("form fieldset nav header footer aside figure menu".split())
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -220,22 +223,50 @@ def extract(page: str | None) -> str:
     prune(root)
     found = score(root)
     if not found:
-        only = [x for x in _walk(root) if x.tag in ("article", "main")]
-        return "\n".join(blocks(only[0])) if only else ""
+        top = next((x for x in _walk(root) if x.tag in ("article", "main")), root)
+        for x in _walk(top):
+            _unlink(x)
+        return "\n".join(blocks(top))
     best = max(found, key=_total)
-    parent = best.parent
-    if parent is None:
-        return "\n".join(blocks(best))
-    least, out = max(10.0, 0.2 * _total(best)), []
-    for x in parent.items:
-        if isinstance(x, str):
-            continue
-        density = x.linked / max(1, x.chars)
-        if x is best or _total(x) >= least or (x.tag == "p" and (x.chars > 80 and density < 0.25 or 0 < x.chars <= 80 and density == 0)):
+    least, path = max(10.0, 0.2 * _total(best)), [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    at = max((i for i, x in enumerate(path) if x.tag in ("article", "main")), default=len(path) - 1)
+    for inner, outer in zip(path[:at], path[1 : at + 1], strict=True):
+        _unlink(outer, inner, least)
+    top, out = path[at], []
+    for x in [top] if top.parent is None else top.parent.items:
+        if x is top or (not isinstance(x, str) and (_total(x) >= least or (x.tag in ("article", "main", "p") and not _links(x.linked, x.chars)))):
             out += blocks(x)
     return "\n".join(out)
 
 
+def _links(linked: int, chars: int) -> bool:
+    return 2 * linked >= max(1, chars)
+
+
+def _unlink(node: Node, spare: Node | None = None, least: float = float("inf")) -> None:
+    """Take out the blocks, and the runs of text between blocks, that are mostly
+    links; not ``spare`` and what scores ``least``."""
+    kept, run = [], []
+
+    def end() -> None:
+        chars = sum(len(x.strip()) if isinstance(x, str) else x.chars for x in run)
+        if spare in run or not _links(sum(0 if isinstance(x, str) else x.linked for x in run), chars):
+            kept.extend(run)
+        run.clear()
+
+    for x in node.items:
+        if isinstance(x, str) or x.tag not in BLOCK:
+            run.append(x)
+            continue
+        end()
+        if x is spare or _total(x) >= least or not _links(x.linked, x.chars):
+            kept.append(x)
+    end()
+    node.items = kept
+
+
 def _extract(batches):
     for batch in batches:
         text = [extract(x) for x in batch.column(2).to_pylist()]

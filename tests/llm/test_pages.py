@@ -72,6 +72,22 @@ def test_without_article_the_best_container_and_siblings_stay():
     assert len(lines) == 4 and lines[3].startswith("A plain sibling")
 
 
+def test_figures_keep_their_words():
+    page = "<article>" + LONG + "<figure><img src=x><video>no video</video><table><tr><td>Cell</td></tr></table><figcaption>A caption</figcaption></figure></article>"
+    assert html.extract(page).split("\n")[1:] == ["Cell", "A caption"]
+
+
+def test_content_beside_a_long_section_stays():
+    one = "<p>A paragraph, of some words, that stands alone.</p>"
+    lines = html.extract("<body>Bare <b>text</b><div><div>" + LONG * 20 + "</div><h2>Title</h2><ul><li>item</li></ul><pre>code</pre><div>" + one + "</div></div><div>" + one + "</div><div><a href=1>Home page</a> <a href=2>Contact</a></div></body>").split("\n")
+    assert lines[0] == "Bare text" and lines[1:21] == lines[1:2] * 20
+    assert lines[21:] == ["Title", "item", "code", *["A paragraph, of some words, that stands alone."] * 2]
+
+
+def test_a_page_without_scores_gives_its_blocks():
+    assert html.extract("<body><div>short text</div><nav>menu</nav><div><a href=1>a link</a></div><h2>end</h2></body>") == "short text\nend"
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</div></p>", "<!-- only", "<script>x", "<nav>menu</nav>", "&", "<a" + " x" * 5000])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html.extract(page), str)
