@@ -3,9 +3,11 @@
 Features are character 2-, 3- and 4-grams of the lower-cased letters, with any
 run of other characters as one space, hashed into ``BUCKETS`` buckets.  Counts
 by language are summed in Spark from a sample of at most about
-``TRAIN_DOCS`` labelled documents a language (all, where there are fewer); the
-log-probability matrix (languages x buckets, at most ``MAX_LANGS`` languages)
-is the only broadcast state.  Batches of documents are scored together.
+``TRAIN_DOCS`` labelled documents a language (all, where there are fewer).  All
+languages are learnt.  The log-probability matrix (languages x buckets) is cut
+into blocks of ``BLOCK_LANGS`` languages, each a broadcast of its own; a worker
+holds one block at a time, and the best over the blocks counts.  Batches of
+documents are scored together.
 
 The score is the posterior that the text's mean evidence would give over
 ``EVIDENCE`` n-grams, so it does not saturate with a text's length.
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, texts, tune
+from .common import load, materialise, texts, tune
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 TRAIN_DOCS = 20_000
-MAX_LANGS = 64
+BLOCK_LANGS = 64
 ALPHA = 0.5
 EVIDENCE = 24
 #: Characters scored at once (a longer text is a batch of its own).
@@ -105,50 +107,107 @@ def _count(batches):
         for lang in set(langs):
             own = bucket[(langs == lang)[owner]]
             total[lang] = total.get(lang, 0) + np.bincount(own, minlength=BUCKETS)
+            if len(total) >= BLOCK_LANGS:  # bounds what a worker holds
+                yield from _counted(total)
+                total.clear()
+    yield from _counted(total)
+
+
+def _counted(total: dict[str, np.ndarray]):
     for lang, n in total.items():
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(n[used], pa.int64())], ["lang", "bucket", "n"])
 
 
 class Model:
+    """A block of languages, or all of them."""
+
     def __init__(self, langs: list[str], matrix: np.ndarray, prior: np.ndarray):
         self.langs, self.matrix, self.prior = langs, matrix, prior
 
-    def predict(self, batch: list[str]) -> list[tuple[str, float]]:
-        bucket, owner = features(batch)
-        n = np.bincount(owner, minlength=len(batch))
-        logp = np.stack([np.bincount(owner, row[bucket], len(batch)) for row in self.matrix], 1) if self.langs else np.zeros((len(batch), 0))
+    def blocks(self):
+        yield self
+
+    def best(self, bucket: np.ndarray, owner: np.ndarray, n: np.ndarray) -> list[tuple[float, str, float, float]]:
+        """Of each text: the best language's evidence, that language, its
+        evidence over EVIDENCE n-grams, and all languages' sum relative to it."""
+        logp = np.stack([np.bincount(owner, row[bucket], len(n)) for row in self.matrix], 1)
         out = []
-        for text, k, row in zip(batch, n, logp, strict=True):
-            if not k and not any(map(str.isalpha, text)) or not self.langs:
-                out.append(("und", 0.0))
-                continue
+        for k, row in zip(n, logp, strict=True):
             best = int(np.argmax(row + self.prior))
             z = (row + self.prior) * min(1.0, EVIDENCE / max(1, k))
-            z = np.exp(z - z.max())
-            out.append((self.langs[best], float(z[best] / z.sum())))
+            top = z.max()
+            out.append((float((row + self.prior)[best]), self.langs[best], float(top), float(np.exp(z - top).sum())))
         return out
 
+    def predict(self, batch: list[str]) -> list[tuple[str, float]]:
+        bucket, owner = features(batch)
+        n = np.bincount(owner, minlength=len(batch))
+        found: list[tuple[float, str, float, float]] = []
+        for block in self.blocks():
+            if not block.langs:
+                continue
+            here = block.best(bucket, owner, n)
+            found = [_better(x, y) for x, y in zip(found, here, strict=True)] if found else here
+        if not found:
+            return [("und", 0.0)] * len(batch)
+        return [(lang, 1.0 / total) if k or any(map(str.isalpha, text)) else ("und", 0.0) for text, k, (_, lang, _, total) in zip(batch, n, found, strict=True)]
+
+
+def _better(x: tuple[float, str, float, float], y: tuple[float, str, float, float]) -> tuple[float, str, float, float]:
+    """The best of two blocks, with the sum over both; ties to the first."""
+    if y[0] > x[0]:
+        x, y = y, x
+    return (*x[:3], x[3] + y[3] * float(np.exp(y[2] - x[2])))
+
+
+class Blocks(Model):
+    """A model of many languages: broadcasts of blocks, in order of language."""
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    def blocks(self):
+        for part in self.parts:
+            path = getattr(part, "_path", None)
+            # read anew: a worker keeps no block; (encrypted ones have no file)
+            yield Model(*(part.load_from_path(path) if path else part.value))
+
+
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, block_langs: int = BLOCK_LANGS) -> Model:
+    """Learn from ``(doc_id, text, lang)``; rows without a language are skipped.
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_langs: int = MAX_LANGS) -> Model:
-    """Learn from ``(doc_id, text, lang)``; rows without a language are skipped."""
+    The driver holds a number a language, and one block of the matrix."""
     spark = labelled.sparkSession
     tune(spark)
     known = labelled.filter(F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, train_docs / sizes[lang])))])
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    large = [x for lang in langs if sizes[lang] > train_docs for x in (F.lit(lang), F.lit(train_docs / sizes[lang]))]
+    if large:
+        share = F.coalesce(F.create_map(*large)[F.col("lang")], F.lit(1.0))
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < share * 1_000_000)
+    summed = known.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values()))
+    if len(langs) <= block_langs:
+        return Model(langs, _matrix(summed, langs), prior)
+    summed, parts = materialise(summed, "langid-counts"), []
+    for i in range(0, len(langs), block_langs):
+        block = langs[i : i + block_langs]
+        parts.append(spark.sparkContext.broadcast((block, _matrix(summed.filter(F.col("lang").isin(block)), block), prior[i : i + block_langs])))
+    return Blocks(parts)
+
+
+def _matrix(summed: DataFrame, langs: list[str]) -> np.ndarray:
     counts = np.zeros((len(langs), BUCKETS))
-    summed = picked.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = summed.toArrow()
     at = {x: i for i, x in enumerate(langs)}
-    rows = np.array([at[x] for x in summed.column("lang").to_pylist()], np.int64)
-    counts[rows, summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
-    matrix = np.log((counts + ALPHA) / (counts + ALPHA).sum(1, keepdims=True))
-    n = np.array([sizes[x] for x in langs], float)
-    return Model(langs, matrix, np.log(n / n.sum()))
+    rows = np.array([at[x] for x in table.column("lang").to_pylist()], np.int64)
+    counts[rows, table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    counts += ALPHA
+    return np.log(counts / counts.sum(1, keepdims=True))
 
 
 def _predict(model: Model):

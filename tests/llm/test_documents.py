@@ -115,6 +115,19 @@ def test_language_is_learnt_and_null_texts_are_und(spark, no_docs):
     assert langid.predict(no_docs, langid.fit(docs)).count() == 0
 
 
+def test_every_label_is_learnt(spark):
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + i % 23)}{chr(97 + i % 19)}" for i in range(150)]
+    rows = [(1000 * k + i, " ".join([w] * (5 + k)), f"l{i:03}") for i, w in enumerate(words) for k in range(1 if i % 2 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+    whole = langid.fit(docs, block_langs=1000)
+    assert len(whole.langs) == 150 and len(model.parts) == 3
+    assert all(abs(got[i].score - s) < 1e-9 for (i, _, _), (_, s) in zip(rows, whole.predict([t for _, t, _ in rows]), strict=True))
+    assert langid.keep_identified(docs, model, 0.0).count() == len(rows)
+
+
 def test_score_equals_plain_naive_bayes():
     model = langid.Model(["a", "b"], np.log(np.full((2, langid.BUCKETS), 1 / langid.BUCKETS)), np.log([0.5, 0.5]))
     assert model.predict(["hello"])[0] == ("a", 0.5)
