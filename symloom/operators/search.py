@@ -1,7 +1,8 @@
 """Ranked text search: an inverted index with BM25, and a LIKE tier behind it.
 
-Tokens are runs of letters and digits, lower-cased and without accents; stems
-are optional (a word is stemmed once, not each of its occurrences).
+Tokens are runs of letters and digits with their marks, lower-cased.  Stemmed
+postings also lose accents, as do queries (a word is stemmed once, not each of
+its occurrences); ``search`` works on these.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ K1, B = 1.2, 0.75
 
 
 def tokenise(c: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-case runs of letters and digits, with the marks on them."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), F.lit(0))
 
 
 def postings(docs: DataFrame, fields: list[str], key: str = "id", stemmed: bool = False) -> DataFrame:
-    """``(term, key, field, pos)``, a row an occurrence."""
+    """``(term, key, field, pos)``, a row an occurrence; if stemmed, also the
+    ``word`` without accents."""
     each = None
     for f in fields:
         one = docs.filter(F.col(f).isNotNull()).select(key, F.lit(f).alias("field"), F.posexplode(tokenise(F.col(f))).alias("pos", "term"))
@@ -31,25 +33,29 @@ def postings(docs: DataFrame, fields: list[str], key: str = "id", stemmed: bool
     if stemmed:
         words = each.select("term").distinct()
         ship(docs.sparkSession)
-        stems = words.mapInPandas(_stems, "term string, stem string")
-        each = each.join(stems, "term").select(key, "field", "pos", F.col("stem").alias("term"))
+        stems = words.mapInPandas(_stems, "term string, word string, stem string")
+        return each.join(stems, "term").select(F.col("stem").alias("term"), key, "field", "pos", "word")
     return each.select("term", key, "field", "pos")
 
 
 def _stems(frames):
     for pdf in frames:
-        yield pdf.assign(stem=[stem(fold(w)) for w in pdf["term"]])
+        words = [fold(w) for w in pdf["term"]]
+        yield pdf.assign(word=words, stem=[stem(w) for w in words])
 
 
 def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 
-def match_all(index: DataFrame, terms: list[str], key: str = "id", prefix_last: bool = False) -> DataFrame:
-    """Keys of documents that hold every term (the last as a prefix, if asked)."""
+def match_all(index: DataFrame, terms: list[str], key: str = "id", prefix_last: bool = False, word: str | None = None) -> DataFrame:
+    """Keys of documents that hold every term (the last as a prefix, if asked;
+    of a stemmed index, as a prefix of the ``word`` before stemming too)."""
     tests = [F.col("term") == t for t in terms]
     if prefix_last and terms:
         tests[-1] = F.startswith(F.col("term"), F.lit(terms[-1]))
+        if word is not None:
+            tests[-1] |= F.startswith(F.col("word"), F.lit(word))
     which = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
     hits = index.withColumn("q", F.explode(which)).groupBy(key).agg(F.countDistinct("q").alias("n"))
     return hits.filter(F.col("n") == len(terms)).select(key)
@@ -104,17 +110,24 @@ def parse(query: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-def search(symbols: DataFrame, query: str, k: int = 20, fields: tuple[str, ...] = ("name", "fqn", "docstring")) -> DataFrame:
-    """Two tiers: the index (best first), or LIKE where that finds nothing."""
+def search(symbols: DataFrame, query: str, k: int = 20, fields: tuple[str, ...] = ("name", "fqn", "docstring"), files: DataFrame | None = None) -> DataFrame:
+    """Two tiers: the index (best first), or LIKE where that finds nothing.
+
+    With ``files`` their paths are a field too."""
     parts = parse(query)
     if parts:
-        index = postings(symbols, list(fields))
+        held = symbols
+        if files is not None:
+            held = symbols.join(files.select(F.col("id").alias("file_id"), F.col("path").alias("__path")), "file_id", "left")
+            fields = (*fields, "__path")
+        index = postings(held, list(fields), stemmed=True)
         hits = None
-        for i, (kind, words) in enumerate(parts):
+        for i, (kind, raw) in enumerate(parts):
+            words = [stem(w) for w in raw]
             last = kind == "prefix" or (kind == "all" and i == len(parts) - 1)
-            one = match_phrase(index, words) if kind == "phrase" else match_all(index, words, prefix_last=last)
+            one = match_phrase(index, words) if kind == "phrase" else match_all(index, words, prefix_last=last, word=raw[-1])
             hits = one if hits is None else hits.union(one)
-        terms = sorted({w for _, words in parts for w in words})
+        terms = sorted({stem(w) for _, words in parts for w in words})
         ranked = hits.distinct().join(bm25(index, terms, k=None), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         top = ranked.orderBy(F.desc("score"), "id").limit(k)
         if not top.isEmpty():

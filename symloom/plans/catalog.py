@@ -111,6 +111,7 @@ tf AS (SELECT term, id, count(*) AS tf FROM words WHERE term IN ('red', 'widget'
 SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
 FROM tf JOIN df USING (term) JOIN dl USING (id), c GROUP BY id ORDER BY score DESC, id LIMIT 20""",
 )
+_add("search", lambda g: search.search(g.symbols, "handling requests", files=g.files), None)  # stems are beyond SQL
 _add("like_ranked_search", lambda g: search.like_ranked(g.symbols, "get_user").select("id", "name", "tier"), "SELECT id, name, CAST(CASE WHEN name = 'get_user' THEN 0 WHEN name ILIKE 'get_user%' THEN 1 ELSE 2 END AS INTEGER) AS tier FROM symbols WHERE name ILIKE '%get_user%' OR fqn ILIKE '%get_user%' ORDER BY tier, length(name), id LIMIT 20")
 
 # ---- one hop ---------------------------------------------------------------

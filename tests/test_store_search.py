@@ -111,3 +111,13 @@ def test_dynamic_overwrite_keeps_other_commits(spark, tmp_path):
     store.write_snapshot(spark.createDataFrame([(1, "a"), (2, "b")], "commit_id long, name string"), path)
     store.write_snapshot(spark.createDataFrame([(2, "c")], "commit_id long, name string"), path)
     assert {(r.commit_id, r.name) for r in spark.read.parquet(path).select(F.col("commit_id").cast("long"), "name").collect()} == {(1, "a"), (2, "c")}
+
+
+def test_search_stems_folds_and_reads_paths(spark):
+    s = spark.createDataFrame([(1, 7, "f", "p::f", "a request is handled"), (2, 7, "g", "p::g", "le café"), (3, 8, "h", "p::h", "le cafe\u0301 operation"), (4, 8, "i", "p::i", None)], "id long, file_id long, name string, fqn string, docstring string")
+    files = spark.createDataFrame([(7, "src/billing.py"), (8, "src/ledger.py")], "id long, path string")
+    ids = lambda q, **x: {r.id for r in search.search(s, q, **x).collect()}
+    assert ids("handling requests") == {1}
+    assert ids("café") == ids("cafe") == {2, 3}
+    assert ids("opera") == {3}
+    assert ids("ledger", files=files) == {3, 4} and ids("ledger") == set()
