@@ -8,10 +8,12 @@ number 1, the others are ``continuation`` records with the origin's id; the last
 of them states the total length.  Records are gzip members of archives of about
 ``ARCHIVE`` bytes.
 
-Reading: records are parsed archive by archive, segments meet by their origin's
-id (a group is one page's record), are put in order of their number, checked for
-gaps and for the total length, and the HTTP body's chunks are decoded and
-checked against the payload digest.
+Reading: records are parsed archive by archive.  Segments are grouped by their
+origin's id, put in order of their number, checked for gaps and for the total
+length, and the HTTP body's chunks are decoded and checked against the payload
+digest.  Records that lie whole in one archive are put together there; only the
+segments of records that an archive's border breaks are shuffled by origin (a
+group is one page's record).
 
 Defined results: a null or empty html is an empty payload, deduplicated like any
 other; rows of one id and payload are all responses if that id is the largest;
@@ -152,28 +154,71 @@ def write(pages: DataFrame) -> DataFrame:
 
 
 _RECORD = "origin string, number int, total long, kind string, url string, digest string, refers string, block binary"
-
-
-def _parse(batches):
-    names = [x.split()[0] for x in _RECORD.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 4, pa.binary()]
-    for batch in batches:
-        for content in batch.column(0):
-            rows, size = [], 0
-            for h, block in read_records(content.as_py()):
-                go_on = h["warc-type"] == "continuation"
-                rows.append(
-                    (
-                        h["warc-segment-origin-id" if go_on else "warc-record-id"].strip("<>"), int(h.get("warc-segment-number", 0)), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                        h["warc-type"], h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, block,
-                    )
-                )
-                size += len(block)
-                if size >= 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+_OUT = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Bytes of payload that a task holds before it hands rows on.
+_HELD = 4 << 20
+
+
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in fields.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _segment(h: dict[str, str], block: bytes) -> tuple:
+    """A record as a row of ``_RECORD``."""
+    go_on = h["warc-type"] == "continuation"
+    total, refers = h.get("warc-segment-total-length"), h.get("warc-refers-to")
+    return (
+        h["warc-segment-origin-id" if go_on else "warc-record-id"].strip("<>"), int(h.get("warc-segment-number", 0)), None if total is None else int(total),
+        h["warc-type"], h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, None if refers is None else refers.strip("<>"), block,
+    )
+
+
+def _is_whole(segments: list[tuple]) -> bool:
+    """One record without segment number, or all of 1 to the one with the total."""
+    numbers = sorted(s[1] for s in segments)
+    return numbers == [0] or (numbers == list(range(1, len(numbers) + 1)) and any(s[2] is not None and s[1] == numbers[-1] for s in segments))
+
+
+def _parse(whole: bool):
+    """Of each archive the whole records, put together; or the other segments."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                held: dict[str, list[tuple]] = {}
+                out, size = [], 0
+                for h, block in read_records(content.as_py()):
+                    row = _segment(h, block)
+                    held.setdefault(row[0], []).append(row)
+                    if not (row[1] == 0 or row[2] is not None) or not _is_whole(held[row[0]]):
+                        continue
+                    segments = held.pop(row[0])
+                    if whole:
+                        out.append(_put_together(segments))
+                        size += len(out[-1][2] or b"")
+                        if size >= _HELD:
+                            yield _batch(out, _OUT)
+                            out, size = [], 0
+                for segments in held.values():
+                    if whole and _is_whole(segments):  # the last segment came before others
+                        out.append(_put_together(segments))
+                    elif not whole and not _is_whole(segments):
+                        yield _batch(segments, _RECORD)
+                if out:
+                    yield _batch(out, _OUT)
+
+    return run
+
+
+def _put_together(segments: list[tuple]) -> tuple:
+    first = next((s for s in segments if s[3] != "continuation"), None)
+    if first is None:
+        raise ValueError(f"{segments[0][0]}: the first segment is missing")
+    origin, _, _, kind, url, digest, refers, _ = first
+    page, payload, size, ref = assemble(origin, kind, digest, refers, [(s[1], s[2], s[7]) for s in segments])
+    return page, url, payload, size, digest, kind, ref
 
 
 def assemble(origin: str, kind: str, digest: str | None, refers: str | None, segments: list[tuple[int, int | None, bytes]]):
@@ -200,28 +245,19 @@ def assemble(origin: str, kind: str, digest: str | None, refers: str | None, seg
     return int(page) if page else None, payload, size, int(ref) if ref else None
 
 
-_OUT = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-
-
 def _join(batches):
-    names = [x.split()[0] for x in _OUT.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
-        rows = []
         for r in batch.to_pylist():
-            parts = [(s["number"], s["total"], s["block"]) for s in r["segments"]]
-            page, payload, size, ref = assemble(r["origin"], r["kind"], r["digest"], r["refers"], parts)
-            rows.append((page, r["url"], payload, size, r["digest"], r["kind"], ref))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield _batch([_put_together([tuple(s[c] for c in ("origin", "number", "total", "kind", "url", "digest", "refers", "block")) for s in r["segments"]])], _OUT)
 
 
 def read(archives: DataFrame) -> DataFrame:
     """The whole records of archives; ``payload`` is null for revisits."""
-    found = archives.select("content").mapInArrow(_parse, _RECORD)
-    first = lambda c: F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c)
-    whole = found.groupBy("origin").agg(first("kind"), first("url"), first("digest"), first("refers"), F.collect_list(F.struct("number", "total", "block")).alias("segments"))
-    return whole.mapInArrow(_join, _OUT)
+    content = archives.select("content")
+    broken = content.mapInArrow(_parse(False), _RECORD)
+    columns = [x.split()[0] for x in _RECORD.split(", ")]
+    groups = broken.groupBy("origin").agg(F.collect_list(F.struct(*columns)).alias("segments")).select("segments")
+    return content.mapInArrow(_parse(True), _OUT).union(groups.mapInArrow(_join, _OUT))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
