@@ -1,9 +1,9 @@
 """Main text of web pages by tree scoring.
 
-A page is read into a tree (forgiving unclosed and stray tags).  Parts that
-cannot be main text go first: by tag (menus, headers, footers, sidebars, forms,
-scripts, styles ...) or by words in class and id (adverts, notices, comments,
-shares ...).  Each paragraph then passes points to its ancestors: one, one for
+A page is read into a tree in one pass (forgiving unclosed and stray tags).  Parts
+that cannot be main text go first: by tag (menus, footers, sidebars, forms,
+scripts, styles ...; headers outside of articles) or by words in class and id
+(adverts, notices, comments, shares ...), unless the page's article is in them.  Each paragraph then passes points to its ancestors: one, one for
 each comma, up to three for its length, halved at the grandparent and further
 divided above.  A container's points are discounted by its link density; the
 best one is kept.  Around it, up to the enclosing article or main part or else
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,83 +30,182 @@ from pyspark.sql import functions as F
 
 from .common import load, tune
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: The rest of a tag; quoted values may hold a ">".
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9A-Fa-f]{8,})")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 #: Their content is no markup; it goes with the tag.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROP = frozenset("script style noscript template head title nav header footer aside form button select option textarea input label iframe svg canvas object embed audio video dialog menu map fieldset xmp noembed noframes".split())
+DROP = frozenset("script style noscript template head title nav footer aside form button select option textarea input label iframe svg canvas object embed audio video dialog menu map fieldset xmp noembed noframes".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption blockquote pre address hr center details summary".split())
 #: An open one of these ends where one of the set begins.
 _PARAGRAPH_ENDS = BLOCK | frozenset("form fieldset nav header footer aside figure menu".split())
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPE = frozenset("ul ol dl table div section article main body html".split())
 
+#: Words of a class or id that mark what is no main text.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|comment\w*|disqus|discussion|repl(?:y|ies)|respond|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|foot|header|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share\w*|sharing|social\w*|related|recommend\w*|pagination|pager|widget\w*|toolbar|tags?|meta|byline|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|comment\w*|disqus|discussion|repl(?:y|ies)|respond|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|foot|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share\w*|sharing|social\w*|related|recommend\w*|pagination|pager|widget\w*|toolbar|tags?|meta|byline|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+#: A head is the page's unless it stands in an article or main part.
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+#: A class that says what a layout has beside it, not what it is.
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)-\S+|\S+-(?:open|closed|enabled|disabled)(?=\s|$)", re.I)
+#: An article element of these classes is a reader's comment.
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respond|disqus)(?:$|[\s_-])", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 
 _SPACE = re.compile(r"\s+")
+_HIDDEN = re.compile(r"(?:^|\s)(?:hidden|aria-hidden)(?:\s|$)")
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_BORDERS = frozenset("td th table".split())
+_STOPS = _SCOPE.union(*_CLOSES.values())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "marks", "points", "chars", "linked")
+    """An element; ``near`` is the closest element, itself included, that an end
+    or begin of a list item, cell or option looks for, ``block`` the closest block."""
+
+    __slots__ = ("tag", "parent", "items", "marks", "points", "chars", "linked", "block", "near", "commas", "inline")
 
     def __init__(self, tag: str, parent: Node | None, marks: str = ""):
         self.tag, self.parent, self.items, self.marks = tag, parent, [], marks
         self.points = 0.0
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.commas = self.inline = 0
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.near = self if parent is None or tag in _STOPS else parent.near
+
+
+def unescape(s: str) -> str:
+    """Character references decoded; numbers beyond Unicode are U+FFFD."""
+    if "&" not in s:
+        return s
+
+    def short(m: re.Match) -> str:
+        hexadecimal = m[0][2] in "xX"
+        digits = m[0][3 if hexadecimal else 2 :].lstrip("0") or "0"
+        return ("&#x" if hexadecimal else "&#") + (digits if len(digits) < 8 else "fffd" if hexadecimal else "65533")
+
+    return entities.unescape(_LONG_REFERENCE.sub(short, s))
+
+
+class _Open:
+    """The open elements by name, so that an end tag without a begin costs nothing.
+
+    A cell or table is a border: within it only the names of ``_SCOPE`` are seen
+    beyond it."""
+
+    def __init__(self):
+        self.all: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]
+
+    def add(self, tag: str) -> None:
+        self.all[tag] += 1
+        if tag in _BORDERS:
+            self.scopes.append(Counter())
+        self.scopes[-1][tag] += 1
+
+    def remove(self, tag: str) -> None:
+        self.all[tag] -= 1
+        if tag in _BORDERS:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+
+    def sees(self, tag: str) -> bool:
+        return (self.all if tag in _SCOPE else self.scopes[-1])[tag] > 0
+
+
+def _marks(attributes: str) -> str:
+    """Words of class, id and role, and ``hidden``."""
+    out = []
+    for k, a, b, c in _ATTRIBUTE.findall(attributes):
+        k, value = k.lower(), a or b or c or ""
+        out.append(f"{k} {value}" if k == "hidden" or (k == "aria-hidden" and value == "true") else value)
+    return " ".join(out)
 
 
 def tree(page: str) -> Node:
-    """The page's elements; a string among a node's items is text."""
+    """The page's elements, in one pass; a string among a node's items is text."""
     root = node = Node("html", None)
-    at, n = 0, len(page)
+    open_, at, n = _Open(), 0, len(page)
+    last_end, quotes = page.rfind(">"), True
 
     def text(s: str) -> None:
         if s:
-            node.items.append(entities.unescape(s) if "&" in s else s)
+            node.items.append(unescape(s))
+
+    def close(upto: Node) -> Node:
+        """``upto`` and all in it end."""
+        x = node
+        while x is not upto:
+            open_.remove(x.tag)
+            x = x.parent
+        open_.remove(upto.tag)
+        return upto.parent
 
     while at < n:
-        m = _MARK.search(page, at)
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            node.items.append(m[1])
-        if m[3] is None:
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            text(page[at:lt])
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt)
+                node.items.append(page[lt + 9 : n if end < 0 else end])
+                at = n if end < 0 else end + 3
+            else:
+                at = n if lt > last_end else page.find(">", lt) + 1
+            continue
+        ends = after == "/"
+        m = _NAME.match(page, lt + 1 + ends) if lt < last_end else None
+        if not m:  # no tag
+            if lt > last_end:
+                text(page[at:])
+                break
+            text(page[at : lt + 1])
+            at = lt + 1
             continue
-        tag = m[3].lower()
-        if m[2]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = None if up.tag in ("td", "th", "table") and tag not in _SCOPE else up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+        text(page[at:lt])
+        tag, begin = m[0].lower(), m.end()
+        rest = _REST.match(page, begin) if quotes else None
+        if rest:
+            at = rest.end()
+        else:  # a quote is open to the end of the page: from here on tags end at any ">"
+            quotes = False
+            at = page.find(">", begin) + 1
+        attributes = page[begin : at - 1]
+        if ends:
+            if open_.sees(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = close(up)
             continue
         if tag == "html":
             continue
         if tag in _PARAGRAPH_ENDS:  # an open paragraph ends here, with what it holds
-            up = node
-            while up.parent is not None and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p" or (tag[0] == "h" and up.tag[0] == "h" and up.tag[1:].isdigit()):
-                node = up.parent
+            up = node.block
+            if up.parent is not None and (up.tag == "p" or (tag in _HEADS and up.tag in _HEADS)):
+                node = close(up)
         if tag in _CLOSES:
-            up = node
-            while up.parent is not None and up.tag not in _CLOSES[tag] and up.tag not in _SCOPE - _CLOSES[tag]:
-                up = up.parent
+            up = node.near
+            while up.parent is not None and up.tag not in _CLOSES[tag] and up.tag not in _SCOPE:
+                up = up.parent.near
             if up.tag in _CLOSES[tag]:
-                node = up.parent
-        marks = " ".join((k + " " + (a or b or c or "")) if k.lower() in ("hidden",) or (k.lower() == "aria-hidden" and (a or b or c) == "true") else (a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[4])) if m[4] else ""
-        new = Node(tag, node, marks)
+                node = close(up)
+        new = Node(tag, node, _marks(attributes) if attributes else "")
         node.items.append(new)
-        if tag in VOID or m[4].endswith("/") and tag not in BLOCK:
+        if tag in VOID or (attributes.endswith("/") and tag not in BLOCK):
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
@@ -114,25 +214,60 @@ def tree(page: str) -> Node:
             at = page.find(">", stop) + 1 if end else n
             at = at or n
             continue
+        open_.add(tag)
         node = new
     return root
 
 
-def _unwanted(node: Node) -> bool:
-    if node.tag in DROP:
-        return True
-    if node.tag in ("html", "body", "main", "article") or not node.marks:
-        return False
-    return bool(re.search(r"(?:^|\s)(?:hidden|aria-hidden)(?:\s|$)", node.marks)) or bool(UNLIKELY.search(node.marks) and not LIKELY.search(node.marks))
+def _prune(root: Node, unwanted) -> None:
+    """Take out the elements for which ``unwanted(node, within)`` holds, where
+    ``within`` tells whether it stands in an article or main part."""
+    todo = [(root, False)]
+    while todo:
+        node, within = todo.pop()
+        within = within or node.tag in ("article", "main")
+        node.items = [x for x in node.items if isinstance(x, str) or not unwanted(x, within)]
+        todo += [(x, within) for x in node.items if not isinstance(x, str)]
 
 
-def prune(root: Node) -> None:
-    """Take out what cannot be main text."""
+def _dropped(node: Node, within: bool) -> bool:
+    return node.tag in DROP or (node.tag == "header" and not within) or bool(node.marks and _HIDDEN.search(node.marks))
+
+
+def _primary(root: Node) -> Node | None:
+    """The article or main part of most words, if it has a third of the page's;
+    an article in another one or of a comment's class is none."""
+    best = None
     todo = [root]
     while todo:
         node = todo.pop()
-        node.items = [x for x in node.items if isinstance(x, str) or not _unwanted(x)]
-        todo += [x for x in node.items if not isinstance(x, str)]
+        if node.tag == "main" or (node.tag == "article" and not COMMENT.search(_LAYOUT.sub(" ", node.marks))):
+            if best is None or node.chars - node.linked > best.chars - best.linked:
+                best = node
+            continue
+        todo += [x for x in reversed(node.items) if not isinstance(x, str)]
+    return best if best is not None and 3 * (best.chars - best.linked) >= root.chars - root.linked else None
+
+
+def prune(root: Node) -> None:
+    """Take out what cannot be main text.  A word that marks such a part wins over
+    any other in the same class, but not over holding the page's article."""
+    _prune(root, _dropped)
+    measure(root)
+    spared, up = set(), _primary(root)
+    while up is not None:
+        spared.add(id(up))
+        up = up.parent
+
+    def unlikely(node: Node, within: bool) -> bool:
+        if not node.marks or node.tag in ("html", "body") or id(node) in spared:
+            return False
+        marks = _LAYOUT.sub(" ", node.marks)
+        if node.tag in ("main", "article"):
+            return bool(COMMENT.search(marks))
+        return bool(UNLIKELY.search(marks)) or (not within and bool(HEADER.search(marks)))
+
+    _prune(root, unlikely)
 
 
 def _walk(root: Node):
@@ -172,35 +307,37 @@ def blocks(root: Node) -> list[str]:
     return out
 
 
-def score(root: Node) -> list[Node]:
-    """Give points to containers; returns those with any, in page order."""
+def measure(root: Node) -> list[Node]:
+    """All nodes in page order, with their lengths: of all text, of that in links,
+    of that outside inner blocks, and commas there."""
     nodes = list(_walk(root))
-    own: dict[int, list[str]] = {}
-    for node in nodes:
-        own[id(node)] = [x for x in node.items if isinstance(x, str)]
-    inline: dict[int, str] = {}
     for node in reversed(nodes):  # children first
-        parts, linked, chars = [], 0, 0
+        linked = chars = commas = inline = 0
         for x in node.items:
             if isinstance(x, str):
                 s = _SPACE.sub(" ", x)
-                parts.append(s)
-                chars += len(s.strip())
-            else:
-                chars += x.chars
-                linked += x.linked
-                if x.tag not in BLOCK:
-                    parts.append(inline.pop(id(x), ""))
-        node.chars, node.linked = chars, chars if node.tag == "a" else linked
-        inline[id(node)] = "".join(parts)
+                size = len(s.strip())
+                chars += size
+                inline += size
+                commas += s.count(",") + s.count("，")
+                continue
+            chars += x.chars
+            linked += x.linked
+            if x.tag not in BLOCK:
+                inline += x.inline
+                commas += x.commas
+        node.chars, node.linked, node.commas, node.inline = chars, chars if node.tag == "a" else linked, commas, inline
+    return nodes
+
+
+def score(root: Node) -> list[Node]:
+    """Give points to containers; returns those with any, in page order."""
+    nodes = measure(root)
     for node in nodes:
-        if node.tag not in BLOCK:
-            continue
-        s = _SPACE.sub(" ", inline.get(id(node), "")).strip()
-        if len(s) < 25 and not (node.tag == "p" and s):
+        if node.tag not in BLOCK or (node.inline < 25 and not (node.tag == "p" and node.inline)):
             continue
-        points = (1 + s.count(",") + s.count("，") + min(3, len(s) // 100)) * (1 - node.linked / max(1, node.chars))
-        up, level = (node if node.tag not in ("p", "pre", "blockquote", "td", "li", "h1", "h2", "h3", "h4", "h5", "h6") else node.parent), 0
+        points = (1 + node.commas + min(3, node.inline // 100)) * (1 - node.linked / max(1, node.chars))
+        up, level = (node if node.tag not in ("p", "pre", "blockquote", "td", "li", *_HEADS) else node.parent), 0
         while up is not None and level < 6:
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1

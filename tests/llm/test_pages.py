@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -102,3 +104,73 @@ def test_table(spark):
     assert rows[1].n_chars == len(rows[1].text) and rows[2].text == "" and rows[None].n_chars == 0
     assert html.main_text(pages(spark, [])).count() == 0
     assert hashlib.sha1(b"").hexdigest()[:4] == "da39"
+
+
+def test_segments_meet_across_archives(spark):
+    bodies = {i: (f"page {i} é " * 4000 * i).encode() for i in range(1, 5)}
+    raw = [gzip.compress(r) for i, b in bodies.items() for r in warc.records(f"urn:page:{i}:0.{i}", f"u{i}", b, None)]
+    raw += [gzip.compress(r) for r in warc.records("urn:page:9:0.9", None, bodies[4], "urn:page:4:0.4")]
+    for cut in ([5, 6, 7], [1, 12], [], list(range(len(raw)))):
+        parts = [b"".join(reversed(raw[a:b])) for a, b in zip([0, *cut], [*cut, len(raw)], strict=True)]
+        rows = spark.createDataFrame([(0, i, bytearray(p)) for i, p in enumerate(parts)], "part int, archive int, content binary")
+        found = {r.page_id: r for r in warc.read(rows).collect()}
+        assert {i: bytes(found[i].payload) for i in bodies} == bodies
+        assert found[9].record_type == "revisit" and found[9].refers_to == 4 and found[9].payload_bytes == len(bodies[4])
+    with pytest.raises(Exception, match="missing|not the total"):
+        warc.read(spark.createDataFrame([(0, 0, bytearray(b"".join(raw[:2])))], "part int, archive int, content binary")).collect()
+
+
+ARTICLE = "<article><header><h1>Headline</h1></header>" + "<p>A paragraph of the article, with commas, and words, enough to score.</p>" * 4 + "<figure><pre>x = 1</pre><figcaption>Listing</figcaption></figure></article>"
+
+
+@pytest.mark.parametrize("name", ["comment", "comment-content", "post-comment", "comment-body", "sidebar-content", "promo content", "ad-text", "cookie-text", "page-header"])
+def test_unlikely_words_win(name):
+    other = f"<div class='{name}'><p>Somebody says, here, that this is not, at all, what was wanted.</p></div>"
+    want = html.extract("<body><div class='content'>" + ARTICLE + "</div></body>")
+    assert want.split("\n")[0] == "Headline" and want.split("\n")[-2:] == ["x = 1", "Listing"]
+    assert html.extract("<body>" + other + "<div class='content'>" + ARTICLE + other + "</div>" + other + "</body>") == want
+    assert html.extract("<body><header>Site</header><div class='layout-with-sidebar sidebar-wrap'>" + ARTICLE + f"</div><article class='{name} comment'><p>I, a reader, say so.</p></article></body>") == want
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 200_000, "<b " * 100_000, "<b>" * 100_000 + "</i>" * 100_000, '<b ">"' * 60_000, "<b>" * 50_000 + "<hr>" * 50_000, "<ul>" + "<b>" * 50_000 + "<option/>" * 50_000, "<b>" * 50_000 + "<table><td>" + "<i>" * 50_000 + "</b>" * 50_000, "&#" + "1" * 100_000 + ";", "<" * 200_000 + ">", "<!" * 100_000, "<p>x" * 50_000, "<div>text, " * 50_000])
+def test_long_pages_take_linear_time(page):
+    began = time.process_time()
+    assert isinstance(html.extract(page), str)
+    assert time.process_time() - began < 4
+
+
+def _scored(node, depth=0):
+    """Points of one tree by the plain rule: each block's own points, given to each ancestor."""
+    total = {}
+
+    def text(n):
+        return " ".join(x if isinstance(x, str) else text(x) for x in n.items)
+
+    def visit(n, up):
+        own = sum(len(x.strip()) if isinstance(x, str) else 0 for x in n.items)
+        commas = sum(x.count(",") for x in n.items if isinstance(x, str))
+        if own >= 25 or (n.tag == "p" and own):
+            points = 1 + commas + min(3, own // 100)
+            for level, x in enumerate((up if n.tag == "p" else [n, *up])[:6]):
+                total[id(x)] = total.get(id(x), 0) + points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+        for x in n.items:
+            if not isinstance(x, str):
+                visit(x, [n, *up])
+
+    visit(node, [])
+    return total
+
+
+def test_scores_equal_the_plain_rule():
+    rng = random.Random(3)
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "<p>" + "some words, " * rng.randrange(0, 30) + "</p>"
+        return "<div>" + "".join(make(depth - 1) for _ in range(rng.randrange(1, 4))) + ("bare text of a container, " * rng.randrange(0, 3)) + "</div>"
+
+    for _ in range(50):
+        root = html.tree(make(5))
+        found = html.score(root)
+        want = _scored(root)
+        assert {id(x): round(x.points, 9) for x in found} == {k: round(v, 9) for k, v in want.items()}
