@@ -29,7 +29,7 @@ _BYTE = re.compile(
 )
 
 #: Pieces of a generation (a worker remembers two), and the longest one worth it.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 500_000
 MEMO_CHARS = 64
 
 # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the
