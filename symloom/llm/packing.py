@@ -39,6 +39,7 @@ SKETCH = 3
 #: Neighbours the index returns at once.
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
+DENSE = 16
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CUT = "doc_id long, row long, doc_tokens long, first long, full array<long>, tail binary"
@@ -71,7 +72,10 @@ def _cut(path: str, end_id: int, window: int):
 
 
 class Index:
-    """BM25 inverted index over short documents of token ids."""
+    """BM25 inverted index over short documents of token ids.
+
+    Terms of more than one in ``DENSE`` documents are kept as rows of a matrix,
+    whose product with all documents is made once; the others as postings."""
 
     def __init__(self, docs: list[np.ndarray]):
         self.n = len(docs)
@@ -83,23 +87,39 @@ class Index:
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * size / max(1.0, size.mean()))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
+        often = df * DENSE > self.n
+        row, of = np.cumsum(often) - 1, often[term]
+        has = np.zeros((self.n, int(often.sum())), np.float32)
+        has[owner[of], row[term[of]]] = 1
+        dense = np.zeros_like(has)
+        dense[owner[of], row[term[of]]] = weight[of]
+        self.common = has @ dense.T
+        of = ~of & (df[term] > 1)
+        owner, term, weight = owner[of], term[of], weight[of]
         self.begin = np.searchsorted(owner, np.arange(self.n + 1))  # a document's terms
-        self.terms, self.df = term, df
+        self.terms, self.df = term, np.bincount(term, minlength=len(df))
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = owner[order], weight[order]
-        self.post_at = np.concatenate([[0], np.cumsum(df)])
+        self.post_at = np.concatenate([[0], np.cumsum(self.df)])
 
-    def neighbours(self, doc: int, unused: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-        """The k best unused documents with a term in common, best first."""
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of every document, asked with all terms of ``doc``."""
         terms = self.terms[self.begin[doc] : self.begin[doc + 1]]
-        terms = terms[self.df[terms] > 1]
-        spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in terms]
-        if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
-        score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")[:k]]
+        each = self.df[terms]
+        ends = np.cumsum(each)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.post_at[terms] - ends + each, each)
+        return self.common[doc] + np.bincount(self.post_doc[at], self.post_weight[at], self.n)
+
+    def neighbours(self, doc: int, unused: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+        """The k best unused documents with a term in common, best first; ties to
+        the earlier one."""
+        score = self.scores(doc)
+        found = np.flatnonzero(unused & (score > 0))
+        score = score[found]
+        if len(found) > k:
+            near = score >= -np.partition(-score, k - 1)[k - 1]
+            found, score = found[near], score[near]
+        return found[np.argsort(-score, kind="stable")[:k]]
 
 
 def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
