@@ -7,11 +7,14 @@ one tokenises and stores packed ids in units of about ``UNIT`` tokens; pass two
 sums the ids' counts over all units (the driver gets one row for each id of the
 vocabulary and one for each shard); pass three codes each unit by itself.  A
 container carries bit offsets every ``interval`` tokens, so its blocks decode
-independently: all of them advance together through one table.
+independently: all of them advance together through one table.  The code table
+(a checksummed code length an id) is stored beside the containers, so a reader
+needs the files alone.
 
 Defined results: a null or empty text is a document of the end id alone; equal
-rows are separate documents, in the order of id, then text; a null id sorts
-first; other columns are ignored; an empty table gives no containers.
+rows are separate documents; rows of one id follow each other by a hash of the
+text, then the text; a null id sorts first; a very long text is a unit of its
+own; other columns are ignored; an empty table gives the code table alone.
 """
 
 from __future__ import annotations
@@ -32,8 +35,14 @@ from .common import load, materialise, texts, tune, width
 UNIT = 1 << 18
 INTERVAL = 128
 MAX_LENGTH = 20
+#: Tokens coded at once, so that the arrays stay in the cache.
+PACKED_AT_ONCE = 1 << 14
 MAGIC = b"CHF1"
 _HEAD = struct.Struct("<4sIQIIIQI")  # magic, documents, start, tokens, interval, checkpoints, payload bytes, crc
+TABLE_MAGIC = b"CHT1"
+_TABLE_HEAD = struct.Struct("<4sII")  # magic, ids, crc
+#: The shard number of the row that holds the code table.
+TABLE_SHARD = -1
 
 UNIT_SCHEMA = "shard int, unit int, start long, n_tokens long, doc_ids binary, lengths binary, ids binary"
 OUT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -89,21 +98,24 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, interval: int) -> tuple[bytes, np.ndarray]:
     """Bits of ``ids``, first bit highest, and the bit offset of each block."""
-    n = lengths[ids].astype(np.int64)
-    ends = np.cumsum(n)
-    begins = ends - n
-    total = int(ends[-1]) if len(ends) else 0
-    words = np.zeros(total // 64 + 2, np.uint64)
-    if len(ids):
-        word, at = begins >> 6, begins & 63
-        code = codes[ids]
-        right = 64 - at - n  # below 0: the code runs on into the next word
+    n = lengths[ids]
+    total = int(n.sum(dtype=np.int64))
+    words, marks, at = np.zeros(total // 64 + 2, np.uint64), np.zeros(len(ids), np.int64), 0
+    for lo in range(0, len(ids), PACKED_AT_ONCE):
+        some = n[lo : lo + PACKED_AT_ONCE].astype(np.int64)
+        ends = np.cumsum(some)
+        begins = ends - some + at
+        marks[lo : lo + len(some)] = begins
+        at += int(ends[-1])
+        word = begins >> 6
+        code = codes[ids[lo : lo + len(some)]]
+        right = 64 - (begins & 63) - some  # below 0: the code runs on into the next word
         here = np.where(right >= 0, code << np.maximum(right, 0).astype(np.uint64), code >> np.maximum(-right, 0).astype(np.uint64))
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] = np.bitwise_or.reduceat(here, first)
+        words[word[first]] |= np.bitwise_or.reduceat(here, first)
         over = np.flatnonzero(right < 0)
         words[word[over] + 1] |= code[over] << (64 + right[over]).astype(np.uint64)
-    return words.astype(">u8").tobytes()[: (total + 7) // 8], begins[::interval].astype("<u8")
+    return words.astype(">u8").tobytes()[: (total + 7) // 8], marks[::interval].astype("<u8")
 
 
 def table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +166,20 @@ def read_container(blob: bytes, tab) -> tuple[int, np.ndarray, np.ndarray, np.nd
     return start, ids, lengths, unpack(rest[:size], at, n, interval, tab)
 
 
+def write_table(lengths: np.ndarray) -> bytes:
+    """The code lengths by id; the canonical codes follow from them."""
+    raw = lengths.astype(np.uint8).tobytes()
+    return _TABLE_HEAD.pack(TABLE_MAGIC, len(raw), zlib.crc32(raw)) + zlib.compress(raw)
+
+
+def read_table(blob: bytes) -> np.ndarray:
+    magic, n, crc = _TABLE_HEAD.unpack_from(blob)
+    raw = zlib.decompress(blob[_TABLE_HEAD.size :]) if magic == TABLE_MAGIC else b""
+    if magic != TABLE_MAGIC or len(raw) != n or zlib.crc32(raw) != crc:
+        raise ValueError("not a code table, or a damaged one")
+    return np.frombuffer(raw, np.uint8)
+
+
 # ---- Spark -----------------------------------------------------------------
 
 
@@ -209,9 +235,9 @@ def _containers(dtype: str, lengths: np.ndarray, starts: dict[int, int], interva
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, interval: int = INTERVAL) -> tuple[DataFrame, np.ndarray]:
-    """Containers ``(shard, unit, container)``, ascending with the document id,
-    and the code lengths by token id that ``decode`` needs.
+def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, interval: int = INTERVAL) -> DataFrame:
+    """Stored containers ``(shard, unit, container)``, ascending with the document
+    id; the row of shard ``TABLE_SHARD`` holds the code table.
 
     ``docs`` has ``doc_id`` and ``text``.  The broadcast state is the code
     lengths (one byte for each id of the vocabulary) and one offset a shard.
@@ -220,7 +246,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, interval: int = INT
     tune(spark)
     enc = tokens.pieces(tokenizer)
     vocab, dtype = max(enc.size, end_id + 1), enc.dtype.str
-    rows = texts(docs).repartitionByRange(width(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    mixed = F.xxhash64("text")
+    rows = texts(docs).repartitionByRange(width(spark), "doc_id", mixed).sortWithinPartitions("doc_id", mixed, "text")
     units = materialise(rows.mapInArrow(_units(tokenizer, end_id), UNIT_SCHEMA), "token-units")
     counts = np.zeros(vocab, np.int64)
     for r in units.select("ids").mapInArrow(_counts(dtype, vocab), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -229,13 +256,27 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, interval: int = INT
     starts, at = {}, 0
     for r in units.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():
         starts[r["shard"]], at = at, at + r["n"]
-    out = units.mapInArrow(_containers(dtype, lengths, starts, interval), "shard int, unit int, container binary")
-    return materialise(out, "token-containers", "none"), lengths
+    schema = "shard int, unit int, container binary"
+    codes = spark.createDataFrame([(TABLE_SHARD, 0, bytearray(write_table(lengths)))], schema)
+    return materialise(codes.union(units.mapInArrow(_containers(dtype, lengths, starts, interval), schema)), "token-containers", "none")
+
+
+def _decoded(containers: DataFrame, digest: bool, schema: str) -> DataFrame:
+    """Reads the code table from the containers themselves."""
+    row = containers.filter(F.col("shard") == TABLE_SHARD).select("container").first()
+    if row is None:
+        raise ValueError("the containers have no code table")
+    return containers.filter(F.col("shard") != TABLE_SHARD).select("container").mapInArrow(_read(read_table(bytes(row[0])), digest), schema)
+
+
+def decode(containers: DataFrame) -> DataFrame:
+    """``(doc_id, start, ids)`` of every document in stored containers."""
+    return _decoded(containers, False, "doc_id long, start long, ids array<int>")
 
 
-def decode(containers: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """``(doc_id, start, ids)`` of every document in the containers."""
-    return containers.select("container").mapInArrow(_read(lengths, False), "doc_id long, start long, ids array<int>")
+def describe(containers: DataFrame) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of every document in stored containers."""
+    return _decoded(containers, True, OUT_SCHEMA)
 
 
 def _read(lengths: np.ndarray, digest: bool):
@@ -258,5 +299,4 @@ def _read(lengths: np.ndarray, digest: bool):
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, lengths = encode(load(spark, sf_dir, "documents"), tokens.public("word_bpe_49k.json"))
-    return made.select("container").mapInArrow(_read(lengths, True), OUT_SCHEMA)
+    return describe(encode(load(spark, sf_dir, "documents"), tokens.public("word_bpe_49k.json")))

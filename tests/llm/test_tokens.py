@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
+import random
 import zlib
 
 import numpy as np
@@ -56,15 +59,21 @@ def test_code_lengths_are_limited_and_optimal():
 
 
 def test_containers_hold_all_documents_in_order(docs, texts):
-    made, lengths = token_output.encode(docs, WORD)
-    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, list(r.ids)) for r in token_output.decode(made, lengths).collect()))
+    made = token_output.encode(docs, WORD)
+    stored = docs.sparkSession.read.parquet(os.path.dirname(made.inputFiles()[0]))  # the files are enough
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, list(r.ids)) for r in token_output.decode(stored).collect()))
     lib, start = library(WORD), 0
     want = []
+    described = {r.start: r for r in token_output.describe(stored).collect()}
     for i, t in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = lib.encode(t or "", add_special_tokens=False).ids + [1]
         want.append((i is not None, i or 0, start, ids))
+        row = described[start]
+        assert (row.doc_id, row.n_tokens, row.ids_crc32) == (i, len(ids), zlib.crc32(np.array(ids, "<u4")))
         start += len(ids)
     assert got == want
+    with pytest.raises(ValueError):
+        token_output.decode(stored.filter("shard >= 0"))
 
 
 def test_damaged_container_is_refused():
@@ -74,6 +83,10 @@ def test_damaged_container_is_refused():
     token_output.read_container(blob, token_output.table(lengths))
     with pytest.raises(ValueError):
         token_output.read_container(blob[:-1] + b"\xff", token_output.table(lengths))
+    kept = token_output.write_table(lengths)
+    assert (token_output.read_table(kept) == lengths).all()
+    with pytest.raises((ValueError, zlib.error)):
+        token_output.read_table(kept[:-1] + b"\xff")
 
 
 def test_distinct_word_table(docs, texts):
@@ -156,9 +169,21 @@ def test_index_returns_the_lexical_neighbour():
     assert index.neighbours(1, np.array([True, False, True, True])).tolist() == [3]
 
 
+def test_scores_are_plain_bm25():
+    rng = random.Random(5)
+    docs = [np.array([min(int(rng.expovariate(0.05)), 200) for _ in range(rng.randrange(1, 60))], np.uint16) for _ in range(120)]
+    index, mean = packing.Index(docs), np.mean([len(d) for d in docs])
+    df = {t: sum(t in set(d.tolist()) for d in docs) for t in range(201)}
+    for q in range(0, 120, 7):
+        found = index.scores(q)
+        for d, doc in enumerate(docs):
+            tf = {t: doc.tolist().count(t) for t in set(doc.tolist()) & set(docs[q].tolist())}
+            want = sum(math.log1p((120 - df[t] + 0.5) / (df[t] + 0.5)) * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(doc) / mean)) for t, n in tf.items() if df[t] > 1)
+            assert d == q or found[d] == pytest.approx(want, rel=1e-4)
+
+
 def test_empty_tables(no_docs):
-    made, lengths = token_output.encode(no_docs, WORD)
-    assert token_output.decode(made, lengths).count() == 0
+    assert token_output.decode(token_output.encode(no_docs, WORD)).count() == 0
     assert bpe.per_document(bpe.encode(no_docs, WORD), WORD).count() == 0
     assert packing.pack(no_docs, BYTE).count() == 0
 
