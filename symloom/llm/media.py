@@ -24,6 +24,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -162,7 +163,13 @@ def _table(frame: bytes, h: Header) -> dict | None:
             out |= {"delay": d >> 12, "padding": d & 0xFFF, "crc_ok": crc16(frame[: p + 34], 0) == int.from_bytes(frame[p + 34 : p + 36], "big")}
         return out
     if frame[36:40] == b"VBRI" and len(frame) >= 54:
-        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+        out = {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+        count, scale, size, each = struct.unpack(">4H", frame[54:62].ljust(8, b"\0"))
+        entries = frame[62 : 62 + count * size]
+        if size and len(entries) == count * size:
+            steps = (scale * int.from_bytes(entries[i : i + size], "big") for i in range(0, len(entries), size))
+            out |= {"every": each, "seek": list(accumulate(steps))}  # bytes to the end of each entry's frames
+        return out
     return None
 
 
@@ -317,26 +324,32 @@ def media(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(_wrap, "doc_id long, media binary")
 
 
-def _features(batches):
-    for batch in batches:
-        rows = []
-        for blob in batch.column(1):
-            s = parse(blob.as_py())
-            rows.append((*s.duration(), len(s.offsets), s.offsets, s.crc_good, s.crc_bad, s.crc_none, s.skipped))
-        cols = list(zip(*rows, strict=True)) or [[]] * 8
-        kinds = [*[pa.int64()] * 3, pa.list_(pa.int64()), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", *[x.split()[0] for x in FEATURES.split(", ")]])
+FEATURES = "samples long, rate long, frames long, offsets array<bigint>, crc_good long, crc_bad long, crc_none long, skipped long"
 
 
-FEATURES = "samples long, rate long, frames long, offsets array<bigint>, crc_good long, crc_bad long, crc_none long, skipped long"
+def _feature_row(s: Stream) -> tuple:
+    """Exact duration (samples over rate), frame offsets, checksums."""
+    return (*s.duration(), len(s.offsets), s.offsets, s.crc_good, s.crc_bad, s.crc_none, s.skipped)
+
+
+def _batch(ids: pa.Array, rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
+    names, types = zip(*(x.split() for x in fields.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([ids, *[pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)]], ["doc_id", *names])
+
+
+def _features(batches):
+    for batch in batches:
+        yield _batch(batch.column(0), [_feature_row(parse(blob.as_py())) for blob in batch.column(1)], FEATURES)
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """Duration (samples over rate) and frame offsets of ``(doc_id, media)``."""
+    """Duration (samples over rate) and frame offsets of any ``(doc_id, media)``."""
     return stored.select("doc_id", "media").mapInArrow(_features, f"doc_id long, {FEATURES}")
 
 
-_OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_PAYLOAD = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _report(batches):
@@ -346,11 +359,15 @@ def _report(batches):
             data = blob.as_py()
             s = parse(data)
             payload, n = unwrap(data, s)
-            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), describe(s)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], [x.split()[0] for x in _OUT.split(", ")])
+            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), describe(s), *_feature_row(s)))
+        yield _batch(batch.column(0), rows, f"{_PAYLOAD}, {FEATURES}")
+
+
+def report(stored: DataFrame) -> DataFrame:
+    """The payloads and features of stored ``(doc_id, media)`` written by ``media``."""
+    return stored.select("doc_id", "media").mapInArrow(_report, f"doc_id long, {_PAYLOAD}, {FEATURES}")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(media(load(spark, sf_dir, "documents")), "media").mapInArrow(_report, _OUT)
+    stored = materialise(media(load(spark, sf_dir, "documents")), "media")
+    return materialise(report(stored), "media-features")  # durations and offsets are stored

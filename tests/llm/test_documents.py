@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import re
 import zlib
 
@@ -163,11 +164,24 @@ def test_plain_frames_and_tags():
     assert (len(s.offsets), s.duration(), s.crc_none, s.offsets[0]) == (3, (3456, 44100), 3, 20)
 
 
+def test_variable_bitrate_seek_table():
+    frame = bytearray(b"\xff\xfb\x90\x00" + bytes(413))
+    frame[36:62] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 417 * 7, 6, 3, 1, 2, 2)
+    frame[62:68] = struct.pack(">3H", 834, 834, 834)
+    s = media.parse(bytes(frame) + (b"\xff\xfb\x90\x00" + bytes(413)) * 6)
+    assert (s.table["kind"], s.table["frames"], s.table["every"], s.table["seek"]) == ("VBRI", 6, 2, [834, 1668, 2502])
+    assert [s.offsets[i] for i in (2, 4)] == [417 + x for x in s.table["seek"][:2]]
+
+
 def test_stored_streams(docs, texts, no_docs):
-    rows = {r.doc_id: r for r in media.media(docs).mapInArrow(media._report, media._OUT).collect()}
+    rows = {r.doc_id: r for r in media.report(media.media(docs)).collect()}
     for i, t in texts:
         raw = (t or "").encode()
         assert (rows[i].n_bytes, rows[i].payload_sha256) == (len(raw), hashlib.sha256(media.pad(raw)).hexdigest())
+        data = media.wrap(media.pad(raw), len(raw))
+        assert (rows[i].payload_bytes, rows[i].tail_crc32) == (len(media.pad(raw)), zlib.crc32(media.pad(raw)[-64:]))
+        assert (rows[i].media_bytes, rows[i].media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        assert all(data[at] == 255 for at in rows[i].offsets) and rows[i].samples == 1152 * rows[i].frames == 1152 * len(rows[i].offsets)
     assert rows[0].media_sha256 == rows[50].media_sha256 and rows[0].feature == rows[50].feature
     assert media.features(media.media(docs)).filter("crc_bad > 0 or skipped > 0").count() == 0
     assert media.features(media.media(no_docs)).count() == 0
