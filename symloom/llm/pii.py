@@ -13,12 +13,13 @@ Instances over ``ACCEPT`` become seeds of the next round.  After ``ROUNDS``
 rounds every occurrence of an accepted (pattern, instance) that touches no base
 entity is a span of kind ``id``.
 
-Regular expressions are written so that each is linear in the text: possessive
-runs, entered only where a run begins.
+Every step takes time in proportion to the text, or to the number of its spans
+by its logarithm: regular expressions have possessive runs, entered only where a
+run begins, and running sums over spans double their reach in each pass.
 
 Defined results: a null or empty text has no spans; equal rows give equal rows;
 a null id is kept; very long texts count whole; an empty table gives an empty
-table; other columns stay in ``redact`` (but not a clashing ``text``).
+table; other columns stay as they are in ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,9 +46,10 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 #: An identifier-like token: a maximal run of these characters of 6 or more, with a digit.
 TOKEN = r"(?<![A-Za-z0-9@._%+/-])(?=[A-Za-z@._%+/-]*+[0-9])[A-Za-z0-9@._%+/-]{6,}+"
-#: The last two words before it, within CONTEXT characters.
-CONTEXT = 48
-LEFT = r"((?:\S+\s+)?\S+\s*)$"
+#: The last two words before a span, in the text read backwards.
+LEFT = r"^(\s*+\S++(?:\s++\S++)?+)"
+#: Code points of a part in which positions of a text are looked up.
+PART = 1024
 
 ROUNDS = 3
 SUPPORT = 3
@@ -56,24 +58,32 @@ ACCEPT = 0.6
 _SPAN = "array<struct<s:int,e:int,m:string,left:string>>"
 
 
-def _matches(text: Column, pattern: str, needs: str | None) -> Column:
-    """Spans of all matches in code points, each with the CONTEXT characters before it."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(_SPAN).alias("out"))
+def _running(x: Column, op, zero: Column) -> Column:
+    """Of each place of an array, ``op`` over the places up to it: every pass
+    doubles the span, so n elements take log n passes, not n copies."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(x))
+    return F.aggregate(steps, x, lambda acc, d: F.zip_with(acc, F.concat(F.array_repeat(zero, d), F.slice(acc, 1, F.size(acc) - d)), lambda a, b: op(a, b)))
 
-    def step(acc, x):
-        s = acc["at"] + F.char_length(x["g"])
-        e = s + F.char_length(x["m"])
-        left = F.right(F.concat(acc["last"], x["g"]), F.lit(CONTEXT))
-        last = F.right(F.concat(acc["last"], x["g"], x["m"]), F.lit(CONTEXT))
-        one = F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), x["m"].alias("m"), left.alias("left"))
-        return F.struct(e.cast("int").alias("at"), last.alias("last"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def _matches(docs: DataFrame, kind: str, pattern: str, needs: str | None) -> DataFrame:
+    """Adds the spans of all matches in code points, each with the text between it
+    and the third match before it, cut to its last two words."""
+    text, found, gaps, ends = (F.col(OWN + c) for c in ("text", "found", "gaps", "ends"))
     guard = text.rlike(pattern) if needs is None else F.contains(text, F.lit(needs)) & text.rlike(pattern)
-    return F.when(guard, spans).otherwise(F.array().cast(_SPAN))
+    nothing = F.array().cast("array<string>")
+    out = docs.withColumn(OWN + "found", F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(nothing))
+    out = out.withColumn(OWN + "gaps", F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(nothing))
+    sizes = F.transform(found, lambda m, i: F.char_length(m) + F.char_length(F.get(gaps, i)))
+    out = out.withColumn(OWN + "ends", _running(sizes, lambda x, y: x + y, F.lit(0)))
+
+    def span(m, i):
+        e = F.get(ends, i)
+        before = [F.coalesce(F.get(x, i - k), F.lit("")) for k in (2, 1) for x in (gaps, found)]
+        left = F.reverse(F.regexp_extract(F.reverse(F.concat(*before, F.get(gaps, i))), LEFT, 1))
+        return F.struct((e - F.char_length(m)).cast("int").alias("s"), e.cast("int").alias("e"), m.alias("m"), left.alias("left"))
+
+    spans = F.when(F.size(found) > 0, F.transform(found, span)).otherwise(F.array().cast(_SPAN))
+    return out.withColumn(OWN + kind, spans.cast(_SPAN)).drop(OWN + "found", OWN + "gaps", OWN + "ends")
 
 
 def _digits(m: Column) -> Column:
@@ -101,11 +111,10 @@ def _only_valid(kind: str) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with the arrays ``email ip card phone token`` of spans."""
-    text = F.col(OWN + "text")
     out = docs.withColumn(OWN + "text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     for kind in KINDS:
-        out = out.withColumn(f"{OWN}{kind}", _matches(text, PATTERNS[kind], NEEDS[kind]))
-    out = out.withColumn(OWN + "token", _matches(text, TOKEN, None))
+        out = _matches(out, kind, PATTERNS[kind], NEEDS[kind])
+    out = _matches(out, "token", TOKEN, None)
     for kind in KINDS:
         out = out.withColumn(f"{OWN}{kind}", _only_valid(kind))
     return out
@@ -114,25 +123,31 @@ def scan(docs: DataFrame) -> DataFrame:
 def _candidates(scanned: DataFrame) -> DataFrame:
     """``(row, s, e, pattern, instance, seed)``: base entities (the seeds), and
     the tokens that touch none, in context."""
-    base = F.concat(*[F.col(f"{OWN}{k}") for k in KINDS])
-
-    def marked(spans: Column, seed: bool) -> Column:
-        return F.transform(spans, lambda x: F.struct(*[x[k].alias(k) for k in ("s", "e", "m", "left")], F.lit(seed).alias("seed")))
 
-    one = scanned.select(OWN + "row", base.alias("base"), F.explode(F.concat(marked(base, True), marked(F.col(OWN + "token"), False))).alias("t"))
-    touches = F.exists("base", lambda b: (b["s"] < F.col("t.e")) & (F.col("t.s") < b["e"]))
+    def marked(spans: Column, token: bool) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(token).alias("token"), *[x[k].alias(k) for k in ("e", "m", "left")]))
+
+    # spans in order: a token touches a base span if one before ends beyond its
+    # begin, or one after begins before its end
+    both = F.array_sort(F.concat(*[marked(F.col(f"{OWN}{k}"), False) for k in KINDS], marked(F.col(OWN + "token"), True)))
+    none = F.lit((1 << 31) - 1)
+    one = scanned.select(OWN + "row", both.alias("all"))
+    one = one.withColumn("ends", F.transform("all", lambda x: F.when(x["token"], 0).otherwise(x["e"])))
+    one = one.withColumn("begins", F.reverse(F.transform("all", lambda x: F.when(x["token"], none).otherwise(x["s"]))))
+    one = one.withColumn("ends", _running(F.col("ends"), F.greatest, F.lit(0)))
+    one = one.withColumn("begins", F.reverse(_running(F.col("begins"), F.least, none)))
+    free = F.filter("all", lambda x, i: ~x["token"] | ((F.get("ends", i) <= x["s"]) & (F.get("begins", i) >= x["e"])))
     return (
-        one.filter(F.col("t.seed") | ~touches)
+        one.select(OWN + "row", F.explode(free).alias("t"))
         .select(
             OWN + "row",
             F.col("t.s").alias("s"),
             F.col("t.e").alias("e"),
-            F.regexp_replace(F.lower(F.regexp_extract(F.col("t.left"), LEFT, 1)), r"\s+", " ").alias("pattern"),
-            F.lower(F.col("t.m")).alias("instance"),
-            F.col("t.seed").alias("seed"),
+            F.regexp_replace(F.lower(F.col("t.left")), r"\s+", " ").alias("pattern"),
+            F.xxhash64(F.lower(F.col("t.m"))).alias("instance"),
+            (~F.col("t.token")).alias("seed"),
         )
         .filter("pattern <> ''")
-        .withColumn("instance", F.xxhash64("instance"))
     )
 
 
@@ -202,19 +217,30 @@ def redact(docs: DataFrame) -> DataFrame:
     def mark(kind: str) -> Column:
         return F.transform(f"{OWN}{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
 
-    marks = F.array_sort(F.concat(*map(mark, (*KINDS, "id"))))
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        skip = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
-        put = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["k"]).alias("out"))
-        return F.when(x["s"] < acc["at"], skip).otherwise(put)
-
-    clean = F.aggregate(OWN + "marks", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    rows = find(docs).withColumn(OWN + "marks", marks)
-    new = F.when(F.size(OWN + "marks") > 0, clean).otherwise(F.col("text"))
-    return rows.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rows = find(docs.select(F.struct(*names).alias(OWN + "all"), "text"))
+    rows = rows.withColumn(OWN + "marks", F.array_sort(F.concat(*map(mark, (*KINDS, "id")))))
+    marks, parts, upto = (F.col(OWN + c) for c in ("marks", "parts", "upto"))
+    some = F.size(marks) > 0
+    # a long text is looked up by parts: finding a position in a string takes time in proportion to it
+    rows = rows.withColumn(OWN + "parts", F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}+"), F.lit(0))))
+    rows = rows.withColumn(OWN + "upto", F.when(some, F.concat(F.array(F.lit(0)), _running(F.transform(marks, lambda x: x["e"]), F.greatest, F.lit(0)))))
+
+    def part(i: Column) -> Column:
+        return F.coalesce(F.get(parts, i), F.lit(""))
+
+    def piece(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / PART).cast("int"), F.floor(b / PART).cast("int")
+        wide = F.concat(F.substring(part(i), a % PART + 1, F.lit(PART)), F.array_join(F.slice(parts, i + 2, j - i - 1), ""), F.substring(part(j), F.lit(1), b % PART))
+        return F.when(i == j, F.substring(part(i), a % PART + 1, b - a)).otherwise(wide)
+
+    def written(x, i):
+        return F.when(x["s"] < F.get(upto, i), F.lit("")).otherwise(F.concat(piece(F.get(upto, i), x["s"]), x["k"]))
+
+    size = F.char_length("text")
+    clean = F.concat(F.array_join(F.transform(marks, written), ""), piece(F.get(upto, F.size(marks)), size))
+    new = F.when(some, clean).otherwise(F.col("text"))
+    return rows.select(*[new.alias("text") if c == "text" else F.col(OWN + "all")[c].alias(c) for c in docs.columns])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import time
+import random
+import math
 import struct
 import re
 import zlib
@@ -98,6 +101,53 @@ def test_redaction_replaces_spans(spark):
     assert got == {1: "to é [EMAIL], [IP].", 2: "[CARD]"}
 
 
+def test_redaction_over_parts_and_clashing_names(spark):
+    rng, rows = random.Random(4), []
+    for i in range(6):
+        words = [rng.choice(["é😀x", "word", "a@b.co", "+1 743 555 3824", "1.2.3.4", "\n", "x" * 700]) for _ in range(rng.choice([3, 400]))]
+        rows.append((i, " ".join(words), "mine", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __pii_email string, `__pii_a.b` long")
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    got = {r[0]: r for r in pii.redact(docs).collect()}
+    for i, text, *rest in rows:
+        out, at = [], 0
+        for k, a, b in sorted(((k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans[i].split(",") if x)), key=lambda x: x[1:]):
+            if a >= at:
+                out += [text[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        assert list(got[i]) == [i, "".join(out) + text[at:], *rest]
+
+
+@pytest.mark.parametrize("unit", ["tok3n-{0} ", "u{0}@h.co,", "a1b2c3d4{0}"])
+def test_texts_of_very_many_spans(spark, unit):
+    text = "".join(unit.format(i) for i in range(50_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (row,) = pii.report(docs).collect()
+    (new,) = pii.redact(docs).collect()
+    assert row.n_email == (50_000 if "@" in unit else 0)
+    assert new.text == (text if "@" not in unit else "[EMAIL]," * 50_000)
+    assert time.time() - began < 60
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    edges = {(f"p{rng.randrange(12)}", rng.randrange(60)) for _ in range(150)}
+    seeds = set(rng.sample(range(60), 15))
+    rows = [(p, i, i in seeds) for p, i in edges for _ in range(rng.randrange(1, 3))]
+    got = {(r.pattern, r.instance) for r in pii.bootstrap(spark.createDataFrame(rows, "pattern string, instance long, seed boolean"), 3, 2, 0.4).collect()}
+    sure = {i: float(i in seeds) for _, i in edges}
+    for _ in range(3):
+        score = {}
+        for p in {p for p, _ in edges}:
+            own = [sure[i] for q, i in edges if q == p]
+            if sum(x >= 0.4 for x in own) >= 2:
+                score[p] = sum(own) / len(own)
+        sure = {i: 1.0 if i in seeds else 1 - math.prod(1 - score[p] for p, j in edges if j == i and p in score) for i in sure}
+    assert got == {(p, i) for p, i in edges if i not in seeds and sure[i] >= 0.4 and score.get(p, 0) >= 0.2}
+    assert got
+
+
 # ---- language --------------------------------------------------------------
 
 
