@@ -89,6 +89,18 @@ def test_damaged_container_is_refused():
         token_output.read_table(kept[:-1] + b"\xff")
 
 
+def test_a_vocabulary_with_a_decoder(docs, texts):
+    lib = library(BYTE)
+    got = {(r.doc_id, r.decoded) for r in bpe.per_document(bpe.encode(docs, BYTE), BYTE).collect()}
+    assert got == {(i, lib.decode(lib.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in texts}
+
+
+def test_blocks_read_differently_are_refused(spark, docs, monkeypatch):
+    blocks = bpe.encode(docs, WORD)
+    with pytest.raises(Exception, match="another order"):
+        bpe.per_document(blocks.withColumn("check", blocks["check"] + 1), WORD).collect()
+
+
 def test_distinct_word_table(docs, texts):
     lib = library(WORD)
     got = sorted((r.doc_id or -1, list(r.ids), r.decoded) for r in bpe.per_document(bpe.encode(docs, WORD), WORD).collect())
