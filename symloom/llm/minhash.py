@@ -7,9 +7,10 @@ all elements, so every coordinate is filled.  Coordinates of two sketches agree
 with the sets' Jaccard similarity as probability, and their mean concentrates
 as that of independent draws.
 
-``BANDS`` bands of ``ROWS`` coordinates each find candidates: a pair at the
-least similarity shares a bucket with probability 1 - (1 - 0.8**8)**64, that
-is all but 8 in a million.  Links are confirmed on the full sets.
+A sketch is kept as the low byte of each coordinate.  ``BANDS`` bands of ``ROWS``
+of these bytes find candidates: a pair at the least similarity shares a bucket
+with probability 1 - (1 - 0.8**8)**64 or more, that is all but 8 in a million.
+Links are confirmed on the full sets.
 
 Equal sets meet first, by a 128-bit digest, and go on as one class.  Then
 1. each class is compared with the smallest class of its buckets;
@@ -18,8 +19,9 @@ Equal sets meet first, by a 128-bit digest, and go on as one class.  Then
    entries (of so many partners from each bucket one not yet tried is taken);
    true groups become one component here, without all their pairs; then
 3. all pairs of different components whose sketches do not rule them out
-   (agreement under the threshold by ``SIGMAS`` standard deviations) are compared
-   on their sets, which join only the members that have such a partner.
+   (agreement under the threshold by ``sigmas`` standard deviations; None: by
+   nothing) are compared on their sets, which join only the members that have
+   such a partner.
 Buckets of any size are compared in blocks of ``BLOCK`` members against each
 other inside tasks, which emit links or one candidate a member, not all pairs.
 
@@ -37,7 +39,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, materialise, texts, tune
@@ -109,12 +111,12 @@ def sketch(s: np.ndarray, t: int = T) -> np.ndarray:
     return out
 
 
-def band_keys(sk: np.ndarray) -> np.ndarray:
-    rows = sk.reshape(BANDS, ROWS)
-    h = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _A)
-    for i in range(ROWS):
-        h = mix(h * _A + rows[:, i])
-    return h.view(np.int64)
+_SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _A)
+
+
+def band_keys(coords: bytes) -> np.ndarray:
+    """The bucket of each band of a sketch's bytes."""
+    return mix(np.frombuffer(coords, "<u8") ^ _SALTS).view(np.int64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -126,20 +128,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def _signatures(k: int):
     def run(batches):
         for batch in batches:
-            ids, n, key, bands, coords = batch.column(0), [], [], [], []
-            seen: dict[bytes, tuple] = {}
+            ids, n, key, coords = batch.column(0), [], [], []
+            seen: dict[bytes, bytes] = {}
             for doc_id, text in zip(ids.to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, k)
                 n.append(len(s))
                 if doc_id is None or not len(s):
-                    key.append(None), bands.append(None), coords.append(None)
+                    key.append(None), coords.append(None)
                     continue
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if digest not in seen:
-                    sk = sketch(s)
-                    seen[digest] = band_keys(sk).tobytes(), (sk & np.uint64(255)).astype(np.uint8).tobytes()
-                key.append(digest), bands.append(seen[digest][0]), coords.append(seen[digest][1])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.binary()), pa.array(coords, pa.binary())], ["doc_id", "n_shingles", "key", "bands", "coords"])
+                    seen[digest] = (sketch(s) & np.uint64(255)).astype(np.uint8).tobytes()
+                key.append(digest), coords.append(seen[digest])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(coords, pa.binary())], ["doc_id", "n_shingles", "key", "coords"])
 
     return run
 
@@ -147,7 +148,7 @@ def _signatures(k: int):
 def _explode_bands(batches):
     for batch in batches:
         ids = np.asarray(batch.column(0))
-        keys = [np.frombuffer(b.as_py(), "<i8") for b in batch.column(1)]
+        keys = [band_keys(b.as_py()) for b in batch.column(1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(ids, BANDS))], ["k", "id"])
 
 
@@ -203,14 +204,14 @@ def _borders(table: pa.Table, key: int) -> list[int]:
     return [0, *(np.flatnonzero(step) + 1).tolist(), table.num_rows]
 
 
-def _cross(percent: int, best: int | None):
+def _cross(percent: int, best: int | None, sigmas: float | None):
     """Likely pairs of different components in the pairs of blocks of buckets.
 
     With ``best``, each member's likeliest partners in larger components as
     ``(a, b, s)``, a being the member and s the coordinates that agree.  Without, all likely pairs are
     compared: on ``set`` where the rows have it, and the links come out, one for
     each two components; else the ids that take part come out, as a."""
-    cut = T * (percent / 100) - SIGMAS * math.sqrt(T * percent / 100 * (1 - percent / 100))
+    cut = 0 if sigmas is None else T * (percent / 100) - sigmas * math.sqrt(T * percent / 100 * (1 - percent / 100))
 
     def run(batches):
         for table, edges in _groups(batches, 3):
@@ -222,8 +223,8 @@ def _cross(percent: int, best: int | None):
                 root: dict[int, int] = {}
 
                 def of(c: int, root=root) -> int:
-                    while root.get(c, c) != c:
-                        c = root[c]
+                    while (up := root.get(c, c)) != c:
+                        root[c] = c = root.get(up, up)
                     return c
 
                 left = lo + np.flatnonzero(block[lo:hi] == i[lo])
@@ -295,10 +296,9 @@ def _mixed(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[Dat
     one = members.groupBy("k").agg(F.sum("weight").alias("size"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
     kept = one.groupBy("size", "x", "y").agg(F.min("k").alias("k")).select("k", F.floor((F.col("size") - 1) / BLOCK).cast("int").alias("last"))
     whole = members.join(kept.filter("last = 0"), "k").select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "id")
-    before = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     split = (
         members.join(kept.filter("last > 0"), "k")
-        .withColumn("block", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0)) / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
         .select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
     )
@@ -306,37 +306,36 @@ def _mixed(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[Dat
     return dealt, part
 
 
-def _compared(dealt: DataFrame, part: DataFrame, percent: int, best: int | None, sets: DataFrame | None = None) -> DataFrame:
+def _compared(dealt: DataFrame, part: DataFrame, percent: int, best: int | None, sigmas: float | None, sets: DataFrame | None = None) -> DataFrame:
     columns = ["k", "i", "j", "block", "id", "component", "n", "csize", "coords"]
     rows = dealt.join(part, "id")
     if sets is not None:
         rows, columns = rows.join(sets, "id"), [*columns, "set"]
     groups = rows.select(*columns).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "block", "id")
-    return groups.mapInArrow(_cross(percent, best), "a long, b long, s int")
+    return groups.mapInArrow(_cross(percent, best, sigmas), "a long, b long, s int")
 
 
 def _best(dealt: DataFrame, part: DataFrame, tried: DataFrame, percent: int, best: int) -> DataFrame:
     """The likeliest pair, not yet tried, of each member."""
-    found = _compared(dealt, part, percent, best)
+    found = _compared(dealt, part, percent, best, SIGMAS)
     fresh = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "s").distinct()
     fresh = fresh.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
     return fresh.groupBy("a").agg(F.max(F.struct("s", -F.col("x"), -F.col("y"), "x", "y")).alias("m")).select(F.col("m.x").alias("a"), F.col("m.y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sigmas: float | None = SIGMAS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every document."""
     tune(docs.sparkSession)
     rows = texts(docs)
-    signed = materialise(rows.mapInArrow(_signatures(words), "doc_id long, n_shingles long, key binary, bands binary, coords binary"), "signatures")
+    signed = materialise(rows.mapInArrow(_signatures(words), "doc_id long, n_shingles long, key binary, coords binary"), "signatures")
     classes = materialise(
-        signed.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "coords")).alias("m")).select("key", "m.*"),
+        signed.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "coords")).alias("m")).select("key", "m.*"),
         "classes",
     )
-    bucket = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = materialise(
-        classes.select("id", "bands").mapInArrow(_explode_bands, "k long, id long").withColumn("rep", F.first("id").over(bucket)).filter("rep <> id"),
-        "stars",
-    )
+    # a bucket's smallest class is found by partial aggregation, whatever its size
+    banded = classes.select("id", "coords").mapInArrow(_explode_bands, "k long, id long")
+    reps = banded.groupBy("k").agg(F.min("id").alias("rep"), F.max("id").alias("most")).filter("rep <> most").select("k", "rep")
+    stars = materialise(banded.join(reps, "k").filter("rep <> id").select("k", "id", "rep"), "stars")
     # only texts that share a bucket are compared: they are set apart once
     shared = stars.select(F.col("id").alias("doc_id")).union(stars.select("rep")).distinct()
     near = materialise(rows.join(shared, "doc_id", "left_semi"), "near-texts")
@@ -352,11 +351,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links = materialise(links.union(confirm(pairs, near, words, percent)), "near-links")
     dealt, part = _mixed(stars, classes, components(links))
     dealt = materialise(dealt, "dealt")
-    left = materialise(_compared(dealt, part, percent, None).select(F.col("a").alias("id")).distinct(), "undecided")
+    left = materialise(_compared(dealt, part, percent, None, sigmas).select(F.col("a").alias("id")).distinct(), "undecided")
     sets = near.join(left.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, set binary")
     # rows of one id are one node: its class has the set of one of them
     sets = sets.join(classes.select("id", "n"), "id").filter(F.length("set") == F.col("n") * 8).groupBy("id").agg(F.min("set").alias("set"))
-    last = _compared(dealt.join(left, "id", "left_semi"), part, percent, None, sets).select("a", "b")
+    last = _compared(dealt.join(left, "id", "left_semi"), part, percent, None, sigmas, sets).select("a", "b")
     links = materialise(links.union(last.distinct()), "near-links")
     labels = components(links)
     of = classes.select("key", F.col("id")).join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"))

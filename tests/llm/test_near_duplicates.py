@@ -81,3 +81,20 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(200, 230)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert set(got.values()) == {100, 7} and got[140] == 100 and got[229] == 7
+
+
+def test_recall_of_planted_pairs_at_the_threshold(spark):
+    """Pairs from just over to just under 0.8, none like another pair."""
+    rng, rows, linked = random.Random(9), [], set()
+    for p in range(1500):
+        words = [f"p{p}x{j}" for j in range(120)]
+        other = words[: rng.randrange(94, 108)] + [f"q{p}x{j}" for j in range(rng.randrange(0, 10))]
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other))]
+        a, b = (set(zip(w, w[1:])) for w in (words, other))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            linked.add(p)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert 300 < len(linked) < 1450
+    for sigmas in (minhash.SIGMAS, None):
+        got = {r.doc_id // 2 for r in minhash.near_duplicates(docs, 2, sigmas=sigmas).filter("not kept").collect()}
+        assert got == linked
