@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import load, materialise, texts, tune
 
@@ -236,9 +237,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def _annotate(model: Model):
     def run(batches):
         for batch in batches:
-            text = ["" if t is None else t for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            text = ["" if t is None else t for t in batch.column(1).to_pylist()]
             found = [x for held in _batches((t,) for t in text) for x in model.predict([t for (t,) in held])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, "__lang_pred", "__lang_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["row", "lang", "score"])
 
     return run
 
@@ -246,9 +247,11 @@ def _annotate(model: Model):
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows whose language is identified with at least this score."""
     tune(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.mapInArrow(_annotate(model), f"{fields}, __lang_pred string, __lang_score double")
-    return marked.filter((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= least)).select(*docs.columns)
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    # the row travels as a struct, so no column of it can clash
+    rows = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"))
+    marked = rows.mapInArrow(_annotate(model), StructType([rows.schema["row"], StructField("lang", StringType()), StructField("score", DoubleType())]))
+    return marked.filter((F.col("lang") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
