@@ -12,13 +12,17 @@ from .common import width
 _NULL = -(1 << 63)
 
 
+def _array(bounds: list[int]) -> Column:
+    """The bounds as one literal (folded), however many they are."""
+    return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+
+
 def _part(key: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most the key, less one; two steps
     of a square root of their number each."""
     step = max(1, math.isqrt(len(bounds)))
-    heads = F.array(*[F.lit(b) for b in bounds[::step]])
-    at = F.size(F.filter(heads, lambda b: b <= key)) - 1
-    near = F.slice(F.array(*[F.lit(b) for b in bounds]), at * step + 1, F.lit(step))
+    at = F.size(F.filter(_array(bounds[::step]), lambda b: b <= key)) - 1
+    near = F.slice(_array(bounds), at * step + 1, F.lit(step))
     return at * step + F.size(F.filter(near, lambda b: b <= key)) - 1
 
 
@@ -37,7 +41,7 @@ def with_successors(rows: DataFrame, key: str, text: str) -> DataFrame:
     bounds = sorted(r["low"] for r in lows.collect()) or [_NULL]
     part = _part(ids, bounds)
     before = F.when(part == 0, F.lit(len(bounds) - 1)).otherwise(part - 1)
-    begins = F.element_at(F.array(*[F.lit(b) for b in bounds]), part + 1) == ids
+    begins = F.element_at(_array(bounds), part + 1) == ids
     own, copy = F.struct(part.alias("part"), F.lit(False).alias("tail")), F.struct(before.alias("part"), F.lit(True).alias("tail"))
     dealt = rows.select(key, text, F.explode(F.when(begins, F.array(own, copy)).otherwise(F.array(own))).alias("_to")).select(key, text, "_to.part", "_to.tail")
     return dealt.repartitionById(len(bounds), F.col("part")).sortWithinPartitions("part", "tail", F.col(key).asc_nulls_first(), text)
