@@ -41,3 +41,32 @@ def test_stages_equal_plain_versions(spark, tmp_path):
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4"))
     assert max(r.offset + r.length for r in final) <= packing.WINDOW
     assert langid.BUCKETS == 1 << 16
+
+
+def test_stages_on_odd_rows_and_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, __lang_pred string, __copy long, __kept string"
+    text = "the quick brown fox jumps over the lazy dog and runs far away"
+    rows = [(1, text, "en", "a", 2, "x"), (1, text, "en", "a", 1, "x"), (1, text, "en", None, 1, "x"), (None, text, "en", "a", 1, "x"), (None, text, "en", "a", 1, "x"), (2, "", None, None, None, None), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    one = corpus_pipeline.language_id(spark, docs, "")
+    assert one.columns == docs.columns and sorted(one.collect(), key=str) == sorted(rows[:5], key=str)
+    two = corpus_pipeline.near_dedup(spark, docs, "")
+    assert two.columns == docs.columns and sorted(two.collect(), key=str) == sorted([rows[2], *rows[3:]], key=str)
+    folder = str(tmp_path)
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty.write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_registered_queries_equal_their_operators(spark, tmp_path):
+    """Every registered query runs on a small table and gives a row a document or page, or its pieces."""
+    folder = str(tmp_path)
+    docs = [(i, f"A text, number {i}, of some few words for all. " * (1 + i % 5), "en" if i % 2 else "fr", "s", 1) for i in range(1, 30)] + [(50, None, None, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, f"u{i}", f"<article><p>Page, {i % 4}, of words.</p></article>") for i in range(12)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    for name, query in registry.QUERIES.items():
+        found = query(spark, folder).collect()
+        key = "page_id" if name in ("op7_html", "op9_warc") else "doc_id"
+        want = set(range(12)) if key == "page_id" else {r[0] for r in docs}
+        assert {r[key] for r in found} == want, name
+        assert name == "op6_packing" or len(found) == len(want), name
