@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm import langid, minhash, packing, pii, tokens
@@ -19,7 +19,11 @@ LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; the others go."""
+    """Documents whose language is identified; the others go.
+
+    A null or empty text, or one without a letter, has no language and goes; so
+    do all if nothing is labelled.  A null label or id is learnt from or kept
+    like any other.  Equal rows are judged alike; an empty table stays empty."""
     model = langid.fit(docs.select("doc_id", "text", "lang").filter(~langid.held_out()))
     return langid.keep_identified(docs, model, LANGUAGE_SCORE)
 
@@ -27,21 +31,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five words, 0.8): the smallest id.
 
-    A document without words is a group of its own; of rows equal in id and text
-    one stays."""
-    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    copy = Window.partitionBy("doc_id", "text").orderBy("lang", "source")
-    return left.withColumn("__copy", F.row_number().over(copy)).filter("__copy = 1").select(*docs.columns)
+    A document without words or with a null id is a group of its own; of rows
+    equal in id and text one stays, with the smallest of the other columns; an
+    empty table stays empty."""
+    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # equal rows meet by partial aggregation, which the join's partitioning serves
+    one = left.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("rest"))
+    one = one.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
+    return one.unionByName(docs.filter("doc_id is null"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind."""
+    """All documents, personal data in their texts replaced by its kind.
+
+    A null or empty text stays as it is, as do all other columns; equal rows stay
+    equal; an empty table stays empty."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens.
+
+    A null or empty text is the end id alone; equal rows and null ids are packed
+    like any others; an empty table gives no pieces."""
     return packing.pack(docs, tokens.public("byte_bpe_50k.json"))
 
 
