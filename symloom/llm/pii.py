@@ -217,8 +217,8 @@ def redact(docs: DataFrame) -> DataFrame:
     def mark(kind: str) -> Column:
         return F.transform(f"{OWN}{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
 
-    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
-    rows = find(docs.select(F.struct(*names).alias(OWN + "all"), "text"))
+    others = [f"`{c.replace('`', '``')}`" for c in docs.columns if c != "text"]
+    rows = find(docs.select(F.struct(F.lit(0).alias("text"), *others).alias(OWN + "all"), "text"))
     rows = rows.withColumn(OWN + "marks", F.array_sort(F.concat(*map(mark, (*KINDS, "id")))))
     marks, parts, upto = (F.col(OWN + c) for c in ("marks", "parts", "upto"))
     some = F.size(marks) > 0
