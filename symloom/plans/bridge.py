@@ -57,8 +57,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_returnflag", "l_linestatus")
-    a = li.filter(F.col("l_discount") < 0.035)
+    a = li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
     b = li.select(F.col("l_orderkey"), (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to_part"))
     kind = F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "F", "imports").otherwise("uses")).otherwise("calls")
     pairs = a.join(b, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("from_part"), "to_part", kind.alias("edge_type")).distinct()
@@ -124,7 +123,7 @@ files AS MATERIALIZED (
 pairs AS MATERIALIZED (
   SELECT DISTINCT a.l_partkey AS f, b.l_partkey AS t,
     CASE WHEN a.l_returnflag = 'R' THEN CASE WHEN a.l_linestatus = 'F' THEN 'imports' ELSE 'uses' END ELSE 'calls' END AS edge_type
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 WHERE a.l_discount < 0.035),
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1),
 edges AS MATERIALIZED (
   SELECT CAST((f * 10000000 + t) * 4 + CASE edge_type WHEN 'calls' THEN 1 WHEN 'imports' THEN 2 ELSE 3 END AS BIGINT) AS id, x.fqn AS src, y.fqn AS dst, edge_type,
     CASE WHEN (f + t) % 3 = 0 THEN 'semantic' ELSE 'syntactic' END AS resolution
