@@ -14,6 +14,8 @@ from symloom.sources.session import cut
 
 #: Expansions deeper than this are checkpointed level by level.
 PLAIN_DEPTH = 3
+#: Tables of levels kept apart before they become one.
+MERGE = 8
 
 
 def arcs(edges: DataFrame, types: list[str] | None = None, reverse: bool = False, bag: bool = False) -> DataFrame:
@@ -41,11 +43,11 @@ def reach(pairs: DataFrame, seeds: DataFrame, depth: int | None, include_seed_on
     start = seeds.select(F.col("node").alias("seed"), "node").distinct()
     if depth is None:
         return _closure(pairs, start, include_seed_on_cycle)
+    if depth > PLAIN_DEPTH:
+        return _closure(pairs, start, include_seed_on_cycle, depth)
     frontier, levels = start, []
     for step in range(1, depth + 1):
         frontier = frontier.join(pairs.withColumnRenamed("src", "node"), "node").select("seed", F.col("dst").alias("node")).distinct()
-        if step > PLAIN_DEPTH:
-            frontier = cut(frontier)
         levels.append(frontier.withColumn("depth", F.lit(step)))
     if not levels:
         return start.withColumn("depth", F.lit(0)).limit(0)
@@ -56,22 +58,30 @@ def reach(pairs: DataFrame, seeds: DataFrame, depth: int | None, include_seed_on
     return found if include_seed_on_cycle else found.filter("seed <> node")
 
 
-def _closure(pairs: DataFrame, start: DataFrame, include_seed_on_cycle: bool) -> DataFrame:
+def _closure(pairs: DataFrame, start: DataFrame, include_seed_on_cycle: bool, depth: int | None = None) -> DataFrame:
+    """Level by level; a node is expanded once.  Each level is a table of its own."""
     pairs = cut(pairs)
-    frontier, seen, step = start, None, 0
-    while True:
-        step += 1
+    frontier, levels, step = start, [], 0
+    while depth is None or step < depth:
         new = frontier.join(pairs.withColumnRenamed("src", "node"), "node").select("seed", F.col("dst").alias("node")).distinct()
-        if seen is not None:
-            new = new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        for level in levels:
+            new = new.join(level.select("seed", "node"), ["seed", "node"], "left_anti")
         frontier = cut(new)
         if frontier.isEmpty():
             break
-        level = frontier.withColumn("depth", F.lit(step))
-        seen = level if seen is None else cut(seen.union(level))
-    if seen is None:
-        return start.withColumn("depth", F.lit(0)).limit(0)
-    return seen if include_seed_on_cycle else seen.filter("seed <> node")
+        step += 1
+        levels.append(frontier.withColumn("depth", F.lit(step)))
+        if len(levels) == MERGE:  # few tables to compare with
+            levels = [cut(_all(levels))]
+    found = _all(levels) if levels else start.withColumn("depth", F.lit(0)).limit(0)
+    return found if include_seed_on_cycle else found.filter("seed <> node")
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out
 
 
 def callers(edges: DataFrame, seeds: DataFrame, depth: int | None, types: list[str] | None = None) -> DataFrame:
@@ -162,29 +172,91 @@ def simple_paths(pairs: DataFrame, seeds: DataFrame, depth: int, target: DataFra
     return found.select("seed", "path")
 
 
-def shortest_path(pairs: DataFrame, source: str, target: str, limit: int = 64) -> list[str] | None:
-    """A path with the fewest edges, by the smallest predecessor; None if none."""
+def shortest_path(pairs: DataFrame, source: str, target: str, limit: int | None = None) -> list[str] | None:
+    """A path with the fewest edges, by the smallest predecessors; None if none
+    (of at most ``limit`` edges).  Paths grow with the search, so a level is one
+    job and the path comes with its end."""
     if source == target:
         return [source]
-    spark = pairs.sparkSession
     pairs = cut(pairs)
-    parents = cut(spark.createDataFrame([(source, None)], "node string, parent string"))
-    frontier = parents.select("node")
-    for _ in range(limit):
-        new = frontier.join(pairs.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("node").alias("parent"))
-        new = cut(new.join(parents.select("node"), "node", "left_anti"))
-        if new.isEmpty():
+    seen = cut(pairs.sparkSession.createDataFrame([(source, [source])], "node string, path array<string>"))
+    frontier, steps = seen, 0
+    while limit is None or steps < limit:
+        steps += 1
+        new = frontier.join(pairs.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        frontier = cut(new.join(seen.select("node"), "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")))
+        hit = frontier.filter(F.col("node") == target).first()
+        if hit is not None:
+            return hit["path"]
+        if frontier.isEmpty():
             return None
-        parents, frontier = cut(parents.union(new)), new.select("node")
-        if not new.filter(F.col("node") == target).isEmpty():
-            path = [target]
-            while path[0] != source:  # as long as the path
-                path.insert(0, parents.filter(F.col("node") == path[0]).first()["parent"])
-            return path
-    raise ValueError(f"no path of at most {limit} edges was decided")
-
-
-def strong_components(pairs: DataFrame, rounds: int = 200) -> DataFrame:
+        seen = cut(seen.select("node").union(frontier.select("node")))
+    return None
+
+
+def cycles(pairs: DataFrame) -> DataFrame:
+    """``(component, cycle)``: of every strongly connected component, and every
+    loop of one node, one closed cycle through its smallest node: the shortest,
+    of these the smallest; the first node ends it again."""
+    members = strong_components(pairs)
+    within = cut(
+        pairs.filter("src <> dst").distinct()
+        .join(members.select(F.col("node").alias("src"), "component"), "src")
+        .join(members.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst")
+        .filter("component = other")
+        .select("component", "src", "dst")
+    )
+    loops = pairs.filter("src = dst").distinct().select(F.col("src").alias("component"), F.array("src", "dst").alias("cycle"))
+    frontier = within.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path"))
+    done, seen = [loops.join(members.select("component"), "component", "left_anti")], None
+    while True:
+        new = (
+            frontier.join(within.withColumnRenamed("src", "node"), ["component", "node"])
+            .groupBy("component", F.col("dst").alias("node"))
+            .agg(F.min("path").alias("path"))
+            .select("component", "node", F.concat("path", F.array("node")).alias("path"))
+        )
+        new = cut(new if seen is None else new.join(seen, ["component", "node"], "left_anti"))
+        if new.isEmpty():
+            return _all(done)
+        closed = new.filter("node = component").select("component", F.col("path").alias("cycle"))
+        done.append(closed)
+        frontier = new.join(closed.select("component"), "component", "left_anti")
+        step = frontier.select("component", "node")
+        seen = step if seen is None else cut(seen.union(step))
+
+
+def on_cycle(edges: DataFrame, fqn: str, types: tuple[str, ...] = ("calls",)) -> bool:
+    """Whether a symbol reaches itself."""
+    there = arcs(edges, list(types))
+    seeds = there.sparkSession.createDataFrame([(fqn,)], "node string")
+    return not reach(there, seeds, None, include_seed_on_cycle=True).filter(F.col("node") == fqn).isEmpty()
+
+
+def related_code(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+    """``(seed, relation, node)``: direct callers and callees, dependencies by
+    type, and the impact within ``depth`` steps."""
+    s = seeds.select(F.col("node").alias("seed")).distinct()
+    typed = edges.filter("src is not null and dst is not null").select("src", "dst", "edge_type").distinct()
+    there = typed.join(s.withColumnRenamed("seed", "src"), "src").select(F.col("src").alias("seed"), "edge_type", F.col("dst").alias("node"))
+    back = typed.filter("edge_type = 'calls'").join(s.withColumnRenamed("seed", "dst"), "dst").select(F.col("dst").alias("seed"), F.lit("caller").alias("relation"), F.col("src").alias("node"))
+    out = there.filter("edge_type = 'calls'").select("seed", F.lit("callee").alias("relation"), "node")
+    needs = there.filter(F.col("edge_type").isin("imports", "calls", "uses")).select("seed", F.concat(F.lit("dependency_"), "edge_type").alias("relation"), "node")
+    far = impact_radius(edges, seeds, depth).select("seed", F.lit("impact").alias("relation"), "node")
+    return back.union(out).union(needs).union(far)
+
+
+def symbol_context(symbols: DataFrame, files: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(seed, relation, node)``: the file's path, its other symbols, direct
+    callers and callees, and imports."""
+    own = symbols.join(seeds.select(F.col("node").alias("fqn")).distinct(), "fqn").select(F.col("fqn").alias("seed"), "file_id")
+    where = own.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("seed", F.lit("file").alias("relation"), F.col("path").alias("node"))
+    beside = own.join(symbols.select("file_id", "fqn"), "file_id").filter("fqn <> seed").select("seed", F.lit("sibling").alias("relation"), F.col("fqn").alias("node"))
+    near = related_code(edges, seeds, 0).filter(F.col("relation").isin("caller", "callee", "dependency_imports"))
+    return where.union(beside.distinct()).union(near)
+
+
+def strong_components(pairs: DataFrame) -> DataFrame:
     """``(node, component)`` of every strongly connected component of two nodes
     or more; the component is its smallest node.
 
@@ -193,7 +265,7 @@ def strong_components(pairs: DataFrame, rounds: int = 200) -> DataFrame:
     Nodes without an edge in or out are trimmed first."""
     live = cut(pairs.filter("src <> dst").distinct())
     done: list[DataFrame] = []
-    for _ in range(rounds):
+    while True:
         while True:
             kept = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             if kept.count() == live.count():
@@ -214,8 +286,6 @@ def strong_components(pairs: DataFrame, rounds: int = 200) -> DataFrame:
         live = cut(
             within.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
         )
-    else:
-        raise ValueError(f"not settled after {rounds} rounds")
     if not done:
         return pairs.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
     out = done[0]

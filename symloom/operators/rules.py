@@ -317,3 +317,28 @@ def review(symbols: DataFrame, files: DataFrame, edges: DataFrame, paths: DataFr
 def by_severity(issues: DataFrame) -> DataFrame:
     order = F.array(*map(F.lit, ("critical", "high", "medium", "low", "info")))
     return issues.groupBy("severity", "type").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.array_position(order, F.col("severity")).cast("int"))
+
+
+def architecture_review(edges: DataFrame, of=None, layered=None) -> DataFrame:
+    """``(finding, subject, detail)``: cycles between modules, forbidden layer
+    dependencies and modules with too many dependencies.  ``of`` and ``layered``
+    map names to modules, for cycles and for layers."""
+    modules = stats.module_dependencies(edges, of).select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))
+    rings = graph.strong_components(modules).groupBy("component").agg(F.array_join(F.sort_array(F.collect_list("node")), ">").alias("detail"))
+    bad = layer_violations(edges, of=layered or of)
+    return (
+        rings.select(F.lit("module_cycle").alias("finding"), F.col("component").alias("subject"), "detail")
+        .union(bad.select(F.lit("layer_violation"), "src_module", "dst_module"))
+        .union(god_modules(edges).select(F.lit("god_module"), "src_module", F.col("n").cast("string")))
+    )
+
+
+def methods_of_classes(symbols: DataFrame, separator: str = "::") -> DataFrame:
+    """``(fqn, methods)``: for each class the methods whose name begins with the
+    class's and the separator.  Each method is dealt to the prefixes of its name,
+    which join by equality."""
+    methods = symbols.filter("kind = 'method'").select("id", F.split("fqn", separator).alias("parts"))
+    owner = F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", 1, n), separator)))
+    of = methods.filter(F.size("parts") > 1).select("id", owner.alias("fqn")).groupBy("fqn").agg(F.countDistinct("id").alias("methods"))
+    classes = symbols.filter("kind = 'class'").select("fqn").distinct()
+    return classes.join(of, "fqn", "left").select("fqn", F.coalesce("methods", F.lit(0)).cast("long").alias("methods"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from symloom.functions import text
 from symloom.operators import graph, lookup, rules, search, stats, store
 
-from . import bridge, ingest_queries
+from . import bridge, extract_queries, ingest_queries
 from .bridge import ORACLE
 
 
@@ -348,7 +348,11 @@ _add("review_by_severity", lambda g: rules.by_severity(rules.analyse_symbols(g.s
 # ---- the pattern library ---------------------------------------------------
 
 _add("co_callers", lambda g: lookup.sql(g.spark, g.views(), "SELECT DISTINCT a.src AS caller FROM edges a JOIN edges b ON a.src = b.src WHERE a.edge_type = 'calls' AND b.edge_type = 'calls' AND a.dst LIKE '%query%' AND b.dst LIKE '%request%'"), "SELECT src AS caller FROM calls WHERE contains(dst, 'query') INTERSECT SELECT src FROM calls WHERE contains(dst, 'request')")
-_add("class_method_count", lambda g: g.symbols.filter("kind = 'class'").join(g.symbols.filter("kind = 'method'").groupBy("file_id").agg(F.count(F.lit(1)).alias("n")), "file_id", "left").select("fqn", F.coalesce("n", F.lit(0)).cast("long").alias("methods")), "SELECT c.fqn, count(m.id) AS methods FROM symbols c LEFT JOIN symbols m ON m.file_id = c.file_id AND m.kind = 'method' WHERE c.kind = 'class' GROUP BY c.fqn")
+_add(
+    "class_method_count",
+    lambda g: rules.methods_of_classes(g.symbols.withColumn("fqn", F.when(F.col("kind") == "method", F.concat(F.lit("pkg"), F.col("line").cast("string"), F.lit("::"), F.col("name"))).otherwise(F.concat(F.lit("pkg"), F.col("line").cast("string"))))),
+    "SELECT c.fqn, count(DISTINCT m.id) AS methods FROM (SELECT DISTINCT 'pkg' || line AS fqn FROM symbols WHERE kind = 'class') c LEFT JOIN (SELECT id, 'pkg' || line || '::' || name AS fqn FROM symbols WHERE kind = 'method') m ON m.fqn LIKE c.fqn || '::%' GROUP BY c.fqn",
+)
 _add("input_to_db", lambda g: lookup.sql(g.spark, g.views(), "SELECT DISTINCT s.fqn, s.name FROM symbols s WHERE (s.name LIKE '%request%' OR s.name LIKE '%input%') AND EXISTS (SELECT 1 FROM edges e WHERE e.src = s.fqn AND e.dst IN (SELECT fqn FROM symbols WHERE name LIKE '%query%' OR name LIKE '%database%'))"), "SELECT DISTINCT s.fqn, s.name FROM symbols s JOIN edges e ON e.src = s.fqn JOIN symbols d ON d.fqn = e.dst WHERE (s.name LIKE '%request%' OR s.name LIKE '%input%') AND (d.name LIKE '%query%' OR d.name LIKE '%database%')")
 _add("tested_status", lambda g: g.symbols.filter("kind = 'function'").join(graph.arcs(g.edges, ["calls"]).filter("src like '%test%'").select(F.col("dst").alias("fqn")).distinct().withColumn("t", F.lit(True)), "fqn", "left").select("fqn", F.when(F.col("t"), "tested").otherwise("untested").alias("status")), "SELECT fqn, CASE WHEN EXISTS (SELECT 1 FROM calls WHERE dst = fqn AND src LIKE '%test%') THEN 'tested' ELSE 'untested' END AS status FROM symbols WHERE kind = 'function'")
 _add("mutual_imports", lambda g: graph.arcs(g.edges, ["imports"]).alias("a").join(graph.arcs(g.edges, ["imports"]).alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).filter("a.src < a.dst").select(F.col("a.src").alias("a"), F.col("a.dst").alias("b")), "SELECT a.src AS a, a.dst AS b FROM (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'imports') a JOIN (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'imports') b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
@@ -378,10 +382,57 @@ def _slice_tables(g: Graph):
     return s, e, s.select("commit_id", "file_path")
 
 
-for _name, _query in ingest_queries.QUERIES.items():
-    _QUERIES[_name] = _query
-    if _name in ingest_queries.ORACLES:
-        _ORACLES[_name] = ingest_queries.ORACLES[_name]
+# ---- bundles ---------------------------------------------------------------
+
+_add(
+    "cycle_list",
+    lambda g: graph.cycles(graph.arcs(g.edges, ["imports"])).select("component", F.size("cycle").cast("long").alias("nodes"), (F.element_at("cycle", 1) == F.element_at("cycle", -1)).alias("closed")),
+    _CLOSURE
+    + """, own AS MATERIALIZED (SELECT src, dst, a.component AS c FROM imp JOIN scc a ON a.node = src JOIN scc b ON b.node = dst WHERE a.component = b.component AND src <> dst),
+bfs AS (SELECT DISTINCT c, c AS node, 0 AS d FROM own UNION SELECT bfs.c, dst, d + 1 FROM bfs JOIN own ON own.c = bfs.c AND own.src = bfs.node WHERE d < 16 AND (d = 0 OR bfs.node <> bfs.c))
+SELECT c AS component, CAST(min(d) + 1 AS BIGINT) AS nodes, true AS closed FROM bfs WHERE d > 0 AND node = c GROUP BY c
+UNION ALL SELECT src, 2, true FROM imp WHERE src = dst AND src NOT IN (SELECT component FROM scc)""",
+)
+_IMPACT = _hops(_UP, 3)
+_RELATED = """SELECT 'caller' AS relation, src AS node FROM calls WHERE dst = (SELECT node FROM seed) UNION ALL SELECT 'callee', dst FROM calls WHERE src = (SELECT node FROM seed)"""
+_add(
+    "related_code",
+    lambda g: graph.related_code(g.edges, g.seed).select("relation", "node"),
+    _IMPACT + _RELATED + " UNION ALL SELECT DISTINCT 'dependency_' || edge_type, dst FROM edges WHERE src = (SELECT node FROM seed) AND edge_type IN ('imports', 'calls', 'uses') UNION ALL SELECT 'impact', node FROM (" + _MIN.format("") + ")",
+)
+_add(
+    "symbol_context",
+    lambda g: graph.symbol_context(g.symbols, g.files, g.edges, g.seed).select("relation", "node"),
+    _RELATED + " UNION ALL SELECT DISTINCT 'dependency_imports', dst FROM edges WHERE src = (SELECT node FROM seed) AND edge_type = 'imports' UNION ALL SELECT 'file', path FROM symbols s JOIN files f ON f.id = s.file_id WHERE fqn = (SELECT node FROM seed) UNION ALL SELECT 'sibling', b.fqn FROM symbols a JOIN symbols b ON a.file_id = b.file_id AND a.fqn <> b.fqn WHERE a.fqn = (SELECT node FROM seed)",
+)
+
+
+def _body(name: str) -> str:
+    return _ORACLES[name][len(ORACLE) :].removeprefix(_FAN)
+
+
+_add(
+    "full_review",
+    lambda g: rules.review(g.symbols, g.files, g.edges).select("type", "severity", "symbol"),
+    _FAN + " UNION ALL ".join(f"SELECT type, severity, symbol FROM ({_body(n)})" for n in ("analyse_symbols", "missing_auth", "code_smells", "n_plus_one")),
+)
+_add(
+    "architecture_review",
+    lambda g: rules.architecture_review(g.edges, layered=lambda c: text.prefix(F.split_part(c, F.lit("::"), F.lit(2)))),
+    _body("module_cycles").split("\nSELECT")[0]
+    + _body("layer_violations").split("\nSELECT")[0]
+    + ", ring AS (SELECT"
+    + _body("module_cycles").split("\nSELECT")[1]
+    + ") SELECT 'module_cycle' AS finding, component AS subject, string_agg(node, '>' ORDER BY node) AS detail FROM ring GROUP BY component UNION ALL SELECT 'god_module', src_module, CAST(n AS VARCHAR) FROM ("
+    + _body("god_modules")
+    + ") UNION ALL SELECT 'layer_violation', src_module, dst_module FROM (SELECT"
+    + _body("layer_violations").split("\nSELECT")[1]
+    + ")",
+)
+
+for _more in (ingest_queries, extract_queries):
+    _QUERIES |= _more.QUERIES
+    _ORACLES |= _more.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

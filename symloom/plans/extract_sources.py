@@ -1,0 +1,97 @@
+"""Small sources, one a language, over which the extraction queries run."""
+
+SOURCES = (
+    ("web/user.ts", """import { store } from './store';
+export * from "../shared";
+// Greets.
+export function greet(name: string): string { return format(name); }
+const twice = (x: number) => x + x;
+export class User extends Base implements Named {
+  private id: number;
+  save(): void { store("{ no brace }"); }
+}
+interface Named { name: string }
+enum Color { Red, Green }
+type Alias = string;
+const limit = 3;
+"""),
+    ("app/models.py", """import os
+from .base import Model
+class User(Model):
+    def save(self, force=False):
+        check(force)
+        return os.getcwd()
+def main():
+    User().save()
+LIMIT = 3
+"""),
+    ("pkg/main.go", """package main
+import (
+  "fmt"
+  "os"
+)
+const (
+  Low = iota
+  Mid, High = 1, 2
+)
+var a, b int
+type User struct {
+  X, Y int
+  Name string
+}
+type Saver interface { Save() }
+func (u *User) Save() error { return nil }
+func main() { fmt.Println(load("x")) }
+"""),
+    ("src/lib.rs", """use std::fmt;
+pub struct User {
+    pub name: String,
+}
+enum Shape {
+    Circle(f64),
+    Square { side: f64 },
+}
+trait Save {
+    fn save(&self);
+}
+impl Save for User {
+    fn save(&self) {
+        write(self)
+    }
+}
+mod inner {
+    pub fn f() {}
+}
+fn main() {
+    run();
+}
+"""),
+    ("com/x/User.java", """package com.x;
+import java.util.List;
+/** A user. */
+public class User extends Base implements Named {
+  private int id, age;
+  static { init(); }
+  public User(int id) { this.id = id; }
+  List<String> names() { return load(x -> x.trim()); }
+  enum Kind { A, B }
+}
+record Point(int x, int y) {}
+"""),
+    ("geo/shape.cpp", """#include <vector>
+#include "own.h"
+#define LIMIT 3
+namespace app {
+class Shape : public Base {
+ public:
+  double area() const { return size(1); }
+ private:
+  int w, h;
+};
+enum class Color { Red, Green };
+}
+int main() { auto f = [](int x) { return g(x); }; return f(1); }
+"""),
+    ("App/Main.cs", "class Main { }\n"),
+    ("notes.txt", "def not_code(): pass\n"),
+)

@@ -29,29 +29,37 @@ def scip_index(g) -> DataFrame:
 
 
 def _upgrade(g) -> DataFrame:
-    s = g.symbols.select("fqn", F.concat(F.lit("id:"), F.col("id").cast("string")).alias("symbol_id"), F.col("id").alias("seq")).filter("seq % 2 = 0")
-    return scip.upgrade(g.edges, s).groupBy("resolution", "resolved_by").agg(F.count(F.lit(1)).alias("n"))
+    s = g.symbols.select("fqn", F.concat(F.lit("id:"), F.col("id").cast("string")).alias("symbol_id"), F.col("id").alias("seq"))
+    return scip.upgrade(g.edges, s).select("id", "dst", "resolution", "resolved_by")
 
 
-def _cases(column: str, rules, default: str) -> str:
-    ranked = sorted(enumerate(rules), key=lambda x: (x[1][2], x[0]), reverse=True)
-    q = lambda s: s.replace("'", "''")
-    return "CASE " + " ".join(f"WHEN contains({column}, '{q(s)}') THEN '{v}'" for _, (s, v, _) in ranked) + f" ELSE '{default}' END"
+#: Sources with the version that they show.
+CPP_SOURCES = (
+    ("a.cpp", "co_await x;"), ("b.cpp", "template <class T> concept C = true;"), ("c.cpp", "if constexpr (x) {}"), ("d.cc", "std::optional<int> x;"), ("e.cpp", "auto f() -> int { return 1; }"),
+    ("f.cpp", "int *p = nullptr;"), ("g.cpp", "int x = 1;"), ("h.hpp", "int x = 1;"), ("i.c", "_Static_assert(1);"), ("j.h", "int x;"), ("k.cpp", "// -std=c++03\nint *p = nullptr;"), ("l.c", "int f(char *restrict p);"), ("m", "namespace a {}"), ("n.cpp", "[[nodiscard]] int f();"),
+)
+JAVA_SOURCES = (
+    ("A.java", "Thread.startVirtualThread(r);"), ("B.java", "sealed class A permits B {}"), ("C.java", "String s = \"\"\"\nx\"\"\";"), ("D.java", "var x = 1;"), ("E.java", "list.forEach(x -> f(x));"), ("F.java", "int x = 1;"),
+    ("pom.xml", "<maven.compiler.source>17</maven.compiler.source>"), ("build.gradle", "sourceCompatibility = '1.8'"), ("G.java", "@FunctionalInterface interface F {}"),
+)
 
 
-_FEATURES = [(lang, f, v, versions.FAMILIES[lang].index(v) >= versions.FAMILIES[lang].index(first)) for (lang, f), first in versions.FEATURES.items() for v in versions.FAMILIES[lang]]
+def _sources(g, rows) -> DataFrame:
+    return g.spark.createDataFrame(list(rows), "path string, content string")
+
 
 QUERIES = {
     "scip_symbols": lambda g: scip.symbols(scip_index(g), "c0").select("symbol_id", "kind", "name", "fqn", "doc"),
-    "scip_edges": lambda g: scip.edges(scip_index(g)).groupBy("edge_type", "file_src").agg(F.count(F.lit(1)).alias("n")),
+    "scip_edges": lambda g: scip.edges(scip_index(g)).select("edge_type", "src", "dst", "file_src"),
     "scip_occurrences": lambda g: scip.occurrences(scip_index(g)).select("file_path", "role", "start_line", "start_col", "end_line", "end_col"),
     "fqn_edge_upgrade": _upgrade,
-    "version_detect_java": lambda g: g.symbols.select("id", versions.detect(F.coalesce("signature", F.lit("")), versions.JAVA_RULES, "Unknown")["version"].alias("version")),
-    "version_detect_cpp": lambda g: g.symbols.select("id", versions.detect(F.concat_ws(" ", "docstring", "name"), (("widget", "Cpp20", 0.9), ("ring", "Cpp17", 0.9), ("red", "Cpp11", 0.7), ("economy", "Cpp14", 0.75)), "Cpp98")["version"].alias("version")),
+    "version_detect_java": lambda g: _sources(g, JAVA_SOURCES).select("path", versions.of_java(F.col("content"))["version"].alias("version")),
+    "version_detect_cpp": lambda g: _sources(g, CPP_SOURCES).select("path", versions.of_cpp(F.col("path"), F.col("content"))["version"].alias("version")),
     "feature_support": lambda g: versions.feature_table(g.spark),
+    "feature_minimum": lambda g: versions.minimum_table(g.spark),
     "line_counts": lambda g: g.spark.read.parquet(f"{g.sf}/documents.parquet").select("doc_id", walk.line_count(F.col("text")).cast("long").alias("lines")),
     "content_hashes": lambda g: g.spark.read.parquet(f"{g.sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash")),
-    "next_snapshot": lambda g: store.next_snapshot(*_snapshot_step(g)).groupBy("commit_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("paths")),
+    "next_snapshot": lambda g: store.next_snapshot(*_snapshot_step(g)).select("commit_id", "path", "content_hash"),
 }
 
 
@@ -66,13 +74,32 @@ def _snapshot_step(g):
 _RAW = "'scip-typescript npm pkg 1.0 src/' || name || CASE kind WHEN 'class' THEN '#' WHEN 'function' THEN '().' WHEN 'method' THEN '()' ELSE '.' END"
 ORACLES = {
     "scip_symbols": ORACLE + "SELECT 'repo://c0/' || path || '/#sym(typescript:' || path || '.' || name || ':' || lower(to_hex(octet_length(encode(name)))) || ')' AS symbol_id, CASE kind WHEN 'class' THEN 'class' WHEN 'function' THEN 'function' WHEN 'method' THEN 'method' ELSE 'variable' END AS kind, name, path || '.' || name AS fqn, docstring AS doc FROM symbols s JOIN files f ON f.id = s.file_id",
-    "scip_edges": ORACLE + "SELECT CASE edge_type WHEN 'imports' THEN 'implements' ELSE 'calls' END AS edge_type, path AS file_src, count(*) AS n FROM edges e JOIN symbols s ON s.fqn = e.src JOIN files f ON f.id = s.file_id WHERE edge_type IN ('calls', 'imports') GROUP BY 1, 2",
+    "scip_edges": ORACLE + f", raw AS (SELECT fqn, file_id, {_RAW} AS raw FROM symbols) SELECT CASE edge_type WHEN 'imports' THEN 'implements' ELSE 'calls' END AS edge_type, a.raw AS src, b.raw AS dst, path AS file_src FROM edges e JOIN raw a ON a.fqn = e.src JOIN raw b ON b.fqn = e.dst JOIN files f ON f.id = a.file_id WHERE edge_type IN ('calls', 'imports')",
     "scip_occurrences": ORACLE + "SELECT path AS file_path, CASE line % 3 WHEN 0 THEN 'definition' WHEN 1 THEN 'write' ELSE 'reference' END AS role, line AS start_line, \"column\" AS start_col, CASE WHEN line % 2 = 0 THEN line ELSE line + 1 END AS end_line, CASE WHEN line % 2 = 0 THEN \"column\" + 5 ELSE 0 END AS end_col FROM symbols s JOIN files f ON f.id = s.file_id",
-    "fqn_edge_upgrade": ORACLE + "SELECT CASE WHEN hit THEN 'semantic' ELSE resolution END AS resolution, CASE WHEN hit THEN 'scip' END AS resolved_by, count(*) AS n FROM (SELECT resolution, resolution = 'syntactic' AND dst IN (SELECT fqn FROM symbols WHERE id % 2 = 0) AS hit FROM edges) GROUP BY 1, 2",
-    "version_detect_java": ORACLE + f"SELECT id, {_cases('coalesce(signature, $$$$)', versions.JAVA_RULES, 'Unknown')} AS version FROM symbols",
-    "version_detect_cpp": ORACLE + f"SELECT id, {_cases('(docstring || $$ $$ || name)', (('widget', 'Cpp20', 0.9), ('ring', 'Cpp17', 0.9), ('red', 'Cpp11', 0.7), ('economy', 'Cpp14', 0.75)), 'Cpp98')} AS version FROM symbols",
-    "feature_support": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {str(d).lower()})" for a, b, c, d in _FEATURES) + ") t(language, feature, version, supported)",
+    "fqn_edge_upgrade": ORACLE + "SELECT e.id, CASE WHEN resolution = 'syntactic' THEN 'id:' || s.id ELSE dst END AS dst, 'semantic' AS resolution, CASE WHEN resolution = 'syntactic' THEN 'scip' END AS resolved_by FROM edges e JOIN symbols s ON s.fqn = e.dst",
+    "version_detect_java": "SELECT * FROM (VALUES ('A.java', 'Java21'), ('B.java', 'Java17'), ('C.java', 'Java17'), ('D.java', 'Java11'), ('E.java', 'Java8'), ('F.java', 'Java8'), ('pom.xml', 'Java17'), ('build.gradle', 'Java8'), ('G.java', 'Java8')) t(path, version)",
+    "version_detect_cpp": "SELECT * FROM (VALUES ('a.cpp', 'Cpp20'), ('b.cpp', 'Cpp20'), ('c.cpp', 'Cpp17'), ('d.cc', 'Cpp17'), ('e.cpp', 'Cpp14'), ('f.cpp', 'Cpp11'), ('g.cpp', 'Cpp17'), ('h.hpp', 'Cpp17'), ('i.c', 'C11'), ('j.h', 'C11'), ('k.cpp', 'Cpp03'), ('l.c', 'C99'), ('m', 'Cpp98'), ('n.cpp', 'Cpp17')) t(path, version)",
+    "feature_support": """WITH v(language, version, place) AS (VALUES
+  ('cpp', 'Cpp98', 1), ('cpp', 'Cpp03', 2), ('cpp', 'Cpp11', 3), ('cpp', 'Cpp14', 4), ('cpp', 'Cpp17', 5), ('cpp', 'Cpp20', 6), ('cpp', 'Cpp23', 7),
+  ('java', 'Java8', 1), ('java', 'Java11', 2), ('java', 'Java17', 3), ('java', 'Java21', 4),
+  ('python', 'Python2', 1), ('python', 'Python3', 2), ('python', 'Python38', 3), ('python', 'Python39', 4), ('python', 'Python310', 5), ('python', 'Python311', 6), ('python', 'Python312', 7),
+  ('javascript', 'ES5', 1), ('javascript', 'ES6', 2), ('javascript', 'ES2016', 3), ('javascript', 'ES2017', 4), ('javascript', 'ES2018', 5), ('javascript', 'ES2019', 6), ('javascript', 'ES2020', 7), ('javascript', 'ES2021', 8), ('javascript', 'ES2022', 9), ('javascript', 'ES2023', 10),
+  ('go', 'Go118', 1), ('go', 'Go119', 2), ('go', 'Go120', 3), ('go', 'Go121', 4)),
+f(language, feature, least) AS (VALUES
+  ('cpp', 'auto', 3), ('cpp', 'lambda', 3), ('cpp', 'nullptr', 3), ('cpp', 'override', 3), ('cpp', 'auto_return', 4), ('cpp', 'structured_bindings', 5), ('cpp', 'if_constexpr', 5), ('cpp', 'inline_variables', 5),
+  ('cpp', 'concepts', 6), ('cpp', 'coroutines', 6), ('cpp', 'modules', 6), ('cpp', 'ranges', 6), ('cpp', 'spaceship', 6),
+  ('java', 'lambda', 1), ('java', 'stream', 1), ('java', 'var', 2), ('java', 'sealed', 3), ('java', 'pattern_matching', 3), ('java', 'virtual_threads', 4),
+  ('python', 'annotations', 2), ('python', 'walrus', 3), ('python', 'match', 5), ('python', 'exception_groups', 6),
+  ('javascript', 'arrow_functions', 2), ('javascript', 'let_const', 2), ('javascript', 'template_literals', 2), ('javascript', 'async_await', 4), ('javascript', 'optional_chaining', 7), ('javascript', 'nullish_coalescing', 7),
+  ('go', 'generics', 1))
+SELECT language, feature, version, place >= least AS supported FROM v JOIN f USING (language)""",
+    "feature_minimum": """SELECT * FROM (VALUES ('cpp', 'auto', 'Cpp11', 'C++11'), ('cpp', 'lambda', 'Cpp11', 'C++11'), ('cpp', 'structured_bindings', 'Cpp17', 'C++17'), ('cpp', 'concepts', 'Cpp20', 'C++20'), ('cpp', 'coroutines', 'Cpp20', 'C++20'), ('cpp', 'modules', 'Cpp20', 'C++20'),
+  ('java', 'lambda', 'Java8', 'Java 8'), ('java', 'var', 'Java11', 'Java 11'), ('java', 'sealed', 'Java17', 'Java 17'), ('java', 'virtual_threads', 'Java21', 'Java 21'),
+  ('python', 'annotations', 'Python3', 'Python 3'), ('python', 'walrus', 'Python38', 'Python 3.8'), ('python', 'match', 'Python310', 'Python 3.10'),
+  ('javascript', 'arrow_functions', 'ES6', 'ES6/ES2015'), ('javascript', 'async_await', 'ES2017', 'ES2017'), ('javascript', 'optional_chaining', 'ES2020', 'ES2020'),
+  ('typescript', 'arrow_functions', 'ES6', 'ES6/ES2015'), ('typescript', 'async_await', 'ES2017', 'ES2017'), ('typescript', 'optional_chaining', 'ES2020', 'ES2020'),
+  ('go', 'generics', 'Go118', 'Go 1.18')) t(language, feature, version, name)""",
     "line_counts": "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS lines FROM documents",
     "content_hashes": "SELECT doc_id, sha256(text) AS hash FROM documents",
-    "next_snapshot": ORACLE + "SELECT CAST(2 AS BIGINT) AS commit_id, count(DISTINCT path) AS n, count(DISTINCT path) AS paths FROM snapshots WHERE commit_id = 2",
+    "next_snapshot": ORACLE + "SELECT CAST(2 AS BIGINT) AS commit_id, path, max_by(content_hash, seq) AS content_hash FROM snapshots WHERE commit_id = 2 GROUP BY path",
 }

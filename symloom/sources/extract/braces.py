@@ -8,10 +8,12 @@ statement.  Nesting is by position, so broken files still give their parts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 _BLANK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*'", re.S)
 _RUST_LIFETIME = re.compile(r"'(?=[a-z_]\w*\b(?!'))")
-_KEYWORDS = frozenset("if for while switch catch return sizeof new else do try throw typeof function await delete case in of match loop fn func class struct enum super this defer go select range using static_assert decltype alignof".split())
+_KEYWORDS = frozenset("if for while switch catch return sizeof new else do try throw typeof function await delete case in of match loop fn func class struct enum super this defer go select range using static_assert decltype alignof import const var".split())
 
 # kind, pattern (name is group "n"); line-anchored, on blanked text.
 _M = r"^[ \t]*"
@@ -153,6 +155,96 @@ def _imports(path: str, source: str, lang: str) -> list[str]:
     return [re.sub(r"\s+", " ", m[1]).strip() for m in re.finditer(pattern, source, re.M)]
 
 
+def _enclosing(intervals: Iterable[tuple], positions: Iterable[int]) -> Iterator[tuple[int, list[tuple]]]:
+    """Each position, ascending, with the intervals ``(open, close, ...)`` around
+    it, outermost first; intervals nest, so one pass with a stack serves all."""
+    todo, stack, i = sorted(intervals, key=lambda x: x[0]), [], 0
+    for at in sorted(positions):
+        while i < len(todo) and todo[i][0] < at:
+            while stack and stack[-1][1] <= todo[i][0]:
+                stack.pop()
+            stack.append(todo[i])
+            i += 1
+        while stack and stack[-1][1] <= at:
+            stack.pop()
+        yield at, stack
+
+
+_MEMBER = re.compile(r"\s*(?:(?:#\[[^\]]*\]|@\w+(?:\([^)]*\))?)\s*)*([A-Za-z_]\w*)")
+_GO_GROUP = re.compile(r"^[ \t]*(const|var)[ \t]*\(", re.M)
+_GO_NAMES = re.compile(r"^[ \t]*([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)", re.M)
+_GO_LIST = re.compile(r"^[ \t]*(const|var)[ \t]+([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)+)", re.M)
+_GO_FIELDS = re.compile(r"^[ \t]*([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)+)[ \t]+[*\[\]\w.]", re.M)
+_LAMBDA = {
+    "java": re.compile(r"(?:\([^()]*\)|\b[A-Za-z_]\w*)[ \t]*->"),
+    "cpp": re.compile(r"(?<![\w\])])\[[^\]\n;]*\]\s*(?:\([^()]*\))?[^;{}()\[\]]*(?=\{)"),
+}
+_STATIC_INIT = re.compile(r"^[ \t]*(static)[ \t]*\{", re.M)
+_WORD = re.compile(r"[A-Za-z_]\w*")
+
+
+def _parts(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Pieces between commas outside of brackets; a semicolon ends them."""
+    depth, at = 0, begin
+    for i in range(begin, end):
+        c = text[i]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif depth == 0 and c in ",;":
+            yield at, i
+            at = i + 1
+            if c == ";":
+                return
+    yield at, end
+
+
+def _members(text: str, lang: str, found: dict, body: dict) -> Iterator[tuple[int, str, str, int | None]]:
+    """``(place, kind, name, declaration)`` of what has no line of its own: enum
+    members, names in groups and lists, constructors of records, lambdas and
+    initialisers."""
+    if lang in ("rust", "java", "c", "cpp"):
+        for o in body:
+            if found[o][0] == "enum":
+                for a, b in _parts(text, body[o][0] + 1, body[o][1]):
+                    if m := _MEMBER.match(text, a, b):
+                        yield m.start(1), "enum" if lang == "rust" else "enum_member", m[1], o
+    if lang == "go":
+        for m in _GO_GROUP.finditer(text):
+            depth, i = 1, m.end()
+            while i < len(text) and depth:
+                depth += {"(": 1, ")": -1}.get(text[i], 0)
+                if depth == 1 and (text[i - 1] == "\n" or i == m.end()) and (names := _GO_NAMES.match(text, i)):
+                    for w in _WORD.finditer(text, names.start(1), names.end(1)):
+                        yield w.start(), "constant" if m[1] == "const" else "variable", w[0], None
+                i += 1
+        for m in _GO_LIST.finditer(text):
+            for w in _WORD.finditer(text, m.start(2), m.end(2)):
+                yield w.start(), "constant" if m[1] == "const" else "variable", w[0], None
+        for o in body:
+            if found[o][0] == "class":
+                for m in _GO_FIELDS.finditer(text, body[o][0] + 1, body[o][1]):
+                    for w in _WORD.finditer(text, m.start(1), m.end(1)):
+                        yield w.start(), "field", w[0], o
+    if lang in ("java", "c", "cpp"):
+        for kind, m in list(found.values()):
+            if kind == "field" and "," in m[0]:
+                plain = re.sub(r"<[^<>]*>", lambda x: " " * len(x[0]), text[m.start() : m.start("n")])
+                for a, b in list(_parts(plain, 0, len(plain)))[:-1]:
+                    words = list(_WORD.finditer(plain, a, b))
+                    if words:
+                        yield m.start() + words[-1].start(), "field", words[-1][0], None
+    if lang == "java":
+        for o, (kind, m) in list(found.items()):
+            if kind == "class" and re.search(r"\brecord[ \t]+$", m[0][: m.start("n") - m.start()]):
+                yield o + 1, "constructor", m["n"], o
+        for m in _STATIC_INIT.finditer(text):
+            yield m.start(1), "initialiser", "<clinit>", None
+    for m in _LAMBDA["cpp" if lang == "c" else lang].finditer(text) if lang in ("java", "c", "cpp") else ():
+        yield m.start(), "lambda", "", None
+
+
 def parse(path: str, source: str, lang: str) -> list[dict]:
     if lang == "csharp":
         return [{"rec": "symbol", "lang": lang, "kind": "module", "name": path.rsplit("/", 1)[-1], "fqn": path, "line": 0, "col": 0, "end_line": source.count("\n"), "end_col": 0}]
@@ -161,11 +253,8 @@ def parse(path: str, source: str, lang: str) -> list[dict]:
     line_at = [0, *(m.end() for m in re.finditer("\n", text))]
 
     def place(at: int) -> tuple[int, int]:
-        lo, hi = 0, len(line_at)
-        while lo + 1 < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if line_at[mid] <= at else (lo, mid)
-        return lo, at - line_at[lo]
+        line = bisect_right(line_at, at) - 1
+        return line, at - line_at[line]
 
     package = (re.search(r"^[ \t]*package[ \t]+([\w.]+)", text, re.M) or [None, ""])[1] if lang == "java" else ""
     found: dict[int, tuple[str, re.Match]] = {}
@@ -174,26 +263,33 @@ def parse(path: str, source: str, lang: str) -> list[dict]:
             at = m.start("n")
             if at not in found and m["n"] not in _KEYWORDS and not re.match(r"\s*(?:return|else|throw|new|delete|goto|case)\b", m[0]):
                 found[at] = (kind, m)
+    opens = [p[0] for p in pairs]
     body = {}  # declaration -> its braces
     for at, (kind, m) in found.items():
-        near = next((p for p in pairs if p[0] >= m.end("n")), None)
+        first = bisect_left(opens, m.end("n"))
+        near = pairs[first] if first < len(pairs) else None
         gap = text[m.end() : near[0]] if near else ";"
         if near and kind in _BODIED and m.end() <= near[0] and not re.search(r"[;}]|\n[ \t]*\S", gap):
             body[at] = near
     impls = [(m["n"], (m["t"] or "").strip() or None, next((p for p in pairs if p[0] >= m.end()), None)) for m in _IMPL.finditer(text)] if lang == "rust" else []
 
-    def holders(at: int) -> list[tuple[str, str, int]]:
-        """Enclosing declarations, outermost first."""
-        own = [(body[o][0], found[o][0], found[o][1]["n"], o) for o in body if body[o][0] < at < body[o][1]]
-        own += [(p[0], "impl", n, -1) for n, _, p in impls if p and p[0] < at < p[1]]
-        return [(k, n, o) for _, k, n, o in sorted(own, key=lambda x: x[0])]
+    own: dict[int, tuple[str, str, int | None]] = {}
+    for at, kind, name, o in list(_members(text, lang, found, body)):
+        own.setdefault(at, (kind, name, o))
+    for at in own:  # what the patterns took for a method or a field
+        found.pop(at, None)
+        body.pop(at, None)
+    spans = [(*body[o][:2], found[o][0], found[o][1]["n"], o) for o in body]
+    spans += [(*p[:2], "impl", n, -1) for n, _, p in impls if p]
+    around = {at: [(x[2], x[3], x[4]) for x in near] for at, near in _enclosing(spans, [*found, *own])}
+    braced = {at for at, near in _enclosing(((p[0], p[1]) for p in pairs), found) if near}
 
     out, names = [], {}
     for at in sorted(found):
         kind, m = found[at]
-        chain = holders(at)
+        chain = around[at]
         inner = chain[-1] if chain else None
-        if any(k in ("function", "method") for k, _, _ in chain) or (pair := next((p for p in reversed(pairs) if p[0] < at < p[1]), None)) and not inner and kind in ("field", "method", "function") and lang not in ("go",):
+        if any(k in ("function", "method") for k, _, _ in chain) or (at in braced and not inner and kind in ("field", "method", "function") and lang not in ("go",)):
             continue  # inside a body, or in braces that are no declaration
         if kind == "method" and lang not in ("go",) and (not inner or inner[0] not in (*_OWNERS, "impl")):
             continue
@@ -230,21 +326,44 @@ def parse(path: str, source: str, lang: str) -> list[dict]:
                     t = re.sub(r"\b(?:public|private|protected|virtual)\b", "", t).strip()
                     if t:
                         out.append({"rec": "edge", "edge_type": edge, "src": fqn, "dst": t})
+    for at in sorted(own):
+        kind, name, o = own[at]
+        chain = around[at]
+        line, col = place(at)
+        deep = any(k in ("function", "method") for k, _, _ in chain)
+        if deep and kind != "lambda" or o is not None and o not in names:
+            continue
+        links = [n for k, n, _ in chain if k != "function"]
+        if kind == "lambda":
+            name, kind = (f"lambda_{line}" if lang == "java" else f"lambda_{line}_{col}"), "function"
+            links = [n for k, n, _ in chain if k not in ("function", "method")]
+            fqn = _fqn(path, lang, links, name, package)
+        elif kind == "initialiser":
+            kind, fqn = "method", _fqn(path, lang, links, f"static_init_{line}", package)
+        elif kind == "constructor":
+            kind, fqn = "method", f"{names[o]}.{name}"
+        elif o is not None and lang != "go":
+            fqn = f"{names[o]}{'::' if lang == 'rust' else '.'}{name}"
+        else:
+            fqn = _fqn(path, lang, links, name, package)
+        out.append({"rec": "symbol", "lang": lang, "kind": kind, "name": name, "fqn": fqn, "line": line, "col": col, "end_line": line, "end_col": col + len(name), "visibility": _visibility("", lang, name, None) if lang == "go" else None})
+        holder = o if o is not None else next((x[2] for x in reversed(chain) if x[2] in names), None)
+        if holder is not None:
+            out.append({"rec": "edge", "edge_type": "contains", "src": names[holder], "dst": fqn})
     for name, trait, _ in impls:
         if trait:
             out.append({"rec": "edge", "edge_type": "implements", "src": name, "dst": trait})
     out += [{"rec": "edge", "edge_type": "imports", "file_dst": t} for t in _imports(path, source, lang)]
-    declared = set(found)
-    functions = [(body[at], names[at]) for at in names if at in body and found[at][0] in ("function", "method")]
-    for m in _CALL.finditer(text):
-        if m[1] in _KEYWORDS or m.start(1) in declared:
-            continue
+    declared = {*found, *own}
+    functions = [(*body[at][:2], names[at]) for at in names if at in body and found[at][0] in ("function", "method")]
+    called = {m.start(): m for m in _CALL.finditer(text) if m[1] not in _KEYWORDS and m.start(1) not in declared}
+    for at, inside in _enclosing(functions, called):
+        m = called[at]
         line, col = place(m.start())
         out.append({"rec": "occurrence", "role": "call", "line": line, "col": col, "token": m[1]})
         if lang in ("c", "cpp"):
-            inside = [f for p, f in functions if p[0] < m.start() < p[1]]
             if inside:
-                out.append({"rec": "edge", "edge_type": "calls", "src": inside[-1], "dst": m[1]})
+                out.append({"rec": "edge", "edge_type": "calls", "src": inside[-1][2], "dst": m[1]})
         elif lang in ("rust", "java"):
             out.append({"rec": "edge", "edge_type": "calls", "src": f"{path}#root", "dst": m[1]})
     return out

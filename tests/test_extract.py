@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from symloom.functions import versions
@@ -148,10 +150,38 @@ def test_tables(spark):
 
 
 def test_versions(spark):
-    df = spark.createDataFrame([("auto [a, b] = f();",), ("co_await x;",), ("int main() {}",)], "s string")
-    assert [r[0] for r in df.select(versions.detect(df["s"], versions.CPP_RULES, "Cpp98").version).collect()] == ["Cpp17", "Cpp20", "Cpp98"]
+    sources = {"auto [a, b] = f();": "Cpp11", "co_return x;": "Cpp20", "int main() {}": "C89", "import x;": "Cpp20", "#import <x>": "C89", "a = 1'000;": "Cpp14", "auto f() -> int { return 1; }": "Cpp14", "class A {};": "Cpp98", "// x": "C99", "std::any x;": "Cpp17", "int *restrict p;": "C99"}
+    df = spark.createDataFrame([(x,) for x in sources], "s string")
+    assert [r[0] for r in df.select(versions.detect(df["s"], versions.CPP_RULES).version).collect()] == list(sources.values())
+    java = {"var x = 1;": "Java11", "Thread.startVirtualThread(r)": "Java21", "sealed class A permits B {}": "Java17", "x -> f(x)": "Java8", "int x;": "Java8"}
+    df = spark.createDataFrame([(x,) for x in java], "s string")
+    assert [r[0] for r in df.select(versions.of_java(df["s"]).version).collect()] == list(java.values())
     flags = spark.createDataFrame([("-O2 -std=c++17",), ("-std=gnu++2a",), ("-std=c11",), ("-O2",)], "s string")
-    assert [r[0] for r in flags.select(versions.from_flags(flags["s"])).collect()] == ["Cpp17", "Cpp20", "C11", None]
+    assert [r[0] for r in flags.select(versions.from_flags(flags["s"]).version).collect()] == ["Cpp17", None, "C11", None]
     build = spark.createDataFrame([("<maven.compiler.source>1.8</maven.compiler.source>",), ("sourceCompatibility = '17'",), ("",)], "s string")
-    assert [r[0] for r in build.select(versions.from_build_file(build["s"])).collect()] == ["Java8", "Java17", None]
-    assert versions.feature_table(spark).filter("feature = 'lambdas' and language = 'cpp' and supported").count() == 5
+    assert [r[0] for r in build.select(versions.from_build_file(build["s"]).version).collect()] == ["Java8", "Java17", None]
+    both = spark.createDataFrame([("a.c", "int x;"), ("a.hpp", "int x;"), ("a.cpp", "// -std=c++03\nnullptr"), ("a", "nullptr")], "p string, s string")
+    assert [r[0] for r in both.select(versions.of_cpp(both["p"], both["s"]).version).collect()] == ["C11", "Cpp17", "Cpp03", "Cpp11"]
+    assert versions.minimum_for("cpp", "lambda") == "Cpp11" and versions.minimum_for("typescript", "async_await") == "ES2017" and versions.minimum_for("cpp", "ranges") is None
+    assert versions.display("Cpp20") == "C++20" and versions.display("ES2016") == "ES2016"
+
+
+MEMBERS = [
+    ("p/a.go", "package p\nconst (\n  A = 1\n  B, C = f(2), 3\n)\nvar (\n  x int\n)\nvar y, z int\ntype T struct {\n  P, Q int\n  R string\n}\n", {("constant", "p.A"), ("constant", "p.B"), ("constant", "p.C"), ("variable", "p.x"), ("variable", "p.y"), ("variable", "p.z"), ("class", "p.T"), ("field", "p.P"), ("field", "p.Q"), ("field", "p.R")}),
+    ("a.rs", "enum E {\n  One,\n  #[x] Two(i32, i64),\n  Three { a: u8 },\n}\n", {("enum", "E"), ("enum", "E::One"), ("enum", "E::Two"), ("enum", "E::Three")}),
+    ("A.java", "package q;\nenum K {\n  RED(1), @Old GREEN { void f() {} };\n  int a, b;\n}\nclass C {\n  static {\n    run(x -> x + 1);\n  }\n}\nrecord P(int x) {}\n", {("enum", "q.K"), ("enum_member", "q.K.RED"), ("enum_member", "q.K.GREEN"), ("field", "q.K.a"), ("field", "q.K.b"), ("class", "q.C"), ("method", "q.C.static_init_6"), ("function", "q.C.lambda_7"), ("class", "q.P"), ("method", "q.P.P")}),
+    ("a.cpp", "enum class E { A = 1, B };\nstruct S {\n  int a, b;\n};\nvoid f() {\n  auto g = [&](int x) { return x; };\n}\n", {("enum", "E"), ("enum_member", "E.A"), ("enum_member", "E.B"), ("struct", "S"), ("field", "S::a"), ("field", "S::b"), ("function", "f"), ("function", "lambda_5_11")}),
+]
+
+
+@pytest.mark.parametrize(("path", "source", "want"), MEMBERS)
+def test_members(path, source, want):
+    got = {(r["kind"], r["fqn"]) for r in extract.parse(path, source) if r["rec"] == "symbol"}
+    assert want <= got and not {x for x in got - want if x[0] not in ("method",)}
+
+
+@pytest.mark.parametrize("unit", ["func f{0}() {{ g{0}() }}\n", "void f{0}() {{ g{0}(); }}\n", "fn f{0}() {{ g{0}(); }}\n"])
+def test_large_files_take_linear_time(unit):
+    began = time.process_time()
+    rows = extract.parse({"fu": "a.go", "vo": "a.cpp", "fn": "a.rs"}[unit[:2]], "".join(unit.format(i) for i in range(8000)))
+    assert sum(r["rec"] == "symbol" for r in rows) == 8000 and time.process_time() - began < 15

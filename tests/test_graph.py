@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from symloom.operators import graph
+from symloom.sources import scip
 
 
 def edges(spark, pairs, kind="calls"):
@@ -96,3 +99,49 @@ def test_explore(spark, strategy):
     symbols = spark.createDataFrame([("a", "main"), ("b", "x"), ("c", "y")], "fqn string, name string")
     assert graph.explore(symbols, e, seeds(spark, "a"), strategy).count() == 3
     assert [r.node for r in graph.explore(symbols, e, None).collect()] == ["a"]
+
+
+def _shortest_cycle(pairs, root):
+    """The smallest of the shortest closed cycles through a node, by brute force."""
+    level = [[root]]
+    for _ in range(len(pairs) + 1):
+        level = [[*p, b] for p in level for a, b in sorted(pairs) if a == p[-1] and a != b and b not in p[1:]]
+        closed = [p for p in level if p[-1] == root]
+        if closed:
+            return min(closed)
+    return None
+
+
+def test_cycles_are_closed_and_shortest(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        pairs = {(f"n{rng.randrange(14):02}", f"n{rng.randrange(14):02}") for _ in range(20)} | {("z", "z")}
+        df = spark.createDataFrame(sorted(pairs), "src string, dst string")
+        roots = {r.component for r in graph.strong_components(df).collect()}
+        got = {r.component: list(r.cycle) for r in graph.cycles(df).collect()}
+        members = {r.node for r in graph.strong_components(df).collect()}
+        want = {r: _shortest_cycle(pairs, r) for r in roots} | {a: [a, b] for a, b in pairs if a == b and a not in roots}
+        assert {k: v for k, v in got.items() if k not in members or k in roots} == {k: v for k, v in want.items() if k in got} and set(roots) <= set(got) and got["z"] == ["z", "z"]
+
+
+def test_shortest_path_and_local_cycle(spark):
+    e = spark.createDataFrame([("a", "b", "calls"), ("b", "c", "calls"), ("a", "d", "calls"), ("d", "c", "calls"), ("c", "e", "calls"), ("e", "c", "calls")], "src string, dst string, edge_type string")
+    there = graph.arcs(e)
+    assert graph.shortest_path(there, "a", "e") == ["a", "b", "c", "e"]
+    assert graph.shortest_path(there, "e", "a") is None and graph.shortest_path(there, "a", "e", limit=2) is None
+    assert graph.on_cycle(e, "c") and not graph.on_cycle(e, "a")
+
+
+def test_deep_reach_expands_a_node_once(spark):
+    n = 30
+    chain = spark.createDataFrame([(f"{i:03}", f"{(i + 1) % n:03}") for i in range(n)], "src string, dst string")
+    seeds = spark.createDataFrame([("000",)], "node string")
+    assert {r.node: r.depth for r in graph.reach(chain, seeds, 20).collect()} == {f"{i:03}": i for i in range(1, 21)}
+    assert {r.node: r.depth for r in graph.reach(chain, seeds, None, include_seed_on_cycle=True).collect()}["000"] == n
+
+
+def test_unresolved_edges_stay(spark):
+    e = spark.createDataFrame([(1, "a", "known", "syntactic"), (2, "a", "lost", "syntactic"), (3, "a", "known", "semantic")], "id long, src string, dst string, resolution string")
+    s = spark.createDataFrame([("known", "id:7", 1), ("known", "id:9", 2)], "fqn string, symbol_id string, seq long")
+    got = {r.id: (r.dst, r.resolution, r.resolved_by) for r in scip.upgrade(e, s).collect()}
+    assert got == {1: ("id:9", "semantic", "scip"), 2: ("lost", "syntactic", None), 3: ("known", "semantic", None)}
