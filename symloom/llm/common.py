@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if sc.getCheckpointDir():
         return sc.getCheckpointDir().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="symloom-"))
         atexit.register(shutil.rmtree, _local[0], True)
