@@ -20,6 +20,9 @@ from . import bridge, extract_queries, ingest_queries
 from .bridge import ORACLE
 
 
+_hubs: dict[tuple[str, str], str] = {}
+
+
 class Graph:
     """The views of one data folder."""
 
@@ -33,14 +36,18 @@ class Graph:
     snapshots = cached_property(lambda s: bridge.snapshots(s.spark, s.sf))
 
     @cached_property
-    def seed(self) -> DataFrame:
-        """The symbol with the most callers."""
-        calls = graph.arcs(self.edges, ["calls"])
-        return calls.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node").limit(1).select("node")
+    def hub(self) -> str:
+        """The symbol with the most callers; found once an application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf)
+        if key not in _hubs:
+            calls = graph.arcs(self.edges, ["calls"])
+            top = calls.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node").limit(1)
+            _hubs[key] = top.first()["node"]
+        return _hubs[key]
 
     @cached_property
-    def hub(self) -> str:
-        return self.seed.first()["node"]
+    def seed(self) -> DataFrame:
+        return self.spark.range(1).select(F.lit(self.hub).alias("node"))
 
     def views(self) -> dict[str, DataFrame]:
         return {"symbols": self.symbols, "files": self.files, "edges": self.edges}
