@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from symloom.functions import text
 from symloom.operators import graph, lookup, rules, search, stats, store
 
-from . import bridge, extract_queries, ingest_queries
+from . import bridge, extract_queries, ingest_queries, storage_queries
 from .bridge import ORACLE
 
 
@@ -437,7 +437,7 @@ _add(
     + ")",
 )
 
-for _more in (ingest_queries, extract_queries):
+for _more in (ingest_queries, extract_queries, storage_queries):
     _QUERIES |= _more.QUERIES
     _ORACLES |= _more.ORACLES
 
