@@ -7,28 +7,64 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: A key with over 1 / HOT of the rows is split: there are fewer than HOT of them.
+HOT = 1024
+#: Parts a hot key is split into.
+PARTS = 64
+
+
+def _hot(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys of over ``total`` / HOT rows, fewer than HOT at any size."""
+    return rows.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > total).select("hot")
+
+
+def _dealt(rows: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """Rows with a ``part``: rows of hot keys are dealt by ``by``, the others lie in part 0."""
+    part = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    return rows.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left").select(*rows.columns, part.alias("part"))
+
+
+def _copied(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Rows, one of a key, in every ``part`` that the key's dealt rows lie in."""
+    parts = F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    return rows.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left").select(*rows.columns, F.explode(parts).alias("part"))
+
 
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` for every end of a link ``(a, b)``.
 
     The component is the smallest id reachable.  Each round takes the smallest
-    label among a node and its neighbours, then the label of that label, so a
-    chain of n nodes needs about log n rounds.  Every round is written to the
-    shared folder; the driver sees only the number of labels that changed.
+    label among a node and its neighbours, gives it to the node of the label left
+    behind, then takes the label of the label, so a chain of n nodes needs about
+    log n rounds, wherever its smallest id lies.  Every round is written to the
+    shared folder; the driver sees only the number of labels that changed.  Links
+    of a hub and nodes of one large component are split over many tasks.
     """
     both = materialise(
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
     )
+    hubs = materialise(_hot(both, "b", both.count()), "hubs")
+    dealt = _dealt(both, "b", "a", hubs)
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    nodes = labels.count()
     while True:
         near = (
-            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
+            dealt.join(_copied(labels.select(F.col("id").alias("b"), "component"), "b", hubs), ["b", "part"])
             .groupBy(F.col("a").alias("id"))
             .agg(F.min("component").alias("near"))
         )
-        moved = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = moved.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = materialise(moved.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
+        moved = materialise(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component")), "moved")
+        # what a member learnt, its label's node learns too
+        hook = moved.filter("component < old").groupBy(F.col("old").alias("id")).agg(F.min("component").alias("hook"))
+        hooked = moved.join(hook, "id", "left").select("id", "old", F.least("component", F.coalesce("hook", "component")).alias("component"))
+        large = _hot(hooked, "component", nodes)
+        up = _copied(hooked.select(F.col("id").alias("component"), F.col("component").alias("up")).filter("up < component"), "component", large)
+        new = materialise(
+            _dealt(hooked, "component", "id", large)
+            .join(up, ["component", "part"], "left")
+            .select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")),
+            "labels",
+        )
         labels = new.select("id", "component")
         if not new.filter("old <> component").limit(1).count():
             return labels
