@@ -98,25 +98,3 @@ def test_recall_of_planted_pairs_at_the_threshold(spark):
     for sigmas in (minhash.SIGMAS, None):
         got = {r.doc_id // 2 for r in minhash.near_duplicates(docs, 2, sigmas=sigmas).filter("not kept").collect()}
         assert got == linked
-
-
-def test_components_of_large_and_small_ones_equal_union_find(spark):
-    rng = random.Random(5)
-    links = [(1, i) for i in range(2, 3000)]  # a hub
-    links += [(rng.randrange(5000, 9000), rng.randrange(5000, 9000)) for _ in range(6000)]  # one large, few small
-    links += [(10_000 + i, 10_001 + i) for i in range(0, 300, 3)] + [(20_000 + i, 20_001 + i) for i in range(200)]
-    links += [(7, 7), (-5, 20_200), (2, 1)]
-    up = {}
-
-    def find(a):
-        while up.setdefault(a, a) != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        return a
-
-    for a, b in links:
-        x, y = find(a), find(b)
-        up[max(x, y)] = min(x, y)
-    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
-    assert len(rows) == len(up) and {r.id: r.component for r in rows} == {a: find(a) for a in up}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
