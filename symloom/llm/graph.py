@@ -12,8 +12,10 @@ def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` for every end of a link ``(a, b)``.
 
     The component is the smallest id reachable.  Each round takes the smallest
-    label among a node and its neighbours, then the label of that label, so a
-    chain of n nodes needs about log n rounds.  Every round is written to the
+    label among a node and its neighbours, then the label of that label: about log
+    n rounds for a chain of n nodes in order of id, but as many as links lie
+    between where the smallest id meets a node whose label was the least so far
+    and that label's own node.  Every round is written to the
     shared folder; the driver sees only the number of labels that changed.
     """
     both = materialise(
