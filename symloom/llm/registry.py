@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import centroids
 from .bpe import op4_bpe
+from .centroids import op11_centroids
 from .fingerprint import op10_fingerprint
 from .html import op7_html
 from .langid import op3_language_id
 from .media import op2_media
 from .minhash import op8_minhash
+from .mixing import op12_mixing
 from .packing import op6_packing
 from .pii import op5_pii
 from .token_output import op1_token_output
@@ -24,6 +27,8 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_warc": op9_warc,
     "op10_fingerprint": op10_fingerprint,
+    "op11_centroids": op11_centroids,
+    "op12_mixing": op12_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_centroids": centroids.ORACLE}
