@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import text
 
-from . import graph, stats
+from . import graph, propagate, stats
 
 ISSUE = ("type", "severity", "symbol", "detail", "confidence", "cwe")
 
@@ -45,12 +45,20 @@ def _called(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.join(calls, "fqn")
 
 
-def _callee_flag(symbols: DataFrame, edges: DataFrame, depth: int, words: tuple[str, ...], name: str, own: bool = False) -> DataFrame:
-    """A column: a callee within ``depth`` (or itself) has a name with a word."""
-    near = graph.reach(graph.arcs(edges, ["calls"]), _seeds(symbols), depth, include_seed_on_cycle=True)
-    hit = near.filter(text.has_any(_name("node"), words)).select(F.col("seed").alias("fqn")).distinct().withColumn(name, F.lit(True))
-    flag = F.coalesce(F.col(name), F.lit(False))
-    return symbols.join(hit, "fqn", "left").withColumn(name, (flag | text.has_any(F.col("name"), words)) if own else flag)
+def _callee_flags(symbols: DataFrame, edges: DataFrame, wanted: dict[str, tuple[tuple[str, ...], int]]) -> DataFrame:
+    """A column for each ``name: (words, depth)``: the symbol's name or that of a
+    callee within the depth has one of the words."""
+    pairs = graph.arcs(edges, ["calls"], bag=True)
+    bits = {column: 1 << i for i, column in enumerate(wanted)}
+    mask = sum((F.when(text.has_any(_name("node"), words), bits[column]).otherwise(0) for column, (words, _) in wanted.items()), F.lit(0))
+    levels = propagate.reach_flags(pairs, pairs.select(F.col("dst").alias("node")).distinct().withColumn("mask", mask), max(depth for _, depth in wanted.values()))
+    for depth in sorted({depth for _, depth in wanted.values()}):
+        symbols = symbols.join(levels[depth - 1].select(F.col("node").alias("fqn"), F.col("mask").alias("_mask")), "fqn", "left")
+        for column, (words, own) in wanted.items():
+            if own == depth:
+                symbols = symbols.withColumn(column, (F.coalesce("_mask", F.lit(0)).bitwiseAND(bits[column]) != 0) | text.has_any(F.col("name"), words))
+        symbols = symbols.drop("_mask")
+    return symbols
 
 
 # ---- data flow -------------------------------------------------------------
@@ -96,7 +104,7 @@ def sql_injection(symbols: DataFrame, edges: DataFrame, depth: int = 3, literal:
 def auth_bypass(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Endpoints without an authentication call within two steps."""
     ends = _patterns(symbols.filter(F.col("kind") == "function"), text.ENDPOINTS)
-    flagged = _callee_flag(ends, edges, 2, text.AUTH_REGEX, "auth", own=True)
+    flagged = _callee_flags(ends, edges, {"auth": (text.AUTH_REGEX, 2)})
     return _issue(flagged.filter(~F.col("auth")), "missing_authentication", "high", "fqn", "pattern", 0.7, "CWE-306")
 
 
@@ -225,10 +233,10 @@ def god_modules(edges: DataFrame, over: int = 10) -> DataFrame:
 
 def explain(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Every symbol: purpose, parameters, result type, complexity, side effects, tests."""
-    near = graph.reach(graph.arcs(edges, ["calls"]), _seeds(symbols), 2, include_seed_on_cycle=True)
-    name = _name("node")
+    pairs, name = graph.arcs(edges, ["calls"], bag=True), _name("node")
     effect = F.when(text.has_any(name, text.MODIFIES), F.concat(F.lit("Modifies data via "), name)).when(text.has_any(name, text.CALLS_OUT), F.concat(F.lit("Makes external call via "), name)).when(text.has_any(name, text.PRINTS), F.concat(F.lit("Produces output via "), name))
-    effects = near.select(F.col("seed").alias("fqn"), effect.alias("effect")).filter("effect is not null").groupBy("fqn").agg(F.countDistinct("effect").alias("side_effects"))
+    marks = pairs.select(F.col("dst").alias("node")).distinct().select("node", effect.alias("mark")).filter("mark is not null")
+    effects = propagate.reach_counts(pairs, marks, 2).select(F.col("node").alias("fqn"), F.col("reached").alias("side_effects"))
     base = tests_of(stats.with_fan(symbols, edges, ["calls"]), symbols).join(effects, "fqn", "left")
     return base.select(
         "fqn",
@@ -258,8 +266,9 @@ def tests_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
 def change_impact(symbols: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
     """Every symbol: direct callers, transitive callers and a risk."""
     up = graph.arcs(edges, ["calls"], reverse=True)
-    near = graph.reach(up, _seeds(symbols), depth, include_seed_on_cycle=True).groupBy(F.col("seed").alias("fqn")).agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count(F.lit(1)).alias("transitive"))
-    rows = tests_of(symbols.join(near, "fqn", "left"), symbols)
+    direct = up.groupBy(F.col("src").alias("fqn")).agg(F.count(F.lit(1)).alias("direct"))
+    near = propagate.reach_counts(up, up.select(F.col("dst").alias("node")).distinct(), depth).select(F.col("node").alias("fqn"), F.col("reached").alias("transitive"))
+    rows = tests_of(symbols.join(direct, "fqn", "left").join(near, "fqn", "left"), symbols)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return rows.select("fqn", zero("direct").alias("direct"), zero("transitive").alias("transitive"), F.round(text.risk(zero("direct"), zero("transitive"), F.col("tests")), 6).alias("risk"))
 
@@ -284,8 +293,7 @@ def refactorings(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def security_context(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Every symbol: what it handles, and its privilege."""
     named = text.has_any(F.col("fqn"), text.INPUT) | text.has_any(text.param_text(F.col("signature")), text.INPUT)
-    s = _callee_flag(symbols, edges, 3, text.DATABASE, "accesses_database", own=True)
-    s = _callee_flag(s, edges, 2, text.CRYPTO, "performs_crypto", own=True)
+    s = _callee_flags(symbols, edges, {"accesses_database": (text.DATABASE, 3), "performs_crypto": (text.CRYPTO, 2)})
     s = s.withColumn("handles_user_input", named).withColumn("performs_auth", text.has_any(F.col("name"), text.AUTH_WORDS))
     critical = F.col("performs_auth") | F.col("performs_crypto") | (F.col("handles_user_input") & F.col("accesses_database"))
     return s.select("fqn", "handles_user_input", "accesses_database", "performs_auth", "performs_crypto", text.privilege(F.col("fqn")).alias("privilege"), critical.alias("security_critical"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.functions import text
-from symloom.operators import graph, lookup, rules, search, stats, store
+from symloom.operators import graph, lookup, propagate, rules, search, stats, store
 
 from . import bridge, extract_queries, ingest_queries, storage_queries
 from .bridge import ORACLE
@@ -171,6 +171,12 @@ def _hops(pairs: str, depth: int, start: str = "seed") -> str:
     return f", hop AS (SELECT node AS seed, node, 0 AS depth FROM {start} UNION SELECT h.seed, p.dst, h.depth + 1 FROM hop h JOIN ({pairs}) p ON p.src = h.node WHERE h.depth < {depth}) "
 
 
+def _impact_all(g: Graph, depth: int) -> DataFrame:
+    up = graph.arcs(g.edges, ["calls"], reverse=True)
+    found = propagate.reach_counts(up, up.select(F.col("dst").alias("node")).distinct(), depth)
+    return found.join(g.symbols.select(F.col("fqn").alias("node")).distinct(), "node").select(F.col("node").alias("seed"), F.col("reached").alias("n"))
+
+
 _UP = "SELECT dst AS src, src AS dst FROM calls"
 _ANY_UP = "SELECT DISTINCT dst AS src, src AS dst FROM edges"
 _ANY = "SELECT DISTINCT src, dst FROM edges"
@@ -179,7 +185,7 @@ _add("callers_k", lambda g: graph.callers(g.edges, g.seed, 3).select("node", "de
 _add("callees_k", lambda g: graph.callees(g.edges, g.seed, 3).select("node", "depth"), _hops(_ANY, 3) + _MIN.format("AND node <> seed"))
 _add("callers_hydrated", lambda g: graph.hydrate(graph.callers(g.edges, g.seed, 2), g.symbols).select("node", "name", "kind", "depth"), _hops(_ANY_UP, 2) + "SELECT node, name, kind, CAST(min(depth) AS INTEGER) AS depth FROM hop JOIN symbols ON fqn = node WHERE depth > 0 AND node <> seed GROUP BY ALL")
 _add("impact_radius", lambda g: graph.impact_radius(g.edges, g.seed, 3).select("node", "depth"), _hops(_UP, 3) + _MIN.format(""))
-_add("impact_radius_all", lambda g: graph.impact_radius(g.edges, g.symbols.select(F.col("fqn").alias("node")), 2).groupBy("seed").agg(F.count(F.lit(1)).alias("n")), _hops(_UP, 2, "(SELECT fqn AS node FROM symbols)") + "SELECT seed, count(DISTINCT node) AS n FROM hop WHERE depth > 0 GROUP BY seed")
+_add("impact_radius_all", lambda g: _impact_all(g, 2), _hops(_UP, 2, "(SELECT fqn AS node FROM symbols)") + "SELECT seed, count(DISTINCT node) AS n FROM hop WHERE depth > 0 GROUP BY seed")
 _add("neighborhood", lambda g: graph.neighbourhood(g.edges, g.seed, 2).select("node", "depth"), _hops("SELECT src, dst FROM edges UNION SELECT dst, src FROM edges", 2) + "SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM hop GROUP BY node")
 _add("reachable_unbounded", lambda g: graph.reach(graph.arcs(g.edges, ["imports"]), g.edges.filter("edge_type = 'imports'").agg(F.min("src").alias("node")), None).select("node"), """, r AS (SELECT min(src) AS node FROM edges WHERE edge_type = 'imports' UNION SELECT dst FROM edges JOIN r ON src = node WHERE edge_type = 'imports') SELECT node FROM r WHERE node <> (SELECT min(src) FROM edges WHERE edge_type = 'imports')""")
 _add("explore_breadth", lambda g: graph.explore(g.symbols, g.edges, g.seed), _hops("SELECT src, dst FROM edges UNION SELECT dst, src FROM edges", 3) + "SELECT DISTINCT node FROM hop")
