@@ -123,53 +123,83 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     return held.join(live_docs(spark, path).select("doc", "batch"), ["doc", "batch"], "left_semi").select("term", "doc", "tf", "dl")
 
 
+class Index:
+    """An index opened for searching, as it stands now."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        total = _table(spark, path, "stats").agg(*[F.sum(c).alias(c) for c in ("docs", "words", "dead", "dead_words")]).first()
+        self.docs, self.words = total["docs"] - total["dead"], total["words"] - total["dead_words"]
+        self.mean = self.words / self.docs if self.words else 1.0
+        self.postings = _table(spark, path, "postings")
+        self.dead = _table(spark, path, "dead").select("doc", F.col("of").alias("batch"), "chunk") if total["dead"] else None
+
+    def of_terms(self, terms: list[str]) -> DataFrame:
+        """The blocks of the terms, from their buckets alone."""
+        at = [bucket(F.lit(t), self.buckets) for t in terms]  # literals once the plan is optimised
+        return self.postings.filter(F.col("bucket").isin(*at) & F.col("term").isin(terms))
+
+    def standing(self, rows: DataFrame) -> DataFrame:
+        """Rows ``(doc, batch, ...)`` of the versions that stand."""
+        return rows if self.dead is None else rows.join(self.dead.select("doc", "batch"), ["doc", "batch"], "left_anti")
+
+    def topk(self, terms: list[str], k: int = 20) -> DataFrame:
+        """``(doc, score)``: the k best by BM25, equal scores in the order of keys.
+
+        A first bound of the k-th score comes from the heaviest blocks.  A block is
+        skipped if its own greatest weight and those of all other terms cannot reach
+        the bound: none of its documents is among the k best.  Scores and counts are
+        of the documents that stand alone."""
+        held, kept, scored = self._blocks(sorted(set(terms)), k)
+        if kept is None:
+            return _table(self.spark, self.path, "docs").select("doc", F.lit(0.0).alias("score")).limit(0)
+        return scored(kept).orderBy(F.desc("score"), "doc").limit(k)
+
+    def _blocks(self, terms: list[str], k: int):
+        """All blocks of the terms, those not skipped, and what scores blocks."""
+        if not terms or self.postings is None or not self.words:
+            return None, None, None
+        held = self.of_terms(terms)
+        # a row a term; blocks that may hold dead versions are the only ones opened
+        heads = held.select("term", "n", weight(F.col("max_tf"), F.col("min_dl"), self.mean).alias("most"))
+        counts = heads.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
+        if self.dead is not None:
+            opened = held.join(self.dead.select("batch", "chunk").distinct(), ["batch", "chunk"], "left_semi").select("term", "batch", F.explode("entries.doc").alias("doc"))
+            lost = opened.join(self.dead.select("doc", "batch"), ["doc", "batch"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
+            counts = counts.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"), "most")
+        found = {r["term"]: (r["df"], r["most"]) for r in counts.collect() if r["df"]}
+        if not found:
+            return held, None, None
+        per_term = lambda f: F.coalesce(*[F.when(F.col("term") == t, f(t)) for t in found], F.lit(0.0))
+        weights = {t: idf(self.docs, df) for t, (df, _) in found.items()}
+        bound = per_term(lambda t: weights[t] * weight(F.col("max_tf"), F.col("min_dl"), self.mean))
+        rest = per_term(lambda t: sum((weights[o] * F.lit(most) for o, (_, most) in found.items() if o != t), F.lit(0.0)))
+        held = held.filter(F.col("term").isin(list(found))).withColumn("bound", bound).withColumn("rest", rest)
+
+        def scored(some: DataFrame) -> DataFrame:
+            rows = self.standing(some.select("term", "batch", F.explode("entries").alias("e")).select("term", "batch", "e.*"))
+            one = per_term(lambda t: weights[t] * weight(F.col("tf"), F.col("dl"), self.mean))
+            return rows.groupBy("doc").agg(F.round(F.sum(one), 6).alias("score"))
+
+        # the heaviest blocks, whichever term they are of: a bounded number
+        first = held.orderBy(F.desc("bound")).limit(FIRST * len(found) * max(1, k // 8))
+        least = scored(first).orderBy(F.desc("score")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).first()
+        least = least["s"] if least["n"] >= k else 0.0
+        return held, held.filter(F.col("bound") + F.col("rest") >= least - 1e-5), scored
+
+    def scores(self, queries: DataFrame) -> DataFrame:
+        """``(q, doc, score)`` for many queries ``(q, term)`` at once: every document
+        that holds a term of a query."""
+        wanted = queries.select("q", "term").distinct()
+        rows = self.postings.join(wanted.select("term").distinct(), "term", "left_semi").select("term", "batch", F.explode("entries").alias("e")).select("term", "batch", "e.*")
+        rows = self.standing(rows)
+        df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        n = float(self.docs)
+        gain = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * weight(F.col("tf"), F.col("dl"), self.mean)
+        held = rows.join(df, "term").select("term", "doc", gain.alias("gain"))
+        return held.join(wanted, "term").groupBy("q", "doc").agg(F.round(F.sum("gain"), 6).alias("score"))
+
+
 def topk(spark: SparkSession, path: str, terms: list[str], k: int = 20, buckets: int = BUCKETS) -> DataFrame:
-    """``(doc, score)``: the k best by BM25, equal scores in the order of keys.
-
-    A first bound of the k-th score comes from the heaviest blocks of each term.  A
-    block is skipped if its own greatest weight and those of all other terms cannot
-    reach the bound: none of its documents is among the k best.  Scores and counts
-    are of the documents that stand alone."""
-    return _topk(spark, path, terms, k, buckets)[0]
-
-
-def _topk(spark: SparkSession, path: str, terms: list[str], k: int, buckets: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Also all blocks of the terms, and those that are not skipped."""
-    terms = sorted(set(terms))
-    total = _table(spark, path, "stats").agg(*[F.sum(c).alias(c) for c in ("docs", "words", "dead", "dead_words")]).first()
-    n, words = total["docs"] - total["dead"], total["words"] - total["dead_words"]
-    at = [r["b"] for r in spark.range(1).select(F.explode(F.array(*[bucket(F.lit(t), buckets) for t in terms])).alias("b")).collect()] if terms else []
-    if not words or not terms:
-        return _table(spark, path, "docs").select("doc", F.lit(0.0).alias("score")).limit(0), None, None
-    held = _table(spark, path, "postings").filter(F.col("bucket").isin(at) & F.col("term").isin(terms))
-    dead = _table(spark, path, "dead").select("doc", F.col("of").alias("batch"), "chunk") if total["dead"] else None
-    mean = words / n
-    # a row a term: blocks that may hold dead versions are the only ones opened
-    heads = held.select("term", "n", "chunk", "batch", weight(F.col("max_tf"), F.col("min_dl"), mean).alias("most"))
-    counts = heads.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
-    if dead is not None:
-        opened = held.join(dead.select("batch", "chunk").distinct(), ["batch", "chunk"], "left_semi").select("term", "batch", F.explode("entries.doc").alias("doc"))
-        lost = opened.join(dead.select("doc", "batch"), ["doc", "batch"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
-        counts = counts.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"), "most")
-    found = {r["term"]: (r["df"], r["most"]) for r in counts.collect() if r["df"]}
-    per_term = lambda f: F.coalesce(*[F.when(F.col("term") == t, f(t)) for t in found], F.lit(0.0))
-    weights = {t: idf(n, df) for t, (df, _) in found.items()}
-    bound = per_term(lambda t: weights[t] * weight(F.col("max_tf"), F.col("min_dl"), mean))
-    rest = per_term(lambda t: sum((weights[o] * F.lit(most) for o, (_, most) in found.items() if o != t), F.lit(0.0)))
-    held = held.filter(F.col("term").isin(list(found))).withColumn("bound", bound).withColumn("rest", rest)
-
-    def scored(some: DataFrame) -> DataFrame:
-        rows = some.select("term", "batch", F.explode("entries").alias("e")).select("term", "batch", "e.*")
-        if dead is not None:
-            rows = rows.join(dead.select("doc", "batch"), ["doc", "batch"], "left_anti")
-        one = per_term(lambda t: weights[t] * weight(F.col("tf"), F.col("dl"), mean))
-        return rows.groupBy("doc").agg(F.round(F.sum(one), 6).alias("score"))
-
-    if not found:
-        return scored(held.limit(0)), held, held.limit(0)
-    # the heaviest blocks, whichever term they are of: a bounded number
-    first = held.orderBy(F.desc("bound")).limit(FIRST * len(found) * max(1, k // 8))
-    least = scored(first).orderBy(F.desc("score")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).first()
-    least = least["s"] if least["n"] >= k else 0.0
-    kept = held.filter(F.col("bound") + F.col("rest") >= least - 1e-5)
-    return scored(kept).orderBy(F.desc("score"), "doc").limit(k), held, kept
+    """``Index.topk`` of an index that is opened for this search."""
+    return Index(spark, path, buckets).topk(terms, k)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from symloom.functions import text
 from symloom.operators import graph, lookup, propagate, rules, search, stats, store
 
-from . import bridge, extract_queries, ingest_queries, storage_queries
+from . import bridge, extract_queries, index_queries, ingest_queries, storage_queries
 from .bridge import ORACLE
 
 
@@ -111,7 +111,7 @@ _add("fts_phrase", lambda g: search.match_phrase(search.postings(g.symbols, _FIE
 _add("fts_any_term", lambda g: search.match_any(search.postings(g.symbols, _FIELDS), ["promo", "secret"]), _POST + "SELECT DISTINCT id FROM words WHERE term IN ('promo', 'secret')")
 _add(
     "bm25_topk",
-    lambda g: search.bm25(search.postings(g.symbols, _FIELDS), ["red", "widget", "query"], k=20),
+    lambda g: index_queries.bm25_topk(g.spark, g.sf),
     _POST
     + """, dl AS (SELECT id, count(*) AS dl FROM words GROUP BY id), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT term, id, count(*) AS tf FROM words WHERE term IN ('red', 'widget', 'query') GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
@@ -443,7 +443,7 @@ _add(
     + ")",
 )
 
-for _more in (ingest_queries, extract_queries, storage_queries):
+for _more in (ingest_queries, extract_queries, index_queries, storage_queries):
     _QUERIES |= _more.QUERIES
     _ORACLES |= _more.ORACLES
 

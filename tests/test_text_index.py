@@ -63,6 +63,15 @@ def test_topk_equals_plain_bm25(spark, built, terms):
     assert len({i for i, _ in got} & {i for i, _ in want}) >= len(want) - 1  # last digits may order a tie apart
 
 
+def test_many_queries_at_once(spark, built):
+    path, held = built
+    queries = {1: ["the", "graph"], 2: ["rare"], 3: ["index", "index", "w3"]}
+    rows = spark.createDataFrame([(q, t) for q, ts in queries.items() for t in ts], "q long, term string")
+    got = {(r["q"], r["doc"]): r["score"] for r in text_index.Index(spark, path).scores(rows).collect()}
+    want = {(q, i): s for q, ts in queries.items() for i, s in _bm25(held, ts, 10**6)}
+    assert got == pytest.approx(want, abs=2e-6)
+
+
 def test_a_batch_written_again_changes_nothing(spark, built):
     path, held = built
     before = sorted(map(tuple, text_index.entries(spark, path).collect()))
@@ -79,7 +88,8 @@ def test_only_buckets_of_the_terms_are_read_and_blocks_are_skipped(spark, tmp_pa
     path = str(tmp_path / "index")
     texts = [(i, _text(rng, rng.randrange(5, 80)) + " graph" * (20 if i % 500 == 0 else i % 3)) for i in range(6000)]
     text_index.extend(_rows(spark, texts), path, 0)
-    top, held, kept = text_index._topk(spark, path, ["graph", "the"], 5, text_index.BUCKETS)
+    index = text_index.Index(spark, path)
+    top, (held, kept, _) = index.topk(["graph", "the"], 5), index._blocks(["graph", "the"], 5)
     want = _bm25(dict(texts), ["graph", "the"], 5)
     assert [r["score"] for r in top.collect()] == pytest.approx([s for _, s in want], abs=2e-6)
     assert kept.count() < held.count()
