@@ -2,11 +2,12 @@
 
 A page is read into a tree in one pass (forgiving unclosed and stray tags).  Parts
 that cannot be main text go first: by tag (menus, footers, sidebars, forms,
-scripts, styles ...; headers outside of articles) or by words in class and id
-(adverts, notices, comments, shares ...), unless the page's article is in them.  Each paragraph then passes points to its ancestors: one, one for
-each comma, up to three for its length, halved at the grandparent and further
-divided above.  A container's points are discounted by its link density; the
-best one is kept.  Around it, up to the enclosing article or main part or else
+scripts, styles ...; headers outside of articles) or by the words of class and id
+(adverts, notices, comments, shares ...), unless the page's article is in them; where
+the words may mean something else, links, length and shape vote too (``unlikely``).
+Each paragraph then passes points to its ancestors: one, one for each comma, up to
+three for its length, halved at the grandparent and further divided above.  A
+container's points are discounted by its link density; the best one is kept.  Around it, up to the enclosing article or main part or else
 the whole page, everything goes that is mostly links; the other blocks are the
 text.  Beside an article or main part stay others, plain paragraphs and what
 scores nearly as well.  A page on which nothing scores gives all its blocks that
@@ -15,7 +16,8 @@ are not mostly links.
 Defined results: a null or empty html, or one without main text, gives the empty
 text; equal rows give equal rows; a null id is kept; very long pages count whole;
 score ties fall to the outer, then earlier container; an empty table gives an
-empty table.
+empty table.  Other columns are not read, whatever their names.  A page is read in
+time in proportion to its length, long names and attributes included.
 """
 
 from __future__ import annotations
@@ -46,17 +48,28 @@ _PARAGRAPH_ENDS = BLOCK | frozenset("form fieldset nav header footer aside figur
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPE = frozenset("ul ol dl table div section article main body html".split())
 
-#: Words of a class or id that mark what is no main text.
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|comment\w*|disqus|discussion|repl(?:y|ies)|respond|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|foot|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share\w*|sharing|social\w*|related|recommend\w*|pagination|pager|widget\w*|toolbar|tags?|meta|byline|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.I,
-)
-#: A head is the page's unless it stands in an article or main part.
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
-#: A class that says what a layout has beside it, not what it is.
-_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)-\S+|\S+-(?:open|closed|enabled|disabled)(?=\s|$)", re.I)
-#: An article element of these classes is a reader's comment.
-COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respond|disqus)(?:$|[\s_-])", re.I)
+#: Words of a class or id (cut at signs and capitals) that name a part of one of the
+#: kinds that are no main text.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: These may also be no more than a box around the text.
+BOXES = frozenset("widget widgets overlay modal popup popups side rail toolbar banner social share shares sharing".split())
+KINDS = COMMENTS | BOXES | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot adbox adunit sponsor sponsors sponsored promo promos sidebar sidebars aside menu menus nav navs navbar navigation breadcrumb breadcrumbs pagination pager footer footers cookie cookies consent gdpr notice notices alert alerts newsletter newsletters subscribe subscription signup login related recommended recommendation recommendations".split()
+)
+#: Words beside which a kind's word keeps its meaning; beside others, as in
+#: promotion-history, it is one vote.
+PLAIN = frozenset(
+    "a an the of to in on at by for with and or id js css container containers wrapper wrap box boxes slot slots area areas section sections block blocks list lists item items body content contents text inner outer left right top bottom center middle main site page global web app reader readers user users visitor visitors view module modules bar bars panel panels unit units row rows col cols column columns post posts article articles entry entries story form forms link links message messages msg policy dialog title heading header head count counts button buttons btn primary secondary tertiary sticky fixed floating mobile desktop small large big wide mini full sub home first last new old more all default group groups region zone layer holder frame display image images icon icons label feed thread threads stream tree root node template layout part parts info data".split()
+)
+#: Words that are a vote alone: what they name may be a part of the article.
+VOTES = frozenset("tag tags meta byline skip copyright legal disclaimer foot toc feedback discussion discussions thread threads conversation responses promotion promotions".split())
+_TALK = frozenset("feedback discussion discussions thread threads conversation responses".split())
+#: What each reader's comment has.
+_SIGNED = frozenset("author avatar date time timestamp user username posted".split())
+#: A head is the page's unless it stands in an article or main part, or is named one's.
+HEADER = frozenset(["header", "masthead"])
+_OWN_HEADER = frozenset("article post entry story".split())
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 
 _SPACE = re.compile(r"\s+")
@@ -93,6 +106,18 @@ def unescape(s: str) -> str:
     return entities.unescape(_LONG_REFERENCE.sub(short, s))
 
 
+def names(marks: str) -> list[list[str]]:
+    """The words of each name in ``marks``.  A name that says what a layout has beside
+    it (has-sidebar, menu-open) is left out."""
+    out = []
+    for name in marks.split():
+        low = name.lower()
+        if low.startswith(("has-", "with-", "no-", "without-")) or low.endswith(("-open", "-closed", "-enabled", "-disabled")):
+            continue
+        out.append([w.lower() for w in _PART.findall(name)])
+    return out
+
+
 class _Open:
     """The open elements by name, so that an end tag without a begin costs nothing.
 
@@ -241,7 +266,7 @@ def _primary(root: Node) -> Node | None:
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.tag == "main" or (node.tag == "article" and not COMMENT.search(_LAYOUT.sub(" ", node.marks))):
+        if node.tag == "main" or (node.tag == "article" and not _comment(node)):
             if best is None or node.chars - node.linked > best.chars - best.linked:
                 best = node
             continue
@@ -249,25 +274,75 @@ def _primary(root: Node) -> Node | None:
     return best if best is not None and 3 * (best.chars - best.linked) >= root.chars - root.linked else None
 
 
+def _comment(node: Node) -> bool:
+    return bool(node.marks) and any(not COMMENTS.isdisjoint(words) for words in names(node.marks))
+
+
+def _signed(node: Node) -> bool:
+    """A date or an author's mark is among the next elements."""
+    todo, seen = [node], 0
+    while todo and seen < 12:
+        x = todo.pop(0)
+        seen += 1
+        if x.tag == "time" or (x is not node and x.marks and any(not _SIGNED.isdisjoint(w) for w in names(x.marks))):
+            return True
+        todo += [y for y in x.items[:6] if not isinstance(y, str)]
+    return False
+
+
+def _talk(node: Node) -> bool:
+    """Two or more parts of one shape, each signed: readers' comments."""
+    shapes = Counter((x.tag, x.marks) for x in node.items if not isinstance(x, str) and x.tag in BLOCK | {"article"})
+    shape, times = max(shapes.items(), key=lambda x: x[1], default=(None, 0))
+    return times > 1 and all(_signed(x) for x in node.items if not isinstance(x, str) and (x.tag, x.marks) == shape)
+
+
+def _words(node: Node) -> int:
+    """About how many words stand outside of links."""
+    return (node.chars - node.linked) // 6
+
+
+def unlikely(node: Node, within: bool, page: int) -> bool:
+    """Whether the names of an element, with its links and its share of the page's
+    ``page`` plain characters, say that it is no main text.
+
+    A name of a kind's words and plain ones decides, save that a box of most of the
+    page's text is only a box.  A kind's word beside others, and a word of ``VOTES``,
+    need a second vote: many links, next to no words outside an article, or signed
+    parts of one shape."""
+    found, vote, talk = set(), False, False
+    for words in names(node.marks):
+        kinds = KINDS.intersection(words)
+        if kinds and PLAIN.issuperset(w for w in words if w not in KINDS and len(w) > 1):
+            found |= kinds
+        elif kinds or not VOTES.isdisjoint(words):
+            vote = True
+            talk = talk or not _TALK.isdisjoint(words)
+        elif not within and not HEADER.isdisjoint(words) and _OWN_HEADER.isdisjoint(words):
+            return True
+    if found:
+        return not (found <= BOXES and node.chars >= 200 and 5 * (node.chars - node.linked) >= 3 * page)
+    return vote and (3 * node.linked >= max(1, node.chars) or (not within and _words(node) < 10) or (talk and _talk(node)))
+
+
 def prune(root: Node) -> None:
-    """Take out what cannot be main text.  A word that marks such a part wins over
-    any other in the same class, but not over holding the page's article."""
+    """Take out what cannot be main text, but nothing that holds the page's article."""
     _prune(root, _dropped)
     measure(root)
     spared, up = set(), _primary(root)
     while up is not None:
         spared.add(id(up))
         up = up.parent
+    page = root.chars - root.linked
 
-    def unlikely(node: Node, within: bool) -> bool:
+    def unwanted(node: Node, within: bool) -> bool:
         if not node.marks or node.tag in ("html", "body") or id(node) in spared:
             return False
-        marks = _LAYOUT.sub(" ", node.marks)
         if node.tag in ("main", "article"):
-            return bool(COMMENT.search(marks))
-        return bool(UNLIKELY.search(marks)) or (not within and bool(HEADER.search(marks)))
+            return _comment(node)
+        return unlikely(node, within, page)
 
-    _prune(root, unlikely)
+    _prune(root, unwanted)
 
 
 def _walk(root: Node):

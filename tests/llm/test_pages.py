@@ -174,3 +174,42 @@ def test_scores_equal_the_plain_rule():
         found = html.score(root)
         want = _scored(root)
         assert {id(x): round(x.points, 9) for x in found} == {k: round(v, 9) for k, v in want.items()}
+
+
+PARA = "This is a whole paragraph, with commas, of many plain words that a reader would want to read, and it goes on for a while to be long enough. "
+
+
+@pytest.mark.parametrize("name", ["byline", "meta", "commentary", "legal", "tag", "disclaimer", "copyright-law", "promotion-history", "social-history", "advertising-in-print", "has-sidebar", "menuOfTheDay history"])
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_parts_of_the_article_stay_whatever_their_names(outer, name):
+    page = f"<body><nav><a href=x>menu</a></nav><{outer}><p>{PARA * 3}</p><div class='{name}'><p>Kept: {PARA}</p></div><p>{PARA * 2}</p></{outer}></body>"
+    assert html.extract(page) == "\n".join([(PARA * 3).strip(), ("Kept: " + PARA).strip(), (PARA * 2).strip()])
+
+
+SIGNED = "".join(f"<div class='c'><span class='author'>R{i}</span><p>Lost {PARA}</p></div>" for i in range(3))
+
+
+@pytest.mark.parametrize(
+    ("name", "inner"),
+    [(n, f"<p>Lost {PARA}</p>") for n in ("readerComments", "userComments", "adContainer", "AdSlot", "siteFooter", "rightRail", "gdpr", "cookieNotice", "NewsletterSignup", "comment-list", "side")]
+    + [("thread", SIGNED), ("feedback", SIGNED), ("toc", "<ul>" + "<li><a href=x>Lost part</a></li>" * 6 + "</ul>"), ("copyright", "Lost, 2020")],
+)
+def test_other_parts_go_without_an_article(name, inner):
+    page = f"<body><div class='page'><div><p>{PARA * 3}</p><p>{PARA * 3}</p></div><div class='{name}'>{inner}</div></div></body>"
+    assert html.extract(page) == "\n".join([(PARA * 3).strip()] * 2)
+
+
+def test_a_box_of_the_whole_page_is_only_a_box():
+    page = f"<body><div class='widget-wrap'><p>{PARA * 3}</p><p>{PARA * 3}</p></div><div class='widget'><p>Lost {PARA}</p></div></body>"
+    assert html.extract(page) == "\n".join([(PARA * 3).strip()] * 2)
+
+
+@pytest.mark.parametrize("value", ["a-" * 500_000, "A" * 1_000_000, "ad " * 330_000, "x" * 1_000_000 + "-open", "aB" * 500_000, "-" * 1_000_000])
+def test_long_names_take_linear_time(value):
+    began = time.process_time()
+    html.extract(f"<div class='{value}'><p>{PARA * 5}</p></div>")
+    assert time.process_time() - began < 3
+
+
+def test_names():
+    assert html.names("readerComments AdSlot has-sidebar menu-open copyright-law HTMLPage x_y2z") == [["reader", "comments"], ["ad", "slot"], ["copyright", "law"], ["html", "page"], ["x", "y", "z"]]
