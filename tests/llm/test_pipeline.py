@@ -12,7 +12,7 @@ from .test_near_duplicates import brute
 
 def test_stages_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "pii", "packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 13))
 
 
 def test_stages_equal_plain_versions(spark, tmp_path):
@@ -64,9 +64,24 @@ def test_registered_queries_equal_their_operators(spark, tmp_path):
     docs = [(i, f"A text, number {i}, of some few words for all. " * (1 + i % 5), "en" if i % 2 else "fr", "s", 1) for i in range(1, 30)] + [(50, None, None, None, None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, f"u{i}", f"<article><p>Page, {i % 4}, of words.</p></article>") for i in range(12)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(i, [i / 7] * 64) for i in range(12)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     for name, query in registry.QUERIES.items():
         found = query(spark, folder).collect()
-        key = "page_id" if name in ("op7_html", "op9_warc") else "doc_id"
-        want = set(range(12)) if key == "page_id" else {r[0] for r in docs}
+        key = {"op7_html": "page_id", "op9_warc": "page_id", "op11_centroids": "vec_id"}.get(name, "doc_id")
+        want = set(range(12)) if key != "doc_id" else {r[0] for r in docs}
         assert {r[key] for r in found} == want, name
         assert name == "op6_packing" or len(found) == len(want), name
+
+
+def test_stages_on_columns_of_any_name_and_type(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs far away"
+    rows = [(1, text, "en", {"k": 2}, "x", 1), (1, text, "en", {"k": 1}, "y", 2), (2, text + " tail", "en", None, "z", 3), (None, text, "en", {}, None, None), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, a map<string,int>, `b.c` string, `rest``d` int")
+    one = corpus_pipeline.language_id(spark, docs, "")
+    assert one.columns == docs.columns and sorted(map(str, one.collect())) == sorted(map(str, docs.filter("text is not null").collect()))
+    two = corpus_pipeline.near_dedup(spark, docs, "")
+    assert two.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, str(r["a"]), r["b.c"], r["rest`d"]) for r in two.collect()) == [(0, "{}", None, None), (1, "{'k': 1}", "y", 2), (3, "None", None, None)]
+    three = corpus_pipeline.mask_pii(spark, docs, "")
+    assert three.columns == docs.columns and three.count() == len(rows)
+    assert corpus_pipeline.pack(spark, docs, "").count() == len(rows)
