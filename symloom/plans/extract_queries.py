@@ -1,215 +1,114 @@
-"""Queries of the extractors over ``extract_sources``, a query a language.
+"""Queries of the extractors, over sources that Spark writes from the symbol graph.
 
-The oracles' rows were written down once and read against the sources.
+Every file of ``bridge`` becomes a source in each language: its functions, methods
+and classes in the order of their ids, three lines each, a function calling the
+smallest name among its callees.  So the extractors must give the graph back, and
+the oracles state names, places and calls from the tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.sources import extract
 
-from .extract_sources import SOURCES
+from .bridge import ORACLE
+
+
+class Form(NamedTuple):
+    """How a language writes a declaration (three lines) and a call; ``head`` and
+    ``tail`` stand around a file's declarations (``{file}``: the file's name)."""
+
+    ending: str
+    head: tuple[str, ...]
+    function: tuple[str, str, str]
+    klass: tuple[str, str, str]
+    kinds: tuple[str, str]
+    fqn: str
+    body: str = "{callee}()"
+    tail: str = ""
+    also: str | None = None
+
+
+FORMS = {
+    "python": Form("py", (), ("def {name}():", "    {body}", ""), ("class {name}:", "    pass", ""), ("function", "class"), "'src.' || file || '.' || name"),
+    "typescript": Form("ts", (), ("export function {name}() {{", "  {body};", "}}"), ("class {name} {{", "", "}}"), ("function", "class"), "'src/' || file || '/' || name"),
+    "go": Form("go", ("package pkg",), ("func {name}() {{", "\t{body}", "}}"), ("type {name} struct {{", "", "}}"), ("function", "class"), "'src.' || name"),
+    "rust": Form("rs", (), ("fn {name}() {{", "    {body};", "}}"), ("struct {name} {{", "", "}}"), ("function", "struct"), "name"),
+    "java": Form("java", ("package com.x;", "class Of_{file} {{"), ("  void {name}() {{", "    {body};", "  }}"), ("  class {name} {{", "", "  }}"), ("method", "class"), "'com.x.Of_' || file || '.' || name", tail="}}", also="'com.x.Of_' || file"),
+    "cpp": Form("cpp", (), ("void {name}() {{", "  {body};", "}}"), ("class {name} {{", "", "}};"), ("function", "class"), "name"),
+}
+
+
+def _text(form: str, **parts: Column) -> Column:
+    """The form with columns in its braces."""
+    plain = form.replace("{{", "\0").replace("}}", "\1")
+    out: list[Column] = []
+    while plain:
+        before, brace, rest = plain.partition("{")
+        out.append(F.lit(before.replace("\0", "{").replace("\1", "}")))
+        name, _, plain = rest.partition("}") if brace else ("", "", "")
+        if brace:
+            out.append(parts[name])
+    return F.concat(*out) if out else F.lit("")
+
+
+def sources(g, language: str) -> DataFrame:
+    """``(path, content)``, a row a file of the graph."""
+    form = FORMS[language]
+    name = F.split_part(F.col("dst"), F.lit("::"), F.lit(2))
+    callee = g.edges.filter("edge_type = 'calls'").groupBy(F.col("src").alias("fqn")).agg(F.min(name).alias("callee"))
+    s = g.symbols.filter("kind <> 'variable'").join(callee, "fqn", "left")
+    call = F.when(F.col("callee").isNotNull(), _text(form.body, callee=F.col("callee"))).otherwise("pass" if language == "python" else "")
+    lines = lambda three: F.array(*[_text(x, name=F.col("name"), body=call) for x in three])
+    one = F.array_join(F.when(F.col("kind") == "class", lines(form.klass)).otherwise(lines(form.function)), "\n")
+    held = s.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("id", one.alias("text")))).alias("all"))
+    file = F.concat(F.lit("file"), F.col("file_id").cast("string"))
+    parts = [*[F.array(_text(x, file=file)) for x in form.head], F.col("all.text"), *([F.array(_text(form.tail))] if form.tail else [])]
+    return held.select(F.concat(F.lit("src/"), file, F.lit(f".{form.ending}")).alias("path"), F.array_join(F.concat(*parts), "\n").alias("content"))
 
-LANGUAGES = {path.rsplit(".", 1)[-1]: extract.language(path) for path, _ in SOURCES}
 
+def _facts(rows: DataFrame) -> DataFrame:
+    """Symbols and calls as ``(path, fact, name, fqn, line)``."""
+    s = rows.filter("rec = 'symbol'").select("path", F.col("kind").alias("fact"), "name", "fqn", "line")
+    o = rows.filter("rec = 'occurrence'").select("path", F.col("role").alias("fact"), F.col("token").alias("name"), F.lit("").alias("fqn"), "line")
+    return s.union(o)
 
-def _rows(g) -> DataFrame:
-    return extract.extract(g.spark.createDataFrame(list(SOURCES), "path string, content string"))
 
+def _query(language: str):
+    return lambda g: _facts(extract.extract(sources(g, language)))
 
-def _facts(rows: DataFrame) -> DataFrame:
-    """Symbols, edges and calls as ``(fact, a, b, line)``."""
-    s = rows.filter("rec = 'symbol'").select(F.col("kind").alias("fact"), F.col("name").alias("a"), F.col("fqn").alias("b"), "line")
-    e = rows.filter("rec = 'edge'").select(F.col("edge_type").alias("fact"), F.coalesce("src", F.lit("")).alias("a"), F.coalesce("dst", "file_dst").alias("b"), F.lit(-1).alias("line"))
-    o = rows.filter("rec = 'occurrence'").select(F.col("role").alias("fact"), F.col("token").alias("a"), F.lit("").alias("b"), "line")
-    return s.union(e).union(o)
-
-
-def _query(ending: str):
-    return lambda g: _facts(_rows(g).filter(F.col("path").endswith(f".{ending}")))
-
-
-QUERIES = {f"extract_{lang}": _query(ending) for ending, lang in LANGUAGES.items() if lang != "unknown"}
-QUERIES["extract_counts"] = lambda g: _rows(g).groupBy("path", "rec").agg(F.count(F.lit(1)).alias("n"))
-QUERIES["extract_heuristic_calls"] = lambda g: extract.resolve_calls(_rows(g)).select("src", "dst")
-
-_FACTS = "SELECT fact, a, b, CAST(line AS INTEGER) AS line FROM (VALUES {}) t(fact, a, b, line)"
-
-_TYPESCRIPT = """
-('function', 'greet', 'web/user/greet', 3),
-('function', 'twice', 'web/user/twice', 4),
-('class', 'User', 'web/user/User', 5),
-('extends', 'web/user/User', 'Base', -1),
-('implements', 'web/user/User', 'Named', -1),
-('method', 'save', 'web/user/save', 7),
-('contains', 'web/user/User', 'web/user/save', -1),
-('interface', 'Named', 'web/user/Named', 9),
-('enum', 'Color', 'web/user/Color', 10),
-('type', 'Alias', 'web/user/Alias', 11),
-('variable', 'limit', 'web/user/limit', 12),
-('imports', '', 'web/./store.ts', -1),
-('imports', '', 'web/../shared.ts', -1),
-('call', 'format', '', 3),
-('call', 'store', '', 7)
-"""
 
-_PYTHON = """
-('imports', '', 'os.py', -1),
-('imports', '', 'base.py', -1),
-('class', 'User', 'app.models.User', 2),
-('extends', 'app.models.User', 'Model', -1),
-('method', 'save', 'app.models.save', 3),
-('contains', 'app.models.User', 'app.models.save', -1),
-('function', 'main', 'app.models.main', 6),
-('variable', 'LIMIT', 'app.models.LIMIT', 8),
-('call', 'save', '', 7),
-('call', 'check', '', 4),
-('call', 'getcwd', '', 5),
-('call', 'User', '', 7)
-"""
+def _stub(g) -> DataFrame:
+    """C# files are walked as modules only."""
+    files = sources(g, "java").select(F.regexp_replace("path", r"\.java$", ".cs").alias("path"), "content")
+    return extract.symbols(extract.extract(files)).select("kind", "name", "file_path")
 
-_GO = """
-('class', 'User', 'pkg.User', 10),
-('field', 'Name', 'pkg.Name', 12),
-('contains', 'pkg.User', 'pkg.Name', -1),
-('interface', 'Saver', 'pkg.Saver', 14),
-('method', 'Save', 'pkg.Save', 15),
-('contains', 'pkg.User', 'pkg.Save', -1),
-('function', 'main', 'pkg.main', 16),
-('constant', 'Low', 'pkg.Low', 6),
-('constant', 'Mid', 'pkg.Mid', 7),
-('constant', 'High', 'pkg.High', 7),
-('variable', 'a', 'pkg.a', 9),
-('variable', 'b', 'pkg.b', 9),
-('field', 'X', 'pkg.X', 11),
-('contains', 'pkg.User', 'pkg.X', -1),
-('field', 'Y', 'pkg.Y', 11),
-('contains', 'pkg.User', 'pkg.Y', -1),
-('imports', '', 'fmt', -1),
-('imports', '', 'os', -1),
-('call', 'Save', '', 14),
-('call', 'Println', '', 16),
-('call', 'load', '', 16)
-"""
 
-_RUST = """
-('struct', 'User', 'User', 1),
-('field', 'name', 'User::name', 2),
-('contains', 'User', 'User::name', -1),
-('enum', 'Shape', 'Shape', 4),
-('trait', 'Save', 'Save', 8),
-('method', 'save', 'Save::save', 9),
-('contains', 'Save', 'Save::save', -1),
-('method', 'save', 'User::save', 12),
-('module', 'inner', 'inner', 16),
-('function', 'f', 'inner::f', 17),
-('contains', 'inner', 'inner::f', -1),
-('function', 'main', 'main', 19),
-('enum', 'Circle', 'Shape::Circle', 5),
-('contains', 'Shape', 'Shape::Circle', -1),
-('enum', 'Square', 'Shape::Square', 6),
-('contains', 'Shape', 'Shape::Square', -1),
-('implements', 'User', 'Save', -1),
-('imports', '', 'std::fmt', -1),
-('call', 'write', '', 13),
-('calls', 'src/lib.rs#root', 'write', -1),
-('call', 'run', '', 20),
-('calls', 'src/lib.rs#root', 'run', -1)
-"""
+QUERIES = {f"extract_{language}": _query(language) for language in FORMS}
+QUERIES["extract_csharp"] = _stub
+QUERIES["extract_counts"] = lambda g: extract.extract(sources(g, "python")).groupBy("path", "rec").agg(F.count(F.lit(1)).alias("n"))
+QUERIES["extract_heuristic_calls"] = lambda g: extract.resolve_calls(extract.extract(sources(g, "python"))).select("src", "dst")
 
-_JAVA = """
-('class', 'User', 'com.x.User', 3),
-('extends', 'com.x.User', 'Base', -1),
-('implements', 'com.x.User', 'Named', -1),
-('field', 'age', 'com.x.User.age', 4),
-('contains', 'com.x.User', 'com.x.User.age', -1),
-('method', 'User', 'com.x.User.User', 6),
-('contains', 'com.x.User', 'com.x.User.User', -1),
-('method', 'names', 'com.x.User.names', 7),
-('contains', 'com.x.User', 'com.x.User.names', -1),
-('enum', 'Kind', 'com.x.User.Kind', 8),
-('contains', 'com.x.User', 'com.x.User.Kind', -1),
-('class', 'Point', 'com.x.Point', 10),
-('field', 'id', 'com.x.User.id', 4),
-('contains', 'com.x.User', 'com.x.User.id', -1),
-('method', '<clinit>', 'com.x.User.static_init_5', 5),
-('contains', 'com.x.User', 'com.x.User.static_init_5', -1),
-('function', 'lambda_7', 'com.x.User.lambda_7', 7),
-('contains', 'com.x.User.names', 'com.x.User.lambda_7', -1),
-('enum_member', 'A', 'com.x.User.Kind.A', 8),
-('contains', 'com.x.User.Kind', 'com.x.User.Kind.A', -1),
-('enum_member', 'B', 'com.x.User.Kind.B', 8),
-('contains', 'com.x.User.Kind', 'com.x.User.Kind.B', -1),
-('method', 'Point', 'com.x.Point.Point', 10),
-('contains', 'com.x.Point', 'com.x.Point.Point', -1),
-('imports', '', 'java.util.List', -1),
-('call', 'init', '', 5),
-('calls', 'com/x/User.java#root', 'init', -1),
-('call', 'load', '', 7),
-('calls', 'com/x/User.java#root', 'load', -1),
-('call', 'trim', '', 7),
-('calls', 'com/x/User.java#root', 'trim', -1)
-"""
+_DECLARED = ORACLE + """, callee AS (SELECT src AS fqn, min(split_part(dst, '::', 2)) AS callee FROM calls GROUP BY src),
+declared AS (SELECT 'file' || file_id AS file, name, s.kind, callee, 3 * (row_number() OVER (PARTITION BY file_id ORDER BY id) - 1) AS place
+  FROM symbols s LEFT JOIN callee USING (fqn) WHERE kind <> 'variable') """
 
-_CPP = """
-('constant', 'LIMIT', 'LIMIT', 2),
-('namespace', 'app', 'app', 3),
-('class', 'Shape', 'app::Shape', 4),
-('contains', 'app', 'app::Shape', -1),
-('extends', 'app::Shape', 'Base', -1),
-('method', 'area', 'app::Shape::area', 6),
-('contains', 'app::Shape', 'app::Shape::area', -1),
-('field', 'h', 'app::Shape::h', 8),
-('contains', 'app::Shape', 'app::Shape::h', -1),
-('enum', 'Color', 'app::Color', 10),
-('contains', 'app', 'app::Color', -1),
-('function', 'main', 'main', 12),
-('field', 'w', 'app::Shape::w', 8),
-('contains', 'app::Shape', 'app::Shape::w', -1),
-('enum_member', 'Red', 'app::Color.Red', 10),
-('contains', 'app::Color', 'app::Color.Red', -1),
-('enum_member', 'Green', 'app::Color.Green', 10),
-('contains', 'app::Color', 'app::Color.Green', -1),
-('function', 'lambda_12_22', 'lambda_12_22', 12),
-('contains', 'main', 'lambda_12_22', -1),
-('imports', '', 'vector', -1),
-('imports', '', 'own.h', -1),
-('call', 'size', '', 6),
-('calls', 'app::Shape::area', 'size', -1),
-('call', 'g', '', 12),
-('calls', 'main', 'g', -1),
-('call', 'f', '', 12),
-('calls', 'main', 'f', -1)
-"""
 
-_CSHARP = """
-('module', 'Main.cs', 'App/Main.cs', 0)
-"""
+def _oracle(language: str) -> str:
+    form = FORMS[language]
+    path, first = f"'src/' || file || '.{form.ending}'", len(form.head)  # lines count from 0
+    also = f" UNION ALL SELECT DISTINCT {path}, 'class', 'Of_' || file, {form.also}, CAST({first - 1} AS INTEGER) FROM declared" if form.also else ""
+    return _DECLARED + f"""SELECT {path} AS path, CASE kind WHEN 'class' THEN '{form.kinds[1]}' ELSE '{form.kinds[0]}' END AS fact, name, {form.fqn} AS fqn, CAST(place + {first} AS INTEGER) AS line FROM declared
+UNION ALL SELECT {path}, 'call', callee, '', CAST(place + {first + 1} AS INTEGER) FROM declared WHERE kind <> 'class' AND callee IS NOT NULL""" + also
 
-_COUNTS = """
-('web/user.ts', 'symbol', 8),
-('web/user.ts', 'edge', 5),
-('web/user.ts', 'occurrence', 2),
-('app/models.py', 'edge', 4),
-('app/models.py', 'symbol', 4),
-('app/models.py', 'occurrence', 4),
-('pkg/main.go', 'symbol', 12),
-('pkg/main.go', 'edge', 6),
-('pkg/main.go', 'occurrence', 3),
-('src/lib.rs', 'symbol', 11),
-('src/lib.rs', 'edge', 9),
-('src/lib.rs', 'occurrence', 2),
-('com/x/User.java', 'symbol', 12),
-('com/x/User.java', 'edge', 16),
-('com/x/User.java', 'occurrence', 3),
-('geo/shape.cpp', 'symbol', 11),
-('geo/shape.cpp', 'edge', 14),
-('geo/shape.cpp', 'occurrence', 3),
-('App/Main.cs', 'symbol', 1)
-"""
 
-ORACLES = {f"extract_{lang}": _FACTS.format(rows) for lang, rows in (("typescript", _TYPESCRIPT), ("python", _PYTHON), ("go", _GO), ("rust", _RUST), ("java", _JAVA), ("cpp", _CPP), ("csharp", _CSHARP))}
-ORACLES["extract_counts"] = f"SELECT path, rec, CAST(n AS BIGINT) AS n FROM (VALUES {_COUNTS}) t(path, rec, n)"
-ORACLES["extract_heuristic_calls"] = "SELECT 'app.models.main' AS src, 'app.models.save' AS dst"
+ORACLES = {f"extract_{language}": _oracle(language) for language in FORMS}
+ORACLES["extract_csharp"] = _DECLARED + "SELECT DISTINCT 'module' AS kind, file || '.cs' AS name, 'src/' || file || '.cs' AS file_path FROM declared"
+ORACLES["extract_counts"] = _DECLARED + """SELECT 'src/' || file || '.py' AS path, 'symbol' AS rec, count(*) AS n FROM declared GROUP BY file
+UNION ALL SELECT 'src/' || file || '.py', 'occurrence', count(*) FROM declared WHERE kind <> 'class' AND callee IS NOT NULL GROUP BY file"""
+ORACLES["extract_heuristic_calls"] = _DECLARED + """SELECT DISTINCT 'src.' || a.file || '.' || a.name AS src, 'src.' || b.file || '.' || b.name AS dst
+FROM declared a JOIN declared b ON a.file = b.file AND a.callee = b.name WHERE a.kind <> 'class' AND b.kind <> 'class'"""

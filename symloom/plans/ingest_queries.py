@@ -45,7 +45,21 @@ JAVA_SOURCES = (
 
 
 def _sources(g, rows) -> DataFrame:
-    return g.spark.createDataFrame(list(rows), "path string, content string")
+    """A source a symbol, by its id one of the given; its name has the id."""
+    form = F.element_at(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in rows]), (F.col("id") % len(rows) + 1).cast("int"))
+    return g.symbols.select("id", F.concat(F.lit("src"), F.col("id").cast("string"), F.lit("/"), form["path"]).alias("path"), form["content"].alias("content"))
+
+
+def _supported(g) -> DataFrame:
+    """Every symbol's features: those of a family and version that its id picks."""
+    known = [(lang, v) for lang, all_ in versions.FAMILIES.items() if any(lang == x for x, _ in versions.FEATURES) for v in all_]
+    pick = F.element_at(F.array(*[F.struct(F.lit(lang).alias("language"), F.lit(v).alias("version")) for lang, v in known]), (F.col("id") % len(known) + 1).cast("int"))
+    return g.symbols.select("id", pick.alias("p")).select("id", "p.*").join(versions.feature_table(g.spark), ["language", "version"]).select("id", "language", "version", "feature", "supported")
+
+
+def _minimum(g) -> DataFrame:
+    """Every file's features with the least version that has them, by its language."""
+    return g.files.join(versions.minimum_table(g.spark), "language").select("path", "language", "feature", "version", "name")
 
 
 QUERIES = {
@@ -53,10 +67,10 @@ QUERIES = {
     "scip_edges": lambda g: scip.edges(scip_index(g)).select("edge_type", "src", "dst", "file_src"),
     "scip_occurrences": lambda g: scip.occurrences(scip_index(g)).select("file_path", "role", "start_line", "start_col", "end_line", "end_col"),
     "fqn_edge_upgrade": _upgrade,
-    "version_detect_java": lambda g: _sources(g, JAVA_SOURCES).select("path", versions.of_java(F.col("content"))["version"].alias("version")),
-    "version_detect_cpp": lambda g: _sources(g, CPP_SOURCES).select("path", versions.of_cpp(F.col("path"), F.col("content"))["version"].alias("version")),
-    "feature_support": lambda g: versions.feature_table(g.spark),
-    "feature_minimum": lambda g: versions.minimum_table(g.spark),
+    "version_detect_java": lambda g: _sources(g, JAVA_SOURCES).select("id", "path", versions.of_java(F.col("content"))["version"].alias("version")),
+    "version_detect_cpp": lambda g: _sources(g, CPP_SOURCES).select("id", "path", versions.of_cpp(F.col("path"), F.col("content"))["version"].alias("version")),
+    "feature_support": _supported,
+    "feature_minimum": _minimum,
     "line_counts": lambda g: g.spark.read.parquet(f"{g.sf}/documents.parquet").select("doc_id", walk.line_count(F.col("text")).cast("long").alias("lines")),
     "content_hashes": lambda g: g.spark.read.parquet(f"{g.sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash")),
     "next_snapshot": lambda g: store.next_snapshot(*_snapshot_step(g)).select("commit_id", "path", "content_hash"),
@@ -77,9 +91,9 @@ ORACLES = {
     "scip_edges": ORACLE + f", raw AS (SELECT fqn, file_id, {_RAW} AS raw FROM symbols) SELECT CASE edge_type WHEN 'imports' THEN 'implements' ELSE 'calls' END AS edge_type, a.raw AS src, b.raw AS dst, path AS file_src FROM edges e JOIN raw a ON a.fqn = e.src JOIN raw b ON b.fqn = e.dst JOIN files f ON f.id = a.file_id WHERE edge_type IN ('calls', 'imports')",
     "scip_occurrences": ORACLE + "SELECT path AS file_path, CASE line % 3 WHEN 0 THEN 'definition' WHEN 1 THEN 'write' ELSE 'reference' END AS role, line AS start_line, \"column\" AS start_col, CASE WHEN line % 2 = 0 THEN line ELSE line + 1 END AS end_line, CASE WHEN line % 2 = 0 THEN \"column\" + 5 ELSE 0 END AS end_col FROM symbols s JOIN files f ON f.id = s.file_id",
     "fqn_edge_upgrade": ORACLE + "SELECT e.id, CASE WHEN resolution = 'syntactic' THEN 'id:' || s.id ELSE dst END AS dst, 'semantic' AS resolution, CASE WHEN resolution = 'syntactic' THEN 'scip' END AS resolved_by FROM edges e JOIN symbols s ON s.fqn = e.dst",
-    "version_detect_java": "SELECT * FROM (VALUES ('A.java', 'Java21'), ('B.java', 'Java17'), ('C.java', 'Java17'), ('D.java', 'Java11'), ('E.java', 'Java8'), ('F.java', 'Java8'), ('pom.xml', 'Java17'), ('build.gradle', 'Java8'), ('G.java', 'Java8')) t(path, version)",
-    "version_detect_cpp": "SELECT * FROM (VALUES ('a.cpp', 'Cpp20'), ('b.cpp', 'Cpp20'), ('c.cpp', 'Cpp17'), ('d.cc', 'Cpp17'), ('e.cpp', 'Cpp14'), ('f.cpp', 'Cpp11'), ('g.cpp', 'Cpp17'), ('h.hpp', 'Cpp17'), ('i.c', 'C11'), ('j.h', 'C11'), ('k.cpp', 'Cpp03'), ('l.c', 'C99'), ('m', 'Cpp98'), ('n.cpp', 'Cpp17')) t(path, version)",
-    "feature_support": """WITH v(language, version, place) AS (VALUES
+    "version_detect_java": ORACLE + "SELECT id, 'src' || id || '/' || path AS path, version FROM symbols JOIN (SELECT path, version, row_number() OVER () - 1 AS place FROM (VALUES ('A.java', 'Java21'), ('B.java', 'Java17'), ('C.java', 'Java17'), ('D.java', 'Java11'), ('E.java', 'Java8'), ('F.java', 'Java8'), ('pom.xml', 'Java17'), ('build.gradle', 'Java8'), ('G.java', 'Java8')) t(path, version)) v ON place = id % 9",
+    "version_detect_cpp": ORACLE + "SELECT id, 'src' || id || '/' || path AS path, version FROM symbols JOIN (SELECT path, version, row_number() OVER () - 1 AS place FROM (VALUES ('a.cpp', 'Cpp20'), ('b.cpp', 'Cpp20'), ('c.cpp', 'Cpp17'), ('d.cc', 'Cpp17'), ('e.cpp', 'Cpp14'), ('f.cpp', 'Cpp11'), ('g.cpp', 'Cpp17'), ('h.hpp', 'Cpp17'), ('i.c', 'C11'), ('j.h', 'C11'), ('k.cpp', 'Cpp03'), ('l.c', 'C99'), ('m', 'Cpp98'), ('n.cpp', 'Cpp17')) t(path, version)) v ON place = id % 14",
+    "feature_support": ORACLE + """, v(language, version, place) AS (VALUES
   ('cpp', 'Cpp98', 1), ('cpp', 'Cpp03', 2), ('cpp', 'Cpp11', 3), ('cpp', 'Cpp14', 4), ('cpp', 'Cpp17', 5), ('cpp', 'Cpp20', 6), ('cpp', 'Cpp23', 7),
   ('java', 'Java8', 1), ('java', 'Java11', 2), ('java', 'Java17', 3), ('java', 'Java21', 4),
   ('python', 'Python2', 1), ('python', 'Python3', 2), ('python', 'Python38', 3), ('python', 'Python39', 4), ('python', 'Python310', 5), ('python', 'Python311', 6), ('python', 'Python312', 7),
@@ -92,13 +106,14 @@ f(language, feature, least) AS (VALUES
   ('python', 'annotations', 2), ('python', 'walrus', 3), ('python', 'match', 5), ('python', 'exception_groups', 6),
   ('javascript', 'arrow_functions', 2), ('javascript', 'let_const', 2), ('javascript', 'template_literals', 2), ('javascript', 'async_await', 4), ('javascript', 'optional_chaining', 7), ('javascript', 'nullish_coalescing', 7),
   ('go', 'generics', 1))
-SELECT language, feature, version, place >= least AS supported FROM v JOIN f USING (language)""",
-    "feature_minimum": """SELECT * FROM (VALUES ('cpp', 'auto', 'Cpp11', 'C++11'), ('cpp', 'lambda', 'Cpp11', 'C++11'), ('cpp', 'structured_bindings', 'Cpp17', 'C++17'), ('cpp', 'concepts', 'Cpp20', 'C++20'), ('cpp', 'coroutines', 'Cpp20', 'C++20'), ('cpp', 'modules', 'Cpp20', 'C++20'),
+SELECT s.id, language, version, feature, p.place >= least AS supported FROM symbols s
+JOIN (SELECT language, version, place, row_number() OVER (ORDER BY list_position(['cpp', 'java', 'python', 'javascript', 'go'], language), place) - 1 AS at FROM v) p ON p.at = s.id % (SELECT count(*) FROM v) JOIN f USING (language)""",
+    "feature_minimum": ORACLE + """SELECT path, language, feature, version, name FROM files JOIN (VALUES ('cpp', 'auto', 'Cpp11', 'C++11'), ('cpp', 'lambda', 'Cpp11', 'C++11'), ('cpp', 'structured_bindings', 'Cpp17', 'C++17'), ('cpp', 'concepts', 'Cpp20', 'C++20'), ('cpp', 'coroutines', 'Cpp20', 'C++20'), ('cpp', 'modules', 'Cpp20', 'C++20'),
   ('java', 'lambda', 'Java8', 'Java 8'), ('java', 'var', 'Java11', 'Java 11'), ('java', 'sealed', 'Java17', 'Java 17'), ('java', 'virtual_threads', 'Java21', 'Java 21'),
   ('python', 'annotations', 'Python3', 'Python 3'), ('python', 'walrus', 'Python38', 'Python 3.8'), ('python', 'match', 'Python310', 'Python 3.10'),
   ('javascript', 'arrow_functions', 'ES6', 'ES6/ES2015'), ('javascript', 'async_await', 'ES2017', 'ES2017'), ('javascript', 'optional_chaining', 'ES2020', 'ES2020'),
   ('typescript', 'arrow_functions', 'ES6', 'ES6/ES2015'), ('typescript', 'async_await', 'ES2017', 'ES2017'), ('typescript', 'optional_chaining', 'ES2020', 'ES2020'),
-  ('go', 'generics', 'Go118', 'Go 1.18')) t(language, feature, version, name)""",
+  ('go', 'generics', 'Go118', 'Go 1.18')) t(language, feature, version, name) USING (language)""",
     "line_counts": "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS lines FROM documents",
     "content_hashes": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "next_snapshot": ORACLE + "SELECT CAST(2 AS BIGINT) AS commit_id, path, max_by(content_hash, seq) AS content_hash FROM snapshots WHERE commit_id = 2 GROUP BY path",

@@ -354,7 +354,8 @@ def parse(path: str, source: str, lang: str) -> list[dict]:
         if trait:
             out.append({"rec": "edge", "edge_type": "implements", "src": name, "dst": trait})
     out += [{"rec": "edge", "edge_type": "imports", "file_dst": t} for t in _imports(path, source, lang)]
-    declared = {*found, *own}
+    # without a type before it, a name in a body that the patterns met is called there
+    declared = {at for at, (_, m) in found.items() if at in names or m[0][: at - m.start()].strip()} | set(own)
     functions = [(*body[at][:2], names[at]) for at in names if at in body and found[at][0] in ("function", "method")]
     called = {m.start(): m for m in _CALL.finditer(text) if m[1] not in _KEYWORDS and m.start(1) not in declared}
     for at, inside in _enclosing(functions, called):

@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import ast
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from symloom.functions import versions
 from symloom.sources import extract
+from symloom.sources.extract import braces
+
+from .extract_facts import FACTS, SOURCES
 
 TS = """import { a } from './dep';
 export * from "../up";
@@ -185,3 +190,22 @@ def test_large_files_take_linear_time(unit):
     began = time.process_time()
     rows = extract.parse({"fu": "a.go", "vo": "a.cpp", "fn": "a.rs"}[unit[:2]], "".join(unit.format(i) for i in range(8000)))
     assert sum(r["rec"] == "symbol" for r in rows) == 8000 and time.process_time() - began < 15
+
+
+@pytest.mark.parametrize("ending", sorted(FACTS))
+def test_facts_of_small_sources(spark, ending):
+    rows = extract.extract(spark.createDataFrame(list(SOURCES), "path string, content string")).filter(F.col("path").endswith(f".{ending}"))
+    got = []
+    for r in rows.collect():
+        if r["rec"] == "symbol":
+            got.append((r["kind"], r["name"], r["fqn"], r["line"]))
+        elif r["rec"] == "edge":
+            got.append((r["edge_type"], r["src"] or "", r["dst"] or r["file_dst"], -1))
+        else:
+            got.append((r["role"], r["token"], "", r["line"]))
+    assert sorted(got) == sorted(ast.literal_eval(f"[{FACTS[ending]}]"))
+
+
+def test_statement_calls():
+    for ending, source in (("java", "class A {\n  void f() {\n    g();\n    B x(1);\n    int y = h(1);\n  }\n}\n"), ("cpp", "void f() {\n  g();\n  B x(1);\n  int y = h(1);\n}\n")):
+        assert [r["token"] for r in braces.parse(f"a.{ending}", source, ending) if r["rec"] == "occurrence"] == ["g", "h"]
