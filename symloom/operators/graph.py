@@ -173,25 +173,46 @@ def simple_paths(pairs: DataFrame, seeds: DataFrame, depth: int, target: DataFra
 
 
 def shortest_path(pairs: DataFrame, source: str, target: str, limit: int | None = None) -> list[str] | None:
-    """A path with the fewest edges, by the smallest predecessors; None if none
-    (of at most ``limit`` edges).  Paths grow with the search, so a level is one
-    job and the path comes with its end."""
+    """A path with the fewest edges, of these the first in the order of its nodes;
+    None if none (of at most ``limit`` edges).
+
+    The search goes from both ends, each time from the smaller frontier, so levels are
+    tables of nodes alone and about half as deep as the path is long.  Where they meet,
+    the nodes of shortest paths are joined back; the driver then asks for one node a
+    step."""
     if source == target:
         return [source]
-    pairs = cut(pairs)
-    seen = cut(pairs.sparkSession.createDataFrame([(source, [source])], "node string, path array<string>"))
-    frontier, steps = seen, 0
-    while limit is None or steps < limit:
-        steps += 1
-        new = frontier.join(pairs.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        frontier = cut(new.join(seen.select("node"), "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")))
-        hit = frontier.filter(F.col("node") == target).first()
-        if hit is not None:
-            return hit["path"]
-        if frontier.isEmpty():
+    pairs = cut(pairs.select("src", "dst").distinct())
+    spark = pairs.sparkSession
+    ends = [[cut(spark.createDataFrame([(x,)], "node string"))] for x in (source, target)]
+    seen, sizes = [ends[0][0], ends[1][0]], [1, 1]
+    while True:
+        if limit is not None and len(ends[0]) + len(ends[1]) - 2 >= limit:
+            return None
+        side = 0 if sizes[0] <= sizes[1] else 1
+        near, far = ("src", "dst") if side == 0 else ("dst", "src")
+        step = ends[side][-1].join(pairs.withColumnRenamed(near, "node"), "node").select(F.col(far).alias("node")).distinct()
+        new = cut(step.join(seen[side], "node", "left_anti"))
+        sizes[side] = new.count()
+        if not sizes[side]:
             return None
-        seen = cut(seen.select("node").union(frontier.select("node")))
-    return None
+        ends[side].append(new)
+        met = new.join(ends[1 - side][-1], "node", "left_semi")
+        if not met.isEmpty():
+            break
+        seen[side] = cut(seen[side].union(new))
+    # nodes of shortest paths: back along the levels of the source, on along the target's
+    on_path = [cut(met)]
+    for level in reversed(ends[0][:-1]):
+        ahead = pairs.join(on_path[0].withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"))
+        on_path.insert(0, cut(level.join(ahead, "node", "left_semi")))
+    for level in reversed(ends[1][:-1]):
+        behind = pairs.join(on_path[-1].withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
+        on_path.append(cut(level.join(behind, "node", "left_semi")))
+    path = [source]
+    for level in on_path[1:]:
+        path.append(pairs.filter(F.col("src") == path[-1]).select(F.col("dst").alias("node")).join(level, "node").agg(F.min("node")).first()[0])
+    return path
 
 
 def cycles(pairs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import text
 
-from . import graph, propagate, stats
+from . import graph, propagate, similar, stats
 
 ISSUE = ("type", "severity", "symbol", "detail", "confidence", "cwe")
 
@@ -187,20 +187,8 @@ def _callee_names(edges: DataFrame) -> DataFrame:
 
 
 def duplicates(symbols: DataFrame, edges: DataFrame, over: float = 0.8) -> DataFrame:
-    """Pairs of one name prefix whose mean of name and callee likeness is high.
-
-    Without a callee in common the mean cannot pass 0.5, so candidates meet on
-    (prefix, callee), not in all pairs of a prefix."""
-    if over < 0.5:
-        raise ValueError("the threshold must be at least 0.5")
-    s = symbols.join(_callee_names(edges), "fqn", "left").select("id", "name", "fqn", text.prefix(F.col("name")).alias("prefix"), "callees")
-    ahead = s.filter(F.size("callees") > 0).withColumn("callee", F.explode("callees"))
-    a = ahead.select("prefix", "callee", F.col("id").alias("a"), F.col("name").alias("na"), F.col("callees").alias("ca"))
-    b = ahead.select("prefix", "callee", F.col("id").alias("b"), F.col("name").alias("nb"), F.col("callees").alias("cb"))
-    linked = a.join(b, ["prefix", "callee"]).filter("a < b").dropDuplicates(["a", "b"])
-    shared = F.size(F.array_intersect("ca", "cb")) / F.size(F.array_union("ca", "cb"))
-    score = (text.char_jaccard(F.col("na"), F.col("nb")) + shared) / 2
-    return linked.withColumn("similarity", score).filter(F.col("similarity") > over).select("a", "b", "similarity")
+    """Pairs of one name prefix whose mean of name and callee likeness is high."""
+    return similar.duplicates(symbols, edges, over)
 
 
 def code_smells(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -284,10 +272,14 @@ def similar_code(symbols: DataFrame, edges: DataFrame, fqn: str, least: float =
     return rows.select("fqn", score.alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def refactorings(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+def refactorings(symbols: DataFrame, edges: DataFrame, alike: float = 0.85) -> DataFrame:
+    """``(fqn, type)``: complex functions, long parameter lists, long names, and
+    functions so like another one that both may become one."""
     c = complexity(symbols, edges).join(symbols.select("fqn", "name"), "fqn")
     one = lambda test, kind: c.filter(test).select("fqn", F.lit(kind).alias("type"))
-    return one(F.col("cyclomatic") > 10, "extract_method").union(one(F.col("parameter_count") > 5, "introduce_parameter_object")).union(one(F.length("name") > 40, "rename"))
+    pairs = similar.similar_functions(symbols, edges, alike)
+    twins = pairs.select(F.explode(F.array("a", "b")).alias("fqn")).distinct().withColumn("type", F.lit("merge_similar"))
+    return one(F.col("cyclomatic") > 10, "extract_method").union(one(F.col("parameter_count") > 5, "introduce_parameter_object")).union(one(F.length("name") > 40, "rename")).union(twins)
 
 
 def security_context(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.functions import text
-from symloom.operators import graph, lookup, propagate, rules, search, stats, store
+from symloom.operators import graph, lookup, propagate, rules, search, similar, stats, store, taint
 
 from . import bridge, extract_queries, index_queries, ingest_queries, storage_queries
 from .bridge import ORACLE
@@ -212,12 +212,18 @@ _add("trace_all_reachable", lambda g: graph.simple_paths(graph.arcs(g.edges, ["c
 
 def _shortest(g: Graph) -> DataFrame:
     ends = g.symbols.join(graph.arcs(g.edges, ["calls"]).select(F.col("src").alias("fqn")).distinct(), "fqn").agg(F.min("fqn").alias("a")).first()
-    path = graph.shortest_path(graph.arcs(g.edges), ends["a"], g.hub)
-    return g.spark.createDataFrame([(len(path) if path else 0, path[0] if path else None, path[-1] if path else None)], "nodes long, source string, target string")
+    path = graph.shortest_path(graph.arcs(g.edges), ends["a"], g.hub) or []
+    return g.spark.createDataFrame([(len(path), ">".join(path))], "nodes long, path string")
 
 
-_add("shortest_path", _shortest, """, a AS (SELECT min(src) AS node FROM calls), h AS (SELECT node, 1 AS d FROM a UNION SELECT dst, d + 1 FROM h JOIN edges ON src = node WHERE d < 12 AND (SELECT count(*) FROM h x WHERE x.node = (SELECT node FROM seed)) = 0)
-SELECT CAST(min(d) AS BIGINT) AS nodes, (SELECT node FROM a) AS source, node AS target FROM h WHERE node = (SELECT node FROM seed) GROUP BY node""".replace(" AND (SELECT count(*) FROM h x WHERE x.node = (SELECT node FROM seed)) = 0", ""))
+_add(
+    "shortest_path",
+    _shortest,
+    """, a AS (SELECT min(src) AS node FROM calls), h AS (SELECT node, 1 AS d FROM a UNION SELECT dst, d + 1 FROM h JOIN edges ON src = node WHERE d < 8),
+level AS MATERIALIZED (SELECT node, min(d) AS d FROM h GROUP BY node),
+best AS (SELECT node, 1 AS d, [node] AS path FROM a UNION ALL SELECT e.dst, b.d + 1, min(list_append(b.path, e.dst)) FROM best b JOIN edges e ON e.src = b.node JOIN level l ON l.node = e.dst AND l.d = b.d + 1 GROUP BY e.dst, b.d)
+SELECT CAST(d AS BIGINT) AS nodes, array_to_string(path, '>') AS path FROM best WHERE node = (SELECT node FROM seed)""",
+)
 
 # ---- components ------------------------------------------------------------
 
@@ -310,6 +316,18 @@ _add("auth_bypass", lambda g: _fresh(rules.auth_bypass(g.symbols, g.edges)), _ho
 _add("unsafe_ops", lambda g: _fresh(rules.unsafe_operations(g.symbols, g.edges)), _walks(2, "SELECT fqn AS node FROM symbols", _UP) + _issues("unsafe_all", "high", f"SELECT fqn AS symbol, node AS detail FROM ({_pat(sum(text.UNSAFE.values(), ()), 'true')}) JOIN walk ON seed = fqn WHERE len(path) > 1 AND {_any(_tail('node'), text.INPUT)}"))
 _FLOW = "SELECT seed AS source, node AS sink, array_to_string(path, '>') AS path, len(list_filter(path, lambda x: {0})) > 0 AS sanitised FROM walk WHERE len(path) > 1 AND {1}"
 _add("data_flow", lambda g: rules.data_flow(g.symbols, g.edges, "request", 3).select("source", "sink", _path("path").alias("path"), "sanitised"), _walks(3, "SELECT fqn AS node FROM symbols WHERE name ILIKE '%request%'") + _FLOW.format(_CLEAN, _any(_tail("node"), text.SINKS)))
+_add(
+    "taint_flows",
+    lambda g: taint.flows(g.edges, lookup.find(g.symbols, "request").select(F.col("fqn").alias("node")), depth=5).select("source", "sink", "tainted", "depth", _path("path").alias("path")),
+    f""", hop AS (SELECT DISTINCT src AS node, dst, {_any(_tail('dst'), text.SANITISERS)} AS cleans FROM calls),
+start AS (SELECT DISTINCT fqn AS seed, fqn AS node, {_any('name', text.SANITISERS)} AS clean FROM symbols WHERE name ILIKE '%request%'),
+state AS (SELECT seed, node, clean, 0 AS depth FROM start UNION SELECT seed, dst, clean OR cleans, depth + 1 FROM state JOIN hop USING (node) WHERE depth < 5),
+level AS MATERIALIZED (SELECT seed, node, clean, min(depth) AS depth FROM state GROUP BY ALL),
+best AS (SELECT seed, node, clean, 0 AS depth, [node] AS path FROM start UNION ALL
+  SELECT b.seed, h.dst, b.clean OR h.cleans, b.depth + 1, arg_min(list_append(b.path, h.dst), (b.node, b.clean)) FROM best b JOIN hop h ON h.node = b.node
+    JOIN level l ON l.seed = b.seed AND l.node = h.dst AND l.clean = (b.clean OR h.cleans) AND l.depth = b.depth + 1 GROUP BY ALL)
+SELECT seed AS source, node AS sink, NOT clean AS tainted, CAST(depth AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM best WHERE depth > 0 AND {_any(_tail('node'), text.SINKS)}""",
+)
 _add("tainted_paths", lambda g: rules.tainted_paths(g.symbols, g.edges, "parse_body", 3).select("source", "sink", _path("path").alias("path"), "sanitised"), _walks(3, "SELECT fqn AS node FROM symbols WHERE name ILIKE '%parse_body%'") + _FLOW.format(_CLEAN, _any(_tail("node"), text.SINKS) + f" AND len(list_filter(path, lambda x: {_CLEAN})) = 0"))
 _add("complexity", lambda g: rules.complexity(g.symbols, g.edges), _FAN + "SELECT fqn, n_out + 1 AS cyclomatic, n_out * 2 AS cognitive, CAST(CASE WHEN contains(signature, '(') THEN length(signature) - length(replace(signature, ',', '')) + 1 ELSE 0 END AS BIGINT) AS parameter_count, n_out + 1 > 10 OR n_out * 2 > 15 AS is_complex FROM fan")
 _add("code_smells", lambda g: _fresh(rules.code_smells(g.symbols, g.edges)), _FAN + f"SELECT 'long_identifier' AS type, 'low' AS severity, fqn AS symbol, NULL::VARCHAR AS detail FROM fan WHERE length(name) > 50 UNION ALL SELECT 'god_function', 'medium', fqn, CAST(n_out AS VARCHAR) FROM fan WHERE kind = 'function' AND n_out > 20 UNION ALL SELECT 'dead_code', 'low', fqn, NULL FROM fan WHERE kind IN ('function', 'method') AND n_in = 0 AND NOT {_any('name', text.ENTRIES)}")
@@ -344,7 +362,22 @@ SELECT fqn, coalesce(direct, 0) AS direct, coalesce(transitive, 0) AS transitive
 )
 _add("explain_function", lambda g: rules.explain(g.symbols, g.edges).select("fqn", "purpose", "cyclomatic", "side_effects", "test_coverage"), _TESTS + _FAN + _hops("SELECT src, dst FROM calls", 2, "(SELECT fqn AS node FROM symbols)") + f""", fx AS (SELECT seed, count(DISTINCT CASE WHEN {_any(_tail('node'), text.MODIFIES)} THEN 'm' || node WHEN {_any(_tail('node'), text.CALLS_OUT)} THEN 'c' || node WHEN {_any(_tail('node'), text.PRINTS)} THEN 'p' || node END) AS n FROM hop WHERE depth > 0 GROUP BY 1)
 SELECT fan.fqn, {_PURPOSE} AS purpose, n_out + 1 AS cyclomatic, coalesce(n, 0) AS side_effects, CASE WHEN tests > 0 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS test_coverage FROM fan LEFT JOIN fx ON seed = fan.fqn LEFT JOIN tests ON key = lower(name)""")
-_add("refactor_suggestions", lambda g: rules.refactorings(g.symbols, g.edges), _FAN + "SELECT fqn, 'extract_method' AS type FROM fan WHERE n_out + 1 > 10 UNION ALL SELECT fqn, 'introduce_parameter_object' FROM fan WHERE contains(signature, '(') AND length(signature) - length(replace(signature, ',', '')) + 1 > 5 UNION ALL SELECT fqn, 'rename' FROM fan WHERE length(name) > 40")
+def _alike() -> str:
+    """All pairs of functions that share a callee, by the weighted likeness."""
+    same = "CASE WHEN lower(x.name) = lower(y.name) THEN 1.0 WHEN contains(lower(x.name), lower(y.name)) OR contains(lower(y.name), lower(x.name)) THEN 0.8 ELSE len(list_intersect(x.t, y.t)) * 1.0 / len(list_distinct(list_concat(x.t, y.t))) END"
+    return f""", f AS MATERIALIZED (SELECT fqn, name, callees, list_distinct(string_split(lower(name), '_')) AS t FROM symbols JOIN cn USING (fqn) WHERE kind = 'function'),
+shared AS MATERIALIZED (SELECT DISTINCT a.fqn AS a, b.fqn AS b FROM (SELECT fqn, unnest(callees) AS c FROM f) a JOIN (SELECT fqn, unnest(callees) AS c FROM f) b ON a.c = b.c AND a.fqn < b.fqn),
+alike AS MATERIALIZED (SELECT a, b, round(0.3 * {same} + 0.7 * len(list_intersect(x.callees, y.callees)) / len(list_distinct(list_concat(x.callees, y.callees))), 6) AS similarity
+  FROM shared JOIN f x ON x.fqn = a JOIN f y ON y.fqn = b) """
+
+
+_WORD = ", wn AS MATERIALIZED (SELECT fqn, list_distinct(list_transform(callees, lambda c: regexp_replace(c, '_[0-9].*$', ''))) AS callees FROM cn)"
+_add(
+    "similar_functions",
+    lambda g: similar.similar_functions(g.symbols, g.edges, 0.5, lambda c: F.regexp_replace(c, "_[0-9].*$", "")),
+    _NAMES + _WORD + _alike().replace("JOIN cn USING", "JOIN wn USING") + "SELECT a, b, similarity FROM alike WHERE similarity >= 0.5",
+)
+_add("refactor_suggestions", lambda g: rules.refactorings(g.symbols, g.edges, 0.4), _FAN + _NAMES + _alike() + "SELECT fqn, 'extract_method' AS type FROM fan WHERE n_out + 1 > 10 UNION ALL SELECT fqn, 'introduce_parameter_object' FROM fan WHERE contains(signature, '(') AND length(signature) - length(replace(signature, ',', '')) + 1 > 5 UNION ALL SELECT fqn, 'rename' FROM fan WHERE length(name) > 40 UNION ALL SELECT DISTINCT unnest([a, b]), 'merge_similar' FROM alike WHERE similarity >= 0.4")
 _PARAMS = "coalesce(regexp_extract(signature, '\\(([^)]*)\\)', 1), '')"
 _INPUT = f"({_any('fqn', text.INPUT)} OR {_any(_PARAMS, text.INPUT)})"
 _add(
