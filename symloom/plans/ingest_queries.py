@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import versions
-from symloom.operators import store
+from symloom.operators import scan, store
 from symloom.sources import scip, walk
 
 from .bridge import ORACLE
@@ -62,7 +62,28 @@ def _minimum(g) -> DataFrame:
     return g.files.join(versions.minimum_table(g.spark), "language").select("path", "language", "feature", "version", "name")
 
 
+def _scanned(g) -> DataFrame:
+    """Risky patterns in all documents and pages."""
+    docs, pages = (g.spark.read.parquet(f"{g.sf}/{t}.parquet") for t in ("documents", "pages"))
+    one = lambda rows, what, key, text: scan.scan(rows, key, text).select(F.lit(what).alias("what"), "*")
+    return one(docs, "document", "doc_id", "text").union(one(pages, "page", "page_id", "html"))
+
+
+def _scan_oracle() -> str:
+    """Pattern by pattern, without the literals."""
+    each = " UNION ALL ".join(
+        f"SELECT what, id, '{p.kind}' AS kind, '{p.severity}' AS severity, regexp_extract_all(text, '{e}') AS found, string_split_regex(text, '{e}') AS between FROM held"
+        for p in scan.PATTERNS
+        for e in [p.expression.replace("'", "''")]
+    )
+    return f"""WITH held AS (SELECT 'document' AS what, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages),
+each AS ({each})
+SELECT what, id, kind, severity, CAST(list_sum([length(x) for x in between[:i]]) + coalesce(list_sum([length(x) for x in found[:i - 1]]), 0) AS INTEGER) AS place, found[i] AS match
+FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM each WHERE len(found) > 0)"""
+
+
 QUERIES = {
+    "scan_patterns": _scanned,
     "scip_symbols": lambda g: scip.symbols(scip_index(g), "c0").select("symbol_id", "kind", "name", "fqn", "doc"),
     "scip_edges": lambda g: scip.edges(scip_index(g)).select("edge_type", "src", "dst", "file_src"),
     "scip_occurrences": lambda g: scip.occurrences(scip_index(g)).select("file_path", "role", "start_line", "start_col", "end_line", "end_col"),
@@ -87,6 +108,7 @@ def _snapshot_step(g):
 
 _RAW = "'scip-typescript npm pkg 1.0 src/' || name || CASE kind WHEN 'class' THEN '#' WHEN 'function' THEN '().' WHEN 'method' THEN '()' ELSE '.' END"
 ORACLES = {
+    "scan_patterns": _scan_oracle(),
     "scip_symbols": ORACLE + "SELECT 'repo://c0/' || path || '/#sym(typescript:' || path || '.' || name || ':' || lower(to_hex(octet_length(encode(name)))) || ')' AS symbol_id, CASE kind WHEN 'class' THEN 'class' WHEN 'function' THEN 'function' WHEN 'method' THEN 'method' ELSE 'variable' END AS kind, name, path || '.' || name AS fqn, docstring AS doc FROM symbols s JOIN files f ON f.id = s.file_id",
     "scip_edges": ORACLE + f", raw AS (SELECT fqn, file_id, {_RAW} AS raw FROM symbols) SELECT CASE edge_type WHEN 'imports' THEN 'implements' ELSE 'calls' END AS edge_type, a.raw AS src, b.raw AS dst, path AS file_src FROM edges e JOIN raw a ON a.fqn = e.src JOIN raw b ON b.fqn = e.dst JOIN files f ON f.id = a.file_id WHERE edge_type IN ('calls', 'imports')",
     "scip_occurrences": ORACLE + "SELECT path AS file_path, CASE line % 3 WHEN 0 THEN 'definition' WHEN 1 THEN 'write' ELSE 'reference' END AS role, line AS start_line, \"column\" AS start_col, CASE WHEN line % 2 = 0 THEN line ELSE line + 1 END AS end_line, CASE WHEN line % 2 = 0 THEN \"column\" + 5 ELSE 0 END AS end_col FROM symbols s JOIN files f ON f.id = s.file_id",
