@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.functions import text
-from symloom.operators import graph, lookup, propagate, rules, search, similar, stats, store, taint
+from symloom.operators import cycles, graph, lookup, propagate, rules, search, similar, stats, store, taint
 
 from . import bridge, extract_queries, index_queries, ingest_queries, storage_queries
 from .bridge import ORACLE
@@ -230,6 +230,21 @@ SELECT CAST(d AS BIGINT) AS nodes, array_to_string(path, '>') AS path FROM best
 _CLOSURE = """, imp AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'imports'), cl AS MATERIALIZED (SELECT src, dst FROM imp UNION SELECT cl.src, imp.dst FROM cl JOIN imp ON imp.src = cl.dst),
 scc AS MATERIALIZED (SELECT a.src AS node, min(a.dst) AS component FROM cl a JOIN cl b ON a.src = b.dst AND a.dst = b.src WHERE a.src IN (SELECT x.src FROM cl x JOIN cl y ON x.src = y.dst AND x.dst = y.src WHERE x.src <> x.dst) GROUP BY a.src) """
 _add("scc_members", lambda g: graph.strong_components(graph.arcs(g.edges, ["imports"])), _CLOSURE + "SELECT node, component FROM scc")
+_TREE = """, w AS MATERIALIZED (SELECT component, src, dst FROM imp JOIN scc a ON a.node = src JOIN (SELECT node, component AS other FROM scc) b ON b.node = dst WHERE component = other AND src <> dst),
+ways AS MATERIALIZED (SELECT component, false AS against, src AS node, dst FROM w UNION ALL SELECT component, true, dst, src FROM w), roots AS (SELECT DISTINCT component, against, component AS node FROM ways),
+near AS (SELECT *, 0 AS d FROM roots UNION SELECT component, against, b.dst, d + 1 FROM near JOIN ways b USING (component, against, node) WHERE d < 60),
+level AS MATERIALIZED (SELECT component, against, node, min(d) AS d FROM near GROUP BY ALL),
+tree AS (SELECT component, against, node, 0 AS d, [node] AS path FROM roots UNION ALL SELECT t.component, t.against, b.dst, t.d + 1, arg_min(list_append(path, b.dst), t.node) FROM tree t JOIN ways b ON b.component = t.component AND b.against = t.against AND b.node = t.node
+  JOIN level l ON l.component = t.component AND l.against = t.against AND l.node = b.dst AND l.d = t.d + 1 GROUP BY ALL),
+walk AS (SELECT w.component, list_concat(list_reverse(h.path), a.path[2:]) AS walk FROM w JOIN tree a ON NOT a.against AND a.component = w.component AND a.node = w.src JOIN tree h ON h.against AND h.component = w.component AND h.node = w.dst
+  JOIN tree o ON NOT o.against AND o.component = w.component AND o.node = w.dst WHERE len(o.path) = 1 OR o.path[-2] <> w.src),
+short AS (SELECT component, list_reduce(list_transform(walk, lambda x: [x]), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a[:list_position(a, x[1])] ELSE list_concat(a, x) END) AS c FROM walk) """
+_add(
+    "cycle_basis",
+    lambda g: cycles.cycle_basis(graph.arcs(g.edges, ["imports"])).select("component", _path("cycle").alias("cycle")),
+    _CLOSURE + _TREE + """SELECT DISTINCT component, array_to_string(list_concat(list_concat(c[list_position(c, list_min(c)):], c[:list_position(c, list_min(c)) - 1]), [list_min(c)]), '>') AS cycle FROM short
+UNION ALL SELECT coalesce(component, src), src || '>' || dst FROM imp LEFT JOIN scc ON node = src WHERE src = dst""",
+)
 _add("cycles_containing", lambda g: _one_component(g), _CLOSURE + "SELECT node FROM scc WHERE component = (SELECT min(component) FROM scc)")
 
 
