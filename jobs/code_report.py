@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from symloom.functions import text
 from symloom.operators import graph, propagate, rules, stats
 from symloom.plans import bridge
+from symloom.sources.session import cut
 
 from .common import log, main, settings
 
@@ -49,7 +50,7 @@ def issues_of(symbols: DataFrame, edges: DataFrame, names: list[str]) -> DataFra
 
 def symbols_of(symbols: DataFrame, files: DataFrame, edges: DataFrame, issues: DataFrame, complex_over: int, depth: int) -> DataFrame:
     calls = stats.with_fan(symbols, edges, ["calls"])
-    up = graph.arcs(edges, ["calls"], reverse=True)
+    up = cut(graph.arcs(edges, ["calls"], reverse=True))
     impact = propagate.reach_counts(up, up.select(F.col("dst").alias("node")).distinct(), depth)
     impact = impact.select(F.col("node").alias("fqn"), F.col("reached").alias("impact"))
     rank = F.coalesce(*[F.when(F.col("severity") == s, r) for s, r in RANK.items()])

@@ -4,7 +4,7 @@ A step pushes masks backwards over the edges: a row a node (flags), or a row a n
 and block of marks (counts), merged by bitwise or.  Its cost is the edges times the
 width of a mask, however many paths or pairs there are, and partial aggregation
 merges the masks of a node before they are shuffled, so a node of many edges is no
-single task's row set.
+single task's row set.  The pairs are read once a step: give a table, or ``cut`` them.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def reach_flags(pairs: DataFrame, own: DataFrame, depth: int) -> list[DataFrame]
     masks of all nodes within so many steps over ``pairs`` (a node's own only if a
     cycle leads back).  ``own`` is ``(node, mask long)``, once a node; nodes whose
     mask stays 0 have no row."""
-    pairs = cut(pairs.select(F.col("src").alias("_src"), F.col("dst").alias("node")))
+    pairs = pairs.select(F.col("src").alias("_src"), F.col("dst").alias("node"))
     own = cut(own.filter("mask <> 0").select("node", F.col("mask").cast("long").alias("mask")))
     levels: list[DataFrame] = []
     for _ in range(depth):
@@ -59,7 +59,7 @@ def reach_counts(pairs: DataFrame, marks: DataFrame, depth: int) -> DataFrame:
     bit = lambda i: F.when(F.floor(F.col("at") / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % 64)).otherwise(F.lit(0).cast("long")).alias(f"m{i}")
     merged = [F.bit_or(m).alias(m) for m in masks]
     own = marks.select("node", "mark").distinct().join(numbered(marks), "mark").select("node", "block", *[bit(i) for i in range(WORDS)]).groupBy("node", "block").agg(*merged)
-    pairs, own = cut(pairs.select(F.col("src").alias("_src"), F.col("dst").alias("node"))), cut(own)
+    pairs, own = pairs.select(F.col("src").alias("_src"), F.col("dst").alias("node")), cut(own)
     held = own
     for i in range(depth):
         step = pairs.join(held, "node").groupBy(F.col("_src").alias("node"), "block").agg(*merged)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import text
+from symloom.sources.session import cut
 
 from . import graph, propagate, similar, stats
 
@@ -48,7 +49,7 @@ def _called(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def _callee_flags(symbols: DataFrame, edges: DataFrame, wanted: dict[str, tuple[tuple[str, ...], int]]) -> DataFrame:
     """A column for each ``name: (words, depth)``: the symbol's name or that of a
     callee within the depth has one of the words."""
-    pairs = graph.arcs(edges, ["calls"], bag=True)
+    pairs = cut(graph.arcs(edges, ["calls"], bag=True))
     bits = {column: 1 << i for i, column in enumerate(wanted)}
     mask = sum((F.when(text.has_any(_name("node"), words), bits[column]).otherwise(0) for column, (words, _) in wanted.items()), F.lit(0))
     levels = propagate.reach_flags(pairs, pairs.select(F.col("dst").alias("node")).distinct().withColumn("mask", mask), max(depth for _, depth in wanted.values()))
@@ -221,7 +222,7 @@ def god_modules(edges: DataFrame, over: int = 10) -> DataFrame:
 
 def explain(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Every symbol: purpose, parameters, result type, complexity, side effects, tests."""
-    pairs, name = graph.arcs(edges, ["calls"], bag=True), _name("node")
+    pairs, name = cut(graph.arcs(edges, ["calls"], bag=True)), _name("node")
     effect = F.when(text.has_any(name, text.MODIFIES), F.concat(F.lit("Modifies data via "), name)).when(text.has_any(name, text.CALLS_OUT), F.concat(F.lit("Makes external call via "), name)).when(text.has_any(name, text.PRINTS), F.concat(F.lit("Produces output via "), name))
     marks = pairs.select(F.col("dst").alias("node")).distinct().select("node", effect.alias("mark")).filter("mark is not null")
     effects = propagate.reach_counts(pairs, marks, 2).select(F.col("node").alias("fqn"), F.col("reached").alias("side_effects"))
@@ -253,7 +254,7 @@ def tests_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def change_impact(symbols: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
     """Every symbol: direct callers, transitive callers and a risk."""
-    up = graph.arcs(edges, ["calls"], reverse=True)
+    up = cut(graph.arcs(edges, ["calls"], reverse=True))
     direct = up.groupBy(F.col("src").alias("fqn")).agg(F.count(F.lit(1)).alias("direct"))
     near = propagate.reach_counts(up, up.select(F.col("dst").alias("node")).distinct(), depth).select(F.col("node").alias("fqn"), F.col("reached").alias("transitive"))
     rows = tests_of(symbols.join(direct, "fqn", "left").join(near, "fqn", "left"), symbols)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from symloom.functions import text
 from symloom.operators import cycles, graph, lookup, propagate, rules, search, similar, stats, store, taint
 
+from symloom.sources.session import cut
+
 from . import bridge, extract_queries, index_queries, ingest_queries, storage_queries
 from .bridge import ORACLE
 
@@ -172,7 +174,7 @@ def _hops(pairs: str, depth: int, start: str = "seed") -> str:
 
 
 def _impact_all(g: Graph, depth: int) -> DataFrame:
-    up = graph.arcs(g.edges, ["calls"], reverse=True)
+    up = cut(graph.arcs(g.edges, ["calls"], reverse=True))
     found = propagate.reach_counts(up, up.select(F.col("dst").alias("node")).distinct(), depth)
     return found.join(g.symbols.select(F.col("fqn").alias("node")).distinct(), "node").select(F.col("node").alias("seed"), F.col("reached").alias("n"))
 
