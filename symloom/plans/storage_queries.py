@@ -1,11 +1,11 @@
-"""Queries of stored graphs: appends, dry runs, removal of old commits, runs by language."""
+"""Queries of stored graphs: appends, dry runs, removal of old commits, runs by language, counts by deltas."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.operators import storage
+from symloom.operators import deltas, storage
 from symloom.sources import walk
 from symloom.sources.session import scratch
 
@@ -54,7 +54,32 @@ def _language_runs(g) -> DataFrame:
     return g.spark.read.parquet(target).select("lang", "file_path", "fqn")
 
 
+def _slices(g) -> list[tuple]:
+    """Three commits of the edges by their callers' files: those that no index has
+    resolved; all edges of odd files; no edges of every fifth file."""
+    own = g.edges.join(g.symbols.select(F.col("fqn").alias("src"), "file_id"), "src").select("src", "dst", "edge_type", "resolution", "file_id")
+    first = own.filter("resolution = 'syntactic'")
+    none = first.limit(0)
+    odd = first.filter("file_id % 2 = 1"), own.filter("file_id % 2 = 1")
+    fifth = own.filter("file_id % 5 = 0 and (file_id % 2 = 1 or resolution = 'syntactic')")
+    return [(none, first), odd, (fifth, none)]
+
+
+def _followed(name: str):
+    def run(g) -> DataFrame:
+        path = scratch(g.spark, "deltas")
+        steps = _slices(g)
+        for commit, (old, new) in enumerate(steps, 1):
+            deltas.update(g.spark, path, commit, old, new)
+        return deltas.read(g.spark, path, name, len(steps))
+
+    return run
+
+
 QUERIES = {
+    "delta_types": _followed("types"),
+    "delta_degrees": _followed("degrees"),
+    "delta_modules": _followed("modules"),
     "append_edges": _append_edges,
     "append_occurrences": _append_occurrences,
     "newest_commits_kept": _newest_commits,
@@ -62,7 +87,13 @@ QUERIES = {
     "language_runs": _language_runs,
 }
 
+_STANDING = ORACLE + """, now AS (SELECT src, dst, edge_type FROM edges e JOIN symbols s ON s.fqn = e.src WHERE file_id % 5 <> 0 AND (file_id % 2 = 1 OR resolution = 'syntactic')),
+near AS (SELECT DISTINCT src, dst FROM now), imp AS (SELECT DISTINCT src, dst FROM now WHERE edge_type = 'imports') """
+
 ORACLES = {
+    "delta_types": _STANDING + "SELECT edge_type, count(*) AS n FROM now GROUP BY 1",
+    "delta_degrees": _STANDING + "SELECT node, count(*) AS n FROM (SELECT src AS node FROM near UNION ALL SELECT dst FROM near) GROUP BY 1",
+    "delta_modules": _STANDING + "SELECT split_part(src, '::', 1) AS src_module, split_part(dst, '::', 1) AS dst_module, count(*) AS n FROM imp WHERE split_part(src, '::', 1) <> split_part(dst, '::', 1) GROUP BY 1, 2",
     "append_edges": ORACLE + "SELECT CAST(1 AS BIGINT) AS commit_id, edge_type, src AS src_symbol, dst AS dst_symbol, resolution FROM edges UNION ALL SELECT CAST(1 AS BIGINT), edge_type, src, dst, resolution FROM edges WHERE edge_type = 'calls'",
     "append_occurrences": "SELECT CAST(1 AS BIGINT) AS commit_id, CAST(user_id AS VARCHAR) AS symbol_id, event_type AS role FROM events",
     "newest_commits_kept": ORACLE + "SELECT commit_id, path, content_hash, CAST(size_bytes AS BIGINT) AS size_bytes FROM snapshots WHERE commit_id IS NULL OR commit_id IN (SELECT DISTINCT commit_id FROM snapshots WHERE commit_id IS NOT NULL ORDER BY commit_id DESC LIMIT 2)",
