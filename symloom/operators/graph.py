@@ -267,14 +267,19 @@ def related_code(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFram
     return back.union(out).union(needs).union(far)
 
 
-def symbol_context(symbols: DataFrame, files: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def symbol_context(symbols: DataFrame, files: DataFrame, edges: DataFrame, seeds: DataFrame, radius: int = 2) -> DataFrame:
     """``(seed, relation, node)``: the file's path, its other symbols, direct
-    callers and callees, and imports."""
+    callers and callees, imports, all edges by type and direction, and the
+    neighbourhood within ``radius`` steps."""
     own = symbols.join(seeds.select(F.col("node").alias("fqn")).distinct(), "fqn").select(F.col("fqn").alias("seed"), "file_id")
     where = own.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("seed", F.lit("file").alias("relation"), F.col("path").alias("node"))
     beside = own.join(symbols.select("file_id", "fqn"), "file_id").filter("fqn <> seed").select("seed", F.lit("sibling").alias("relation"), F.col("fqn").alias("node"))
     near = related_code(edges, seeds, 0).filter(F.col("relation").isin("caller", "callee", "dependency_imports"))
-    return where.union(beside.distinct()).union(near)
+    asked = seeds.select(F.col("node").alias("seed")).distinct()
+    out = edges.join(asked.withColumnRenamed("seed", "src"), "src").select(F.col("src").alias("seed"), F.concat(F.lit("outgoing_"), "edge_type").alias("relation"), F.col("dst").alias("node"))
+    back = edges.join(asked.withColumnRenamed("seed", "dst"), "dst").select(F.col("dst").alias("seed"), F.concat(F.lit("incoming_"), "edge_type").alias("relation"), F.col("src").alias("node"))
+    around = neighbourhood(edges, seeds, radius).filter("node <> seed").select("seed", F.lit("neighbour").alias("relation"), "node").distinct()
+    return where.union(beside.distinct()).union(near).union(out).union(back).union(around)
 
 
 def strong_components(pairs: DataFrame) -> DataFrame:

@@ -92,6 +92,23 @@ def report(symbols: DataFrame, edges: DataFrame, callers: int = 1, callees: int
     return entry.union(f.filter(F.col("n_out") > callees).select(F.lit("complex_function").alias("what"), "fqn", F.col("n_out").alias("n")))
 
 
+def overview(symbols: DataFrame, files: DataFrame, edges: DataFrame, closed: DataFrame, cycles: int = 10, entries: int = 20, complex_: int = 10) -> DataFrame:
+    """``(what, subject, n)``: totals, symbols by kind, edges by type, the first
+    cycles of ``closed`` with their lengths, the first functions with at most one
+    caller, and those with the most callees."""
+    row = lambda df, what, subject, n: df.select(F.lit(what).alias("what"), F.col(subject).alias("subject"), F.col(n).cast("long").alias("n"))
+    f = report(symbols, edges)
+    listed = closed.select(F.array_join("cycle", ">").alias("cycle"), (F.size("cycle") - 1).alias("n")).orderBy("cycle").limit(cycles)
+    return (
+        row(totals(symbols, files, edges), "total", "what", "n")
+        .union(row(by_kind(symbols), "kind", "kind", "n"))
+        .union(row(by_edge_type(edges), "edge_type", "edge_type", "n"))
+        .union(row(listed, "cycle", "cycle", "n"))
+        .union(row(f.filter("what = 'entry_point'").orderBy("fqn").limit(entries), "entry_point", "fqn", "n"))
+        .union(row(f.filter("what = 'complex_function'").orderBy(F.desc("n"), "fqn").limit(complex_), "complex_function", "fqn", "n"))
+    )
+
+
 def throughput(files: DataFrame, seconds: float, size: str = "size_bytes") -> DataFrame:
     """One row: totals, rates (null for no time) and a rating."""
     n = F.count(F.lit(1))

@@ -282,6 +282,21 @@ _add("module_dependencies", lambda g: stats.module_dependencies(g.edges), "SELEC
 _add("codebase_report", lambda g: stats.report(g.symbols, g.edges), _FAN + "SELECT 'entry_point' AS what, fqn, n_in AS n FROM fan WHERE kind = 'function' AND n_in <= 1 UNION ALL SELECT 'complex_function', fqn, n_out FROM fan WHERE kind = 'function' AND n_out > 10")
 _add("throughput_metrics", lambda g: stats.throughput(g.snapshots, 7.0).withColumn("files_per_second", F.round("files_per_second", 6)), "SELECT count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, round(count(*) / 7.0, 6) AS files_per_second, CASE WHEN count(*) / 7.0 > 10 THEN 'high' WHEN count(*) / 7.0 > 1 THEN 'moderate' ELSE 'low' END AS rating FROM snapshots")
 
+
+
+def _overview() -> str:
+    closed = _ORACLES["cycle_basis"].removeprefix(ORACLE)
+    fan, tail = _FAN.lstrip(" ,"), closed.rindex("SELECT DISTINCT component")
+    return closed[:tail] + f""", basis AS (SELECT cycle, CAST(len(string_split(cycle, '>')) - 1 AS BIGINT) AS n FROM ({closed[tail:]})), {fan}
+SELECT 'total' AS what, 'files' AS subject, count(*) AS n FROM files UNION ALL SELECT 'total', 'symbols', count(*) FROM symbols UNION ALL SELECT 'total', 'edges', count(*) FROM edges
+UNION ALL SELECT 'kind', kind, count(*) FROM symbols GROUP BY kind UNION ALL SELECT 'edge_type', edge_type, count(*) FROM edges GROUP BY edge_type
+UNION ALL (SELECT 'cycle', cycle, n FROM basis ORDER BY cycle LIMIT 10)
+UNION ALL (SELECT 'entry_point', fqn, n_in FROM fan WHERE kind = 'function' AND n_in <= 1 ORDER BY fqn LIMIT 20)
+UNION ALL (SELECT 'complex_function', fqn, n_out FROM fan WHERE kind = 'function' AND n_out > 10 ORDER BY n_out DESC, fqn LIMIT 10)"""
+
+
+_add("codebase_overview", lambda g: stats.overview(g.symbols, g.files, g.edges, cycles.cycle_basis(graph.arcs(g.edges, ["imports"]))), _overview().removeprefix(ORACLE))
+
 # ---- scalar functions ------------------------------------------------------
 
 _add("sig_params", lambda g: g.symbols.select("id", F.array_join(F.coalesce(text.params(F.col("signature")), F.array().cast("array<string>")), ";").alias("params")), """SELECT id, coalesce(array_to_string(list_transform(list_filter(list_transform(string_split(regexp_extract(signature, '\\(([^)]*)\\)', 1), ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: trim(split_part(x, ':', 1)) || ':' || CASE WHEN contains(x, ':') THEN trim(split_part(x, ':', 2)) ELSE 'Any' END), ';'), '') AS params FROM symbols""")
@@ -466,7 +481,9 @@ _add(
 _add(
     "symbol_context",
     lambda g: graph.symbol_context(g.symbols, g.files, g.edges, g.seed).select("relation", "node"),
-    _RELATED + " UNION ALL SELECT DISTINCT 'dependency_imports', dst FROM edges WHERE src = (SELECT node FROM seed) AND edge_type = 'imports' UNION ALL SELECT 'file', path FROM symbols s JOIN files f ON f.id = s.file_id WHERE fqn = (SELECT node FROM seed) UNION ALL SELECT 'sibling', b.fqn FROM symbols a JOIN symbols b ON a.file_id = b.file_id AND a.fqn <> b.fqn WHERE a.fqn = (SELECT node FROM seed)",
+    _RELATED + " UNION ALL SELECT DISTINCT 'dependency_imports', dst FROM edges WHERE src = (SELECT node FROM seed) AND edge_type = 'imports' UNION ALL SELECT 'file', path FROM symbols s JOIN files f ON f.id = s.file_id WHERE fqn = (SELECT node FROM seed) UNION ALL SELECT 'sibling', b.fqn FROM symbols a JOIN symbols b ON a.file_id = b.file_id AND a.fqn <> b.fqn WHERE a.fqn = (SELECT node FROM seed)"
+    " UNION ALL SELECT 'outgoing_' || edge_type, dst FROM edges WHERE src = (SELECT node FROM seed) UNION ALL SELECT 'incoming_' || edge_type, src FROM edges WHERE dst = (SELECT node FROM seed)"
+    " UNION ALL SELECT DISTINCT 'neighbour', b.dst FROM (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges UNION SELECT fqn, fqn FROM symbols) a JOIN (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges UNION SELECT fqn, fqn FROM symbols) b ON b.src = a.dst WHERE a.src = (SELECT node FROM seed) AND b.dst <> a.src",
 )
 
 
