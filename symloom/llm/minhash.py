@@ -369,3 +369,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sigmas:
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), words=2)
+
+
+#: The same rows in DuckDB SQL, by an exact join: two sets of n and m items with 80 % in
+#: common share one of the first n - ceil(0.8 n) + 1 of n, and of m, in order of rarity.
+ORACLE = r"""WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS MATERIALIZED (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w
+),
+classes AS MATERIALIZED (SELECT min(doc_id) AS id, s FROM sets WHERE len(s) > 0 GROUP BY s),
+term AS (SELECT x, row_number() OVER (ORDER BY count(*), x) AS r FROM (SELECT unnest(s) AS x FROM classes) GROUP BY x),
+item AS MATERIALIZED (
+    SELECT id, r, row_number() OVER (PARTITION BY id ORDER BY r) AS nth, count(*) OVER (PARTITION BY id) AS n
+    FROM (SELECT id, unnest(s) AS x FROM classes) JOIN term USING (x)
+),
+first AS MATERIALIZED (SELECT id, r, n FROM item WHERE nth <= n - (4 * n + 4) // 5 + 1),
+pair AS (SELECT DISTINCT a.id AS a, b.id AS b FROM first a JOIN first b USING (r) WHERE a.id < b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+link AS MATERIALIZED (
+    SELECT a, b FROM (SELECT a, b, len(list_intersect(x.s, y.s)) AS shared, len(x.s) + len(y.s) AS n FROM pair JOIN classes x ON x.id = a JOIN classes y ON y.id = b)
+    WHERE 100 * shared >= 80 * (n - shared)
+),
+reach AS (SELECT id, id AS other FROM classes UNION SELECT reach.id, CASE WHEN a = other THEN b ELSE a END FROM reach JOIN link ON a = other OR b = other),
+least AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(coalesce(component, doc_id) AS BIGINT) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM sets LEFT JOIN classes USING (s) LEFT JOIN least USING (id)"""

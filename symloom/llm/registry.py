@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids
+from . import centroids, minhash, warc
 from .bpe import op4_bpe
 from .centroids import op11_centroids
 from .fingerprint import op10_fingerprint
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_mixing": op12_mixing,
 }
 
-ORACLES: dict[str, str] = {"op11_centroids": centroids.ORACLE}
+ORACLES: dict[str, str] = {"op8_minhash": minhash.ORACLE, "op9_warc": warc.ORACLE, "op11_centroids": centroids.ORACLE}
