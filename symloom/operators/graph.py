@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.sources.session import cut
+from symloom.sources.session import cut, stored
 
 #: Expansions deeper than this are checkpointed level by level.
 PLAIN_DEPTH = 3
@@ -286,81 +286,117 @@ def strong_components(pairs: DataFrame) -> DataFrame:
     """``(node, component)`` of every strongly connected component of two nodes
     or more; the component is its smallest node.
 
-    Forward colouring: each node takes the smallest node that reaches it; what
-    reaches the colour's root backwards within the colour is its component.
-    Nodes without an edge in or out are trimmed first."""
-    live = cut(pairs.filter("src <> dst").distinct())
-    done: list[DataFrame] = []
-    while True:
-        while True:
-            kept = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if kept.count() == live.count():
-                break
-            live = kept
+    In turn, until no edge is left: paths through nodes of one way in and one way
+    out become single edges, by doubling; nodes without a way in or out go; and every
+    node takes the least node that reaches it and the least that it reaches.  A node
+    where both are the same is strongly connected with it; edges between nodes of
+    other labels go.  "Least" is by a hash, so there are many pivots at once, and labels
+    spread by doubling (see ``_least_around``): a long chain costs rounds in its
+    logarithm, whatever the names of its nodes.  Self-loops and null ends do not
+    count."""
+    live = stored(pairs.filter("src <> dst").select("src", "dst").distinct())
+    known = [live.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)]
+    bridged: list[DataFrame] = []
+    while not live.isEmpty():
+        thin = _thin(live)
+        if not thin.isEmpty():
+            rings, inside, live = _bridge(live, thin)
+            known.append(rings)
+            bridged.append(inside)
+        live = stored(_trimmed(_trimmed(live)))
         if live.isEmpty():
             break
-        colour = _smallest_reaching(live)
-        within = cut(
-            live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src")
-            .join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst")
-            .filter("c1 = c2")
-            .select("src", "dst", F.col("c1").alias("colour"))
-        )
-        found = _back_from_roots(within, colour)
-        done.append(found)
-        gone = found.select(F.col("node").alias("src"))
-        live = cut(
-            within.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
+        labels = _least_around(live)
+        within = stored(
+            live.join(labels.select(F.col("node").alias("src"), F.struct("behind", "ahead").alias("a")), "src")
+            .join(labels.select(F.col("node").alias("dst"), F.struct("behind", "ahead").alias("b")), "dst")
+            .filter("a = b")
+            .select("src", "dst")
         )
-    if not done:
-        return pairs.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
-    out = done[0]
-    for more in done[1:]:
+        same = stored(labels.filter("behind = ahead").select("node", F.col("behind.node").alias("label")))
+        known.append(same)
+        gone = same.select("node")
+        live = stored(within.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    out = known[0]
+    for more in known[1:]:
         out = out.union(more)
-    big = out.groupBy("component").count().filter("count > 1").select("component")
-    return out.join(big, "component").select("node", "component")
-
-
-def _smallest_reaching(live: DataFrame) -> DataFrame:
-    colour = cut(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.col("node")))
-    while True:
-        near = live.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
-        new = cut(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("near", "colour")).alias("colour"), F.col("colour").alias("old")))
-        changed = not new.filter("colour <> old").isEmpty()
-        colour = new.select("node", "colour")
-        if not changed:
-            return colour
-
-
-def _back_from_roots(within: DataFrame, colour: DataFrame) -> DataFrame:
-    seen = cut(colour.filter("node = colour").select("node", F.col("colour").alias("component")))
-    frontier = seen
-    while True:
-        new = (
-            within.join(frontier.select(F.col("node").alias("dst")), "dst")
-            .select(F.col("src").alias("node"), F.col("colour").alias("component"))
-            .distinct()
-            .join(seen.select("node"), "node", "left_anti")
-        )
-        frontier = cut(new)
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.union(frontier))
-
-
-def cyclic_core(pairs: DataFrame) -> DataFrame:
-    """The edges left after trimming nodes without an edge in or out."""
-    live = cut(pairs.distinct())
+    for inside in reversed(bridged):  # later bridges stand on nodes within earlier ones
+        first = out.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        last = out.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        ends = inside.join(first, "a", "left").join(last, "b", "left").withColumn("label", F.coalesce("la", "a")).filter(F.col("label") == F.coalesce("lb", "b"))
+        out = stored(out.union(ends.select("node", "label")).union(ends.select("a", "label")).distinct())
+    big = out.groupBy("label").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return out.join(big, "label").select("node", "component")
+
+
+def _trimmed(live: DataFrame) -> DataFrame:
+    """Without the nodes that have no edge in or no edge out."""
+    starts = live.select(F.col("dst").alias("src")).distinct()
+    ends = live.select(F.col("src").alias("dst")).distinct()
+    return live.join(starts, "src", "left_semi").join(ends, "dst", "left_semi").select("src", "dst")
+
+
+def _thin(live: DataFrame) -> DataFrame:
+    """``(node, next)`` of the nodes with one edge in and one out."""
+    out = live.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    into = live.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return stored(out.join(into.select("node"), "node").select("node", "next"))
+
+
+def _bridge(live: DataFrame, thin: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(node, label)`` of rings of thin nodes alone, ``(node, a, b)`` of the thin
+    nodes on a path from ``a`` to ``b``, and the edges with such paths as one each.
+
+    Every node knows a thin node ahead, twice as far each round; ``open`` says that
+    the path may go on there.  Open nodes of paths become fewer each round, so when
+    their number stands still only rings are left."""
+    more = thin.select(F.col("node").alias("next"), F.lit(True).alias("more"))
+    ahead = thin.join(more, "next", "left").select("node", F.when(F.col("more"), F.col("next")).otherwise(F.col("node")).alias("last"), F.col("more").isNotNull().alias("open"))
+    ahead = stored(ahead.withColumn("label", F.least("node", "last")))
+    steps, before, left = 1, -1, ahead.filter("open").count()
+    while left and not (left == before and steps >= left):
+        there = ahead.select(F.col("node").alias("last"), F.col("last").alias("far"), F.col("open").alias("on"), F.col("label").alias("low"))
+        ahead = stored(ahead.join(there, "last").select("node", F.col("far").alias("last"), F.col("on").alias("open"), F.least("label", "low").alias("label")))
+        steps, before, left = steps * 2, left, ahead.filter("open").count()
+    path = ahead.filter("not open").select("node", "last")
+    thins = thin.select("node")
+    apart = live.join(thins.withColumnRenamed("node", "src"), "src", "left_anti")
+    first = apart.join(path.withColumnRenamed("node", "dst"), "dst").select("last", F.col("src").alias("a"))
+    ends = stored(first.join(thin.select(F.col("node").alias("last"), F.col("next").alias("b")), "last").select("last", "a", "b"))
+    inside = stored(path.join(ends, "last").select("node", "a", "b"))
+    rest = apart.join(thins.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    live = stored(rest.union(ends.filter("a <> b").select("a", "b")).distinct())
+    return ahead.filter("open").select("node", "label"), inside, live
+
+
+def _least_around(live: DataFrame) -> DataFrame:
+    """``(node, behind, ahead)``: the least node that reaches each and the least that
+    it reaches, itself included, as ``(hash, node)``.
+
+    A round takes the least label of the nodes before (after), then the label of that
+    label's node: what reaches a node that reaches this one reaches it too.  Hashes
+    are at random along any path, so the stretch a label stands for grows by a
+    constant factor a round."""
+    ends = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
+    own = F.struct(F.xxhash64("node").alias("hash"), F.col("node"))
+    labels = stored(ends.select("node", own.alias("behind"), own.alias("ahead")))
     while True:
-        kept = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if kept.count() == live.count():
-            return kept
-        live = kept
+        before = live.join(labels.select(F.col("node").alias("src"), "behind"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("behind").alias("b"))
+        after = live.join(labels.select(F.col("node").alias("dst"), "ahead"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("ahead").alias("a"))
+        met = labels.join(before, "node", "left").join(after, "node", "left")
+        met = met.select("node", F.struct("behind", "ahead").alias("old"), F.least("behind", F.coalesce("b", "behind")).alias("behind"), F.least("ahead", F.coalesce("a", "ahead")).alias("ahead"))
+        up = met.filter("behind.node <> node").select(F.col("node").alias("at"), F.col("behind").alias("b"))
+        down = met.filter("ahead.node <> node").select(F.col("node").alias("to"), F.col("ahead").alias("a"))
+        far = met.withColumn("at", F.col("behind.node")).withColumn("to", F.col("ahead.node")).join(up, "at", "left").join(down, "to", "left")
+        new = stored(far.select("node", "old", F.least("behind", F.coalesce("b", "behind")).alias("behind"), F.least("ahead", F.coalesce("a", "ahead")).alias("ahead")))
+        labels = new.select("node", "behind", "ahead")
+        if new.filter("behind <> old.behind or ahead <> old.ahead").isEmpty():
+            return labels
 
 
 def is_cyclic(pairs: DataFrame) -> bool:
     """A self-loop counts."""
-    return not cyclic_core(pairs).isEmpty()
+    return not pairs.filter("src = dst").isEmpty() or not strong_components(pairs).isEmpty()
 
 
 def stats(symbols: DataFrame, edges: DataFrame) -> DataFrame:

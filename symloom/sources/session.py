@@ -53,3 +53,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share."""
     ensure_checkpoints(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a written table.  Unlike a checkpoint, which keeps the
+    estimate of its plan, it is planned by its true size: a table joined with itself
+    round by round would square that estimate each time."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

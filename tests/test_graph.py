@@ -93,6 +93,35 @@ def test_components_equal_plain_ones(spark, pairs):
     assert got == plain_components(pairs)
 
 
+def test_components_over_bridges(spark):
+    """Rings alone, loops of thin nodes through one node, bridges within bridges,
+    parallel paths and rings of rings."""
+    ring = lambda name, n: [(f"{name}{i:02}", f"{name}{(i + 1) % n:02}") for i in range(n)]
+    pairs = ring("r", 8) + ring("s", 2) + ring("t", 5) + [("t00", "u0"), ("u0", "u1"), ("u1", "t00")]
+    pairs += [("h", "x1"), ("x1", "x2"), ("x2", "h"), ("h", "y"), ("y", "h"), ("h", "z1"), ("z1", "z2"), ("z2", "z3")]
+    pairs += [("p", "q1"), ("q1", "w"), ("p", "q2"), ("q2", "w"), ("w", "v1"), ("v1", "v2"), ("v2", "p"), ("w", "end")]
+    got = {(r.node, r.component) for r in graph.strong_components(graph.arcs(edges(spark, pairs))).collect()}
+    assert got == plain_components(pairs)
+
+
+def _far(kind, n):
+    """Long graphs of few components, with names against the direction of the edges."""
+    name = lambda i: f"{(n - i) % n:06}"
+    chain = [(name(i), name(i + 1)) for i in range(n - 1)]
+    if kind == "ring":
+        return [*chain, (name(n - 1), name(0))]
+    return chain + [(name(i), name(i + 2)) for i in range(n - 2)] if kind == "ladder" else chain
+
+
+@pytest.mark.parametrize(("kind", "n", "rounds", "members"), [("chain", 100_000, 40, 0), ("ring", 100_000, 40, 100_000), ("ladder", 40, 60, 0)])
+def test_components_of_long_graphs_take_few_rounds(spark, monkeypatch, kind, n, rounds, members):
+    cuts = []
+    monkeypatch.setattr(graph, "stored", lambda df, stored=graph.stored: cuts.append(1) or stored(df))
+    found = graph.strong_components(spark.createDataFrame(_far(kind, n), "src string, dst string"))
+    assert found.count() == members and found.select("component").distinct().count() == (members > 0)
+    assert len(cuts) < rounds
+
+
 @pytest.mark.parametrize("strategy", ["breadth", "depth", "random"])
 def test_explore(spark, strategy):
     e = edges(spark, [("a", "b"), ("b", "c")])
