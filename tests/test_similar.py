@@ -111,3 +111,23 @@ def test_shortest_paths_equal_brute_force(spark):
             if want and len(want) > 1:
                 assert graph.shortest_path(df, a, b, limit=len(want) - 1) == want
                 assert len(want) == 2 or graph.shortest_path(df, a, b, limit=len(want) - 2) is None
+
+
+def test_few_items_that_all_share_go_by_blocks(spark, monkeypatch):
+    """Sets over few items: every pair would meet in the join, so blocks are compared;
+    the pairs and values are those of the join."""
+    rng = random.Random(8)
+    names = [f"{rng.choice(['get', 'Set', 'put'])}_{rng.choice(['user', 'item'])}{rng.choice(['', '_x', 's', '__'])}" for _ in range(400)] + ["", "_", "_", "a"]
+    rows = [(k, f"p::{n}{k}", n, "function") for k, n in enumerate(names)]
+    calls = [(r[1], f"p::w{w}", "calls") for r in rows for w in rng.sample(range(10), rng.randrange(1, 8))]
+    s, e = spark.createDataFrame(rows, "id long, fqn string, name string, kind string"), spark.createDataFrame(calls, "src string, dst string, edge_type string")
+    found, blocks = [], []
+    by_blocks = similar._by_blocks
+    monkeypatch.setattr(similar, "_by_blocks", lambda *a: (blocks.append(1), by_blocks(*a))[1])
+    for least in (0.4, 0.7, 0.9):
+        for cheaper in (similar.CHEAPER, 0):
+            monkeypatch.setattr(similar, "CHEAPER", cheaper)
+            found.append(sorted(tuple(r) for r in similar.similar_functions(s, e, least).collect()))
+        monkeypatch.setattr(similar, "CHEAPER", 20)
+        assert found[-1] == found[-2] and found[-1]
+    assert len(blocks) == 3
