@@ -70,3 +70,19 @@ def test_the_hub_of_a_star_is_no_table_of_pairs(spark):
     df = df.union(spark.range(n).select(F.lit("hub").alias("src"), F.concat(F.lit("b"), "id").alias("dst")))
     got = propagate.reach_counts(df, df.select(F.col("dst").alias("node")).distinct(), 2)
     assert {r["reached"] for r in got.filter("node <> 'hub'").collect()} == {n + 1}
+
+
+def test_marks_of_parts_of_a_graph_share_blocks(spark):
+    """Thirty graphs without an edge between them: a node has rows for the blocks of its
+    own graph (parts end blocks early, so a few more), not for those of the others."""
+    rng = random.Random(9)
+    pairs = sorted({(f"n{rng.randrange(500)}g{g}", f"n{rng.randrange(500)}g{g}") for g in range(30) for _ in range(2500)})
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    marks = df.select(F.col("dst").alias("node")).distinct().withColumn("mark", F.col("node"))
+    at = propagate.numbered(marks, propagate.labels(df))
+    assert at.select("block", "at").distinct().count() == at.count() == marks.count()
+    blocks = at.groupBy(F.split_part("mark", F.lit("g"), F.lit(2)).alias("g")).agg(F.countDistinct("block").alias("n"))
+    assert at.select("block").distinct().count() > 10 and blocks.agg(F.avg("n")).first()[0] <= 3
+    got = dict(propagate.reach_counts(df, df.select(F.col("dst").alias("node")).distinct(), 2).collect())
+    one = [p for p in pairs if p[0].endswith("g7")]
+    assert {n: c for n, c in got.items() if n.endswith("g7")} == {n: len(s) for n, s in _within(one, 2).items()}
