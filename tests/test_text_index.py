@@ -111,3 +111,25 @@ def test_an_empty_batch(spark, tmp_path):
     assert text_index.topk(spark, path, ["a"]).count() == 0
     text_index.extend(_rows(spark, [(1, "a b")]), path, 1)
     assert [r["doc"] for r in text_index.topk(spark, path, ["a"]).collect()] == [1]
+
+
+def test_many_queries_keep_their_best_documents_alone(spark, built, monkeypatch):
+    """Blocks of queries and documents give each query's k best of all scores; the plan
+    brings no row for every query and document that share a word."""
+    path, held = built
+    monkeypatch.setattr(text_index, "QUERIES", 3)
+    monkeypatch.setattr(text_index, "DOCUMENTS", 100)
+    asked = {1: ["the"], 2: ["graph", "index"], 3: ["the", "w3", "graph"], 4: ["absent"], 5: ["über", "node"], 6: ["rare"], 7: ["node", "w1", "w2"], 8: ["the", "the"]}
+    rows = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "q int, term string")
+    index = text_index.Index(spark, path)
+    got = {}
+    for r in index.best(rows, 7).collect():
+        got.setdefault(r["q"], []).append((r["doc"], r["score"]))
+    for q, ts in asked.items():
+        want = _bm25(held, ts, 7)
+        mine = sorted(got.get(q, []), key=lambda r: (-r[1], r[0]))
+        assert [d for d, _ in mine] == [d for d, _ in want] and [s for _, s in mine] == pytest.approx([s for _, s in want])
+    pairs = spark.createDataFrame([(2, 5), (2, 6), (3, 500), (4, 1)], "q int, doc long")
+    every = {(r["q"], r["doc"]): r["score"] for r in index.scores(rows).collect()}
+    some = {(r["q"], r["doc"]): r["score"] for r in index.scores(rows, pairs).collect()}
+    assert some == {k: v for k, v in every.items() if k in {(2, 5), (2, 6), (3, 500), (4, 1)}} and some
