@@ -46,3 +46,18 @@ def test_rows_of_a_dense_graph_are_polynomial(spark):
     assert [(r["sink"], r["tainted"], r["depth"]) for r in found] == [("p::exec", True, 7)]
     states = taint.levels(edges.select("src", "dst"), spark.createDataFrame([("p::l0_0",)], "node string"), CLEANS, 8)
     assert states.count() == 2 + 6 * 12
+
+
+def test_sources_that_share_states_share_rows(spark, monkeypatch):
+    """200 sources over layers of 10 nodes: a state and its sources are a row, whatever their number."""
+    pairs = [(f"p::s{i}", f"p::l0_{j}", "calls") for i in range(200) for j in range(10)]
+    pairs += [(f"p::l{k}_{i}", f"p::l{k + 1}_{j}", "calls") for k in range(3) for i in range(10) for j in range(10)] + [(f"p::l3_{i}", "p::exec", "calls") for i in range(10)]
+    edges = spark.createDataFrame(pairs, "src string, dst string, edge_type string")
+    searched = []
+    search = taint._search
+    monkeypatch.setattr(taint, "_search", lambda *a: searched.extend(search(*a)) or searched)
+    found = taint.flows(edges, spark.createDataFrame([(f"p::s{i}",) for i in range(200)], "node string"), SINKS, CLEANS, 5).collect()
+    # of equal ways the first nodes
+    assert {tuple(r["path"]) for r in found} == {(f"p::s{i}", "p::l0_0", "p::l1_0", "p::l2_0", "p::l3_0", "p::exec") for i in range(200)}
+    blocks = searched[0].select("block").distinct().count()
+    assert sum(level.count() for level in searched[1:]) <= 41 * blocks
