@@ -209,3 +209,29 @@ def test_facts_of_small_sources(spark, ending):
 def test_statement_calls():
     for ending, source in (("java", "class A {\n  void f() {\n    g();\n    B x(1);\n    int y = h(1);\n  }\n}\n"), ("cpp", "void f() {\n  g();\n  B x(1);\n  int y = h(1);\n}\n")):
         assert [r["token"] for r in braces.parse(f"a.{ending}", source, ending) if r["rec"] == "occurrence"] == ["g", "h"]
+
+
+def test_a_large_module_is_parsed_in_pieces(monkeypatch):
+    """Pieces end at statements only, whatever strings, brackets and decorators hold."""
+    import ast
+
+    odd = 'X = """\ndef no():\n    pass\n"""\nY = (\n1 +\n2)\n@d\n@e(\n1)\nclass C(B):\n    def m(self): return g()\nasync def h():\r\n    f()\nif X:\n    import a\nelse:\n    from b import c\nZ = 1 + \\\n2\n'
+    source = "".join(odd + f"def f{i}(a, b={i}):\n    \"\"\"Says {i}.\"\"\"\n    g{i}()\n" for i in range(300))
+    key = lambda r: sorted((k, str(v)) for k, v in r.items())
+    monkeypatch.setattr(extract.python, "PIECE", len(source))
+    whole = sorted(map(key, extract.parse("src/a.py", source)))
+    sizes, plain = [], ast.parse
+    monkeypatch.setattr(extract.python, "PIECE", 97)
+    monkeypatch.setattr(ast, "parse", lambda text: sizes.append(len(text)) or plain(text))
+    assert sorted(map(key, extract.parse("src/a.py", source))) == whole and len(whole) > 3000
+    assert max(sizes) < 2000
+    assert extract.parse("src/a.py", source + "def (:\n") == []
+
+
+def test_rows_leave_in_bounded_batches():
+    sources = {"a.py": "".join(f"def f{i}():\n    g()\n" for i in range(6000)), "b.rs": "".join(f"fn f{i}() {{\n g();\n}}\n" for i in range(6000)), "c.py": "def (:\n", "d.md": "x"}
+    batch = extract.pa.RecordBatch.from_pydict({"path": list(sources), "content": list(sources.values())})
+    found = list(extract._run([batch]))
+    assert max(b.num_rows for b in found) <= extract.ROWS
+    assert [r for b in found for r in b.to_pylist() if r["path"] == "a.py"] == [dict.fromkeys(extract._ARROW.names) | {"path": "a.py"} | r for r in extract.parse("a.py", sources["a.py"])]
+    assert sum(b.num_rows for b in found) == sum(len(extract.parse(p, s)) for p, s in sources.items())
