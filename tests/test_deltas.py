@@ -63,3 +63,14 @@ def test_a_stream_of_changes(spark, tmp_path):
         spark.createDataFrame(rows, SCHEMA + ", sign int").coalesce(1).write.mode("append").parquet(folder)
         deltas.follow(spark.readStream.schema(SCHEMA + ", sign int").parquet(folder), path, str(tmp_path / "mark")).awaitTermination()
         assert _found(spark, path, commit) == _plain(held)
+
+
+def test_a_table_alone_brings_only_what_it_needs(spark, tmp_path):
+    rng = random.Random(3)
+    first, second = _edges(rng, 40), _edges(rng, 25)
+    for name, written in (("types", {"types"}), ("degrees", {"pairs", "degrees"}), ("modules", {"pairs", "modules"})):
+        path = tmp_path / name
+        deltas.update(spark, str(path), 1, _df(spark, []), _df(spark, first), (name,))
+        deltas.update(spark, str(path), 2, _df(spark, first[:15]), _df(spark, second), (name,))
+        assert {x.name for x in path.iterdir()} == written
+        assert _found(spark, str(path), 2)[name] == _plain(first[15:] + second)[name]
