@@ -45,3 +45,22 @@ def test_a_ring_and_no_cycle(spark):
     none = spark.createDataFrame(ring[:5] + [("n9", "n9")], "src string, dst string")
     assert [r["cycle"] for r in cycles.cycle_basis(none).collect()] == [["n9", "n9"]]
     assert graph.MERGE > 2
+
+
+def test_rounds_broadcast_small_tables_only(spark, monkeypatch):
+    """The bound holds in the rounds and is put back, whatever it was."""
+    from symloom.operators import graph
+    from symloom.sources import session
+
+    name, seen, stored = "spark.sql.autoBroadcastJoinThreshold", [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: seen.append(df.sparkSession.conf.get(name)) or stored(df))
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a")], "src string, dst string")
+    for given in ("10485760", "-1"):
+        before = spark.conf.get(name)
+        spark.conf.set(name, given)
+        try:
+            assert graph.strong_components(pairs).count() == 3
+            assert set(seen) == {str(session.SMALL) if given != "-1" else "-1"} and spark.conf.get(name) == given
+        finally:
+            spark.conf.set(name, before)
+        seen.clear()
