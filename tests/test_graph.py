@@ -174,3 +174,12 @@ def test_unresolved_edges_stay(spark):
     s = spark.createDataFrame([("known", "id:7", 1), ("known", "id:9", 2)], "fqn string, symbol_id string, seq long")
     got = {r.id: (r.dst, r.resolution, r.resolved_by) for r in scip.upgrade(e, s).collect()}
     assert got == {1: ("id:9", "semantic", "scip"), 2: ("lost", "syntactic", None), 3: ("known", "semantic", None)}
+
+
+def test_a_neighbourhood_makes_no_distinct_pairs(spark):
+    """Frontiers alone are made distinct: a step and the least depths, however often edges repeat."""
+    edges = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "uses"), ("c", "b", "calls"), ("c", "b", "calls"), ("d", "c", "calls"), ("e", "d", "calls")], "src string, dst string, edge_type string")
+    found = graph.neighbourhood(edges, spark.createDataFrame([("a",)], "node string"), 2)
+    assert sorted((r["node"], r["depth"]) for r in found.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [src" not in plan
