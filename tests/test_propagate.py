@@ -86,3 +86,16 @@ def test_marks_of_parts_of_a_graph_share_blocks(spark):
     got = dict(propagate.reach_counts(df, df.select(F.col("dst").alias("node")).distinct(), 2).collect())
     one = [p for p in pairs if p[0].endswith("g7")]
     assert {n: c for n, c in got.items() if n.endswith("g7")} == {n: len(s) for n, s in _within(one, 2).items()}
+
+
+def test_steps_are_dealt_by_the_rows_they_merge(spark, monkeypatch):
+    """More rows, more partitions; the setting stands as before afterwards."""
+    name, parts, stored = "spark.sql.shuffle.partitions", [], propagate.stored
+    before = spark.conf.get(name)
+    monkeypatch.setattr(propagate, "stored", lambda df: parts.append(int(df.sparkSession.conf.get(name))) or stored(df))
+    monkeypatch.setattr(propagate, "TASK", 40)
+    pairs = _graph(4, 300, 900)
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    got = dict(propagate.reach_counts(df, df.select(F.col("dst").alias("node")).distinct(), 2).collect())
+    assert got == {n: len(s) for n, s in _within(pairs, 2).items()}
+    assert max(parts) >= len(pairs) // 40 > int(before) and spark.conf.get(name) == before
