@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from symloom.functions import text
 from symloom.operators import graph, propagate, rules, stats
 from symloom.plans import bridge
-from symloom.sources.session import cut
+from symloom.sources.session import stored
 
 from .common import log, main, settings
 
 RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 RULES = {
-    "code_smells": rules.code_smells,
+    "code_smells": lambda symbols, edges: rules.smells(symbols),
     "hardcoded_secrets": lambda symbols, edges: rules.hardcoded_secrets(symbols),
     "missing_auth": rules.missing_auth,
     "command_injection": rules.command_injection,
@@ -38,7 +38,8 @@ RULES = {
 
 
 def issues_of(symbols: DataFrame, edges: DataFrame, names: list[str]) -> DataFrame:
-    """``(type, severity, symbol, detail, confidence, cwe)`` of the named rules."""
+    """``(type, severity, symbol, detail, confidence, cwe)`` of the named rules; symbols
+    come with the counts of their calls."""
     if unknown := set(names) - set(RULES):
         raise ValueError(f"unknown rules: {sorted(unknown)}")
     found = None
@@ -48,9 +49,8 @@ def issues_of(symbols: DataFrame, edges: DataFrame, names: list[str]) -> DataFra
     return found
 
 
-def symbols_of(symbols: DataFrame, files: DataFrame, edges: DataFrame, issues: DataFrame, complex_over: int, depth: int) -> DataFrame:
-    calls = stats.with_fan(symbols, edges, ["calls"])
-    up = cut(graph.arcs(edges, ["calls"], reverse=True))
+def symbols_of(calls: DataFrame, files: DataFrame, edges: DataFrame, issues: DataFrame, complex_over: int, depth: int) -> DataFrame:
+    up = graph.arcs(edges, ["calls"], reverse=True, bag=True)
     impact = propagate.reach_counts(up, up.select(F.col("dst").alias("node")).distinct(), depth)
     impact = impact.select(F.col("node").alias("fqn"), F.col("reached").alias("impact"))
     rank = F.coalesce(*[F.when(F.col("severity") == s, r) for s, r in RANK.items()])
@@ -66,7 +66,10 @@ def symbols_of(symbols: DataFrame, files: DataFrame, edges: DataFrame, issues: D
 def run(spark: SparkSession, tables: str, output: str, given: dict[str, Any] | None = None) -> dict[str, Any]:
     """Write the report; returns the settings and rows written."""
     conf = settings("code_report", given)
-    symbols, files, edges = bridge.symbols(spark, tables), bridge.files(spark, tables), bridge.edges(spark, tables)
+    symbols, files = bridge.symbols(spark, tables), bridge.files(spark, tables)
+    # all rules are on calls; these and their counts are made once
+    edges = stored(graph.arcs(bridge.edges(spark, tables), ["calls"])).withColumn("edge_type", F.lit("calls"))
+    symbols = stored(stats.with_fan(symbols, edges, ["calls"], once=True))
     log.info("read the symbol graph of %s", tables)
     issues = issues_of(symbols, edges, conf["rules"])
     # a rebalanced write gives files of the advised size, whatever a language's share

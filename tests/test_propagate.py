@@ -99,3 +99,18 @@ def test_steps_are_dealt_by_the_rows_they_merge(spark, monkeypatch):
     got = dict(propagate.reach_counts(df, df.select(F.col("dst").alias("node")).distinct(), 2).collect())
     assert got == {n: len(s) for n, s in _within(pairs, 2).items()}
     assert max(parts) >= len(pairs) // 40 > int(before) and spark.conf.get(name) == before
+
+
+def test_two_steps_need_no_masks(spark, monkeypatch):
+    monkeypatch.setattr(propagate, "_by_masks", None)
+    pairs = _graph(4, 60, 300) + [(f"n{i}", "hub") for i in range(50)] + [("hub", f"n{i}") for i in range(50)]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    marks = spark.createDataFrame([(f"n{i}", f"m{i % 7}") for i in range(0, 60, 2)], "node string, mark string")
+    want = {depth: {n: len(s) for n, s in _within(pairs, depth).items()} for depth in (1, 2)}
+    shared = {n: len({int(x[1:]) % 7 for x in s if x != "hub" and int(x[1:]) % 2 == 0}) for n, s in _within(pairs, 2).items()}
+    for longest, most in ((1024, 10**6), (3, 20)):  # one list a node; hubs by several lists, and dealt by mark
+        monkeypatch.setattr(propagate, "LIST", longest)
+        monkeypatch.setattr(propagate, "WALKS", most)
+        for depth in (1, 2):
+            assert dict(propagate.reach_counts(df.union(df), df.select(F.col("dst").alias("node")).distinct(), depth).collect()) == want[depth]
+        assert dict(propagate.reach_counts(df, marks, 2).collect()) == {n: c for n, c in shared.items() if c}
