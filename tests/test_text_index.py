@@ -133,3 +133,17 @@ def test_many_queries_keep_their_best_documents_alone(spark, built, monkeypatch)
     every = {(r["q"], r["doc"]): r["score"] for r in index.scores(rows).collect()}
     some = {(r["q"], r["doc"]): r["score"] for r in index.scores(rows, pairs).collect()}
     assert some == {k: v for k, v in every.items() if k in {(2, 5), (2, 6), (3, 500), (4, 1)}} and some
+
+
+def test_reading_back_shuffles_no_postings(spark, tmp_path):
+    """Batches stand whole while no version is replaced: entries meet no table of documents."""
+    path = str(tmp_path / "whole")
+    for b in range(2):
+        text_index.extend(spark.createDataFrame([(b * 10 + i, f"w{i} common") for i in range(10)], "id long, text string"), path, b)
+    held = text_index.entries(spark, path)
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "(doc#" not in plan
+    assert held.count() == 40
+    text_index.extend(spark.createDataFrame([(3, "other"), (3, "older")], "id long, text string"), path, 2)
+    now = text_index.entries(spark, path)
+    assert now.count() == 39 and [r["term"] for r in now.filter("doc = 3").collect()] == ["other"]
