@@ -208,3 +208,13 @@ def test_digest_columns(spark, docs, texts):
         assert rows[i].n_tokens == len(ids)
         assert rows[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert rows[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_a_new_piece_needs_no_array_of_its_own(monkeypatch):
+    encoder = tokens.Pieces(tokens.public("byte_bpe_50k.json"))
+    texts = ["plain words, 12 of them's", "tab\tand\x7f\x00 é  ñ\n x", "~!@ #"]
+    want = [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = lambda piece: piece.encode().decode("latin-1").translate(tokens._ALPHABET)
+    assert all(tokens.byte_level(a + chr(i)) == plain(a + chr(i)) for i in range(384) for a in ("", " ", "b"))
+    monkeypatch.setattr(tokens, "np", None)
+    assert [np.frombuffer(encoder.encode(t), encoder.dtype).tolist() for t in texts] == want
