@@ -38,6 +38,7 @@ LEVELS = 1024
 LOWEST = 100  # quantised entropies under this are no features
 BITS, HASHES, FILL = 2048, 5, 128
 BLOCK = 1 << 16
+TOGETHER = 1 << 18  # bytes of short texts whose windows are looked at in one go
 
 _G = np.round(np.arange(W + 1) * np.log2(np.maximum(np.arange(W + 1), 1)) * (1 << 20)).astype(np.int64)
 _UP = np.diff(_G)  # _UP[n]: from n to n + 1 of a byte
@@ -68,9 +69,26 @@ def entropies(b: np.ndarray) -> np.ndarray:
     return np.clip((h * (LEVELS / 6.0)).astype(np.int64), 0, LEVELS - 1)
 
 
-def features(b: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Begins of the selected windows, ascending."""
-    e = entropies(b)
+def entropies_of(texts: list[bytes]) -> list[np.ndarray]:
+    """``entropies`` of each text.  Short texts are taken together, as most of their time
+    is that of starting a step; windows over two texts are left out."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= TOGETHER:
+            size += len(texts[end])
+            end += 1
+        e, begin = entropies(np.frombuffer(b"".join(texts[at:end]), np.uint8)).astype(np.int16), 0
+        for text in texts[at:end]:
+            out.append(e[begin : begin + max(0, len(text) - W + 1)])
+            begin += len(text)
+        at = end
+    return out
+
+
+def features(e: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Begins of the selected windows of these entropies, ascending."""
     m = len(e)
     if not m:
         return np.zeros(0, np.int64)
@@ -85,13 +103,21 @@ def features(b: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.flatnonzero((points >= need) & (e >= LOWEST))
 
 
+def utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 def digest(text: str, rank: np.ndarray) -> np.ndarray:
     """The chained filters, one a row."""
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = utf8(text)
+    return _digest(raw, entropies_of([raw])[0], rank)
+
+
+def _digest(raw: bytes, e: np.ndarray, rank: np.ndarray) -> np.ndarray:
     if not raw:
         return np.zeros((0, BITS // 8), np.uint8)
     b = np.frombuffer(raw, np.uint8)
-    at = features(b, rank)
+    at = features(e, rank)
     if len(at):
         words = np.lib.stride_tricks.sliding_window_view(b, W)[at].copy().view("<u8")
         h = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
@@ -141,8 +167,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def _histogram(batches):
     total = np.zeros(LEVELS, np.int64)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total += np.bincount(entropies(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)), minlength=LEVELS)
+        for e in entropies_of([utf8(text) for text in batch.column(0).to_pylist()]):
+            total += np.bincount(e, minlength=LEVELS)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["level", "n"])
 
@@ -171,14 +197,18 @@ def _compare(rank: np.ndarray):
     def run(batches):
         part, last = None, None
         for batch in batches:
-            out = []
-            for doc_id, text, p, tail in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            rows = []
+            texts = batch.column(1).to_pylist()
+            raws = [utf8(text) for text in texts]
+            for doc_id, text, p, tail, raw, e in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), raws, entropies_of(raws), strict=True):
                 if tail and (last is None or part != p):
                     continue  # only the first of the next part's rows counts
-                own = digest(text, rank)
+                own = _digest(raw, e, rank)
                 if last is not None and part == p:
-                    out.append(_row(*last, text, own, rank))
+                    rows.append((*last, text, own))
                 part, last = p, None if tail else (doc_id, text, own)
+            new = [utf8(edited(text, following)) for _, text, _, following, _ in rows]
+            out = [_row(doc_id, text, own, other, raw, _digest(raw, e, rank)) for (doc_id, text, own, _, other), raw, e in zip(rows, new, entropies_of(new), strict=True)]
             cols = list(zip(*out, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in OUT.split(", ")])
@@ -189,10 +219,8 @@ def _compare(rank: np.ndarray):
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _row(doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray, rank: np.ndarray):
-    new = edited(text, following)
-    changed = digest(new, rank)
-    return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), written(own), written(changed), likeness(own, changed), likeness(own, other))
+def _row(doc_id, text: str, own: np.ndarray, other: np.ndarray, new: bytes, changed: np.ndarray):
+    return (doc_id, len(text), hashlib.sha256(new).hexdigest(), written(own), written(changed), likeness(own, changed), likeness(own, other))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:

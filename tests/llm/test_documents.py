@@ -269,3 +269,14 @@ def test_written_digest_reads_back():
     d = fingerprint.digest("some text " * 900, rank)
     assert (fingerprint.read(fingerprint.written(d)) == d).all() and fingerprint.likeness(d, d) == 1.0
     assert fingerprint.likeness(d, fingerprint.digest("", rank)) == 0.0
+
+
+def test_windows_of_short_texts_are_looked_at_together(monkeypatch):
+    texts = [b"", b"a" * 63, b"ab" * 40, bytes(range(256)) * 3, b"x" * 64] * 20 + [bytes(range(200)) * 30]
+    alone, calls = fingerprint.entropies, []
+    monkeypatch.setattr(fingerprint, "entropies", lambda b: calls.append(len(b)) or alone(b))
+    monkeypatch.setattr(fingerprint, "TOGETHER", 5000)
+    found = fingerprint.entropies_of(texts)
+    assert len(calls) < len(texts) / 4 and sum(calls) == sum(map(len, texts))
+    for text, e in zip(texts, found, strict=True):
+        assert (e == alone(np.frombuffer(text, np.uint8))).all() and len(e) == max(0, len(text) - fingerprint.W + 1)
