@@ -114,3 +114,33 @@ def test_two_steps_need_no_masks(spark, monkeypatch):
         for depth in (1, 2):
             assert dict(propagate.reach_counts(df.union(df), df.select(F.col("dst").alias("node")).distinct(), depth).collect()) == want[depth]
         assert dict(propagate.reach_counts(df, marks, 2).collect()) == {n: c for n, c in shared.items() if c}
+
+
+def test_parts_of_a_graph_need_no_masks(spark, monkeypatch):
+    """Parts that no edge joins, a chain and a star among them, are tasks; nothing of them is shuffled by steps."""
+    monkeypatch.setattr(propagate, "_by_masks", None)
+    pairs = [(f"{a}g{g}", f"{b}g{g}") for g in range(12) for a, b in _graph(g, 40, 70)]
+    pairs += [(f"c{i}", f"c{i + 1}") for i in range(60)] + [("hub", f"s{i}") for i in range(80)] + [(f"s{i}", "end") for i in range(0, 80, 3)] + [("own", "own")]
+    df = spark.createDataFrame(pairs, "src string, dst string").repartition(5)
+    marks = [(n, f"m{i % 9}") for i, n in enumerate(sorted({b for _, b in pairs}))]
+    want = {n: len(s) for n, s in _within(pairs, 4).items()}
+    shared = {n: len({m for x, m in marks if x in s}) for n, s in _within(pairs, 4).items()}
+    for few, width in ((10**5, 8192), (20, 64)):  # in one group; each part in slices of its own
+        monkeypatch.setattr(propagate.parts, "FEW", few)
+        monkeypatch.setattr(propagate, "SLICE", width)
+        assert dict(propagate.reach_counts(df.union(df), df.select(F.col("dst").alias("node")).distinct(), 4).collect()) == want
+        assert dict(propagate.reach_counts(df, spark.createDataFrame(marks, "node string, mark string"), 4).collect()) == {n: c for n, c in shared.items() if c}
+
+
+def test_large_parts_go_by_masks_beside_small_ones(spark, monkeypatch):
+    """Parts over the bound, and ones that the contractions leave open, are still counted whole."""
+    pairs = _graph(3, 300, 900) + [(f"c{i}", f"c{i + 1}") for i in range(200)] + [(f"x{g}", f"y{g}") for g in range(20)]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    want = {n: len(s) for n, s in _within(pairs, 3).items()}
+    nodes, masks, went = df.select(F.col("dst").alias("node")).distinct(), propagate._by_masks, []
+    monkeypatch.setattr(propagate, "_by_masks", lambda pairs, *a: (went.append(pairs.count()), masks(pairs, *a))[1])
+    for most, rounds, left in ((500, 12, 901), (10**6, 1, None), (0, 12, len(pairs))):
+        monkeypatch.setattr(propagate.parts, "ARCS", most)
+        monkeypatch.setattr(propagate.parts, "ROUNDS", rounds)
+        assert dict(propagate.reach_counts(df, nodes, 3).collect()) == want
+        assert left is None or abs(went[-1] - left) <= 5
