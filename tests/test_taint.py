@@ -61,3 +61,25 @@ def test_sources_that_share_states_share_rows(spark, monkeypatch):
     assert {tuple(r["path"]) for r in found} == {(f"p::s{i}", "p::l0_0", "p::l1_0", "p::l2_0", "p::l3_0", "p::exec") for i in range(200)}
     blocks = searched[0].select("block").distinct().count()
     assert sum(level.count() for level in searched[1:]) <= 41 * blocks
+
+
+def test_parts_of_a_graph_need_no_rounds(spark, monkeypatch):
+    """Flows of parts are those of the rounds, paths too; large parts still go by rounds."""
+    names, pairs = [], []
+    for g in range(4):
+        n, p = _graph(10 + g, 25, 45)
+        names += [f"{x}_{g}" for x in n[:6]]
+        pairs += [(f"{a}_{g}", f"{b}_{g}") for a, b in p]
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in pairs], "src string, dst string, edge_type string").repartition(3)
+    seeds = spark.createDataFrame([(x,) for x in [*names, "p::none"]], "node string")
+    rows = lambda: sorted(map(str, taint.flows(edges, seeds, SINKS, CLEANS, 5).collect()))
+    want = rows()
+    monkeypatch.setattr(taint, "LEAST", 0)
+    monkeypatch.setattr(taint.parts, "FEW", 1)
+    monkeypatch.setattr(taint, "SOURCES", 4)
+    monkeypatch.setattr(taint, "ROWS", 10)
+    with monkeypatch.context() as m:
+        m.setattr(taint, "_search", None)
+        assert rows() == want and want
+    monkeypatch.setattr(taint.parts, "ARCS", 40)
+    assert rows() == want
