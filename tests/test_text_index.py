@@ -147,3 +147,26 @@ def test_reading_back_shuffles_no_postings(spark, tmp_path):
     text_index.extend(spark.createDataFrame([(3, "other"), (3, "older")], "id long, text string"), path, 2)
     now = text_index.entries(spark, path)
     assert now.count() == 39 and [r["term"] for r in now.filter("doc = 3").collect()] == ["other"]
+
+
+def test_copies_of_texts_are_scored_once(spark, tmp_path, monkeypatch):
+    """Six texts, sixty times each, with a word of its own each: blocks meet six documents and six
+    queries; of equal scores the first keys are kept, and words of few documents count."""
+    texts = ["red fox", "red red cat", "blue fox", "blue cat dog", "dog", "red blue dog"]
+    held = {i: f"{texts[i % 6]} own{i}" + (" few" if i in (77, 203) else "") for i in range(360)}
+    path = str(tmp_path / "index")
+    text_index.extend(_rows(spark, list(held.items())), path, 0)
+    met, blocks = [], text_index.Index._met
+    monkeypatch.setattr(text_index.Index, "_met", lambda self, q, d, k: (met.append((q.select("q").distinct().count(), d.select("doc").distinct().count())), blocks(self, q, d, k))[1])
+    asked = {q: held[q].split() for q in range(0, 360, 20)} | {203: held[203].split(), 1000: ["own5", "few"]}
+    index = text_index.Index(spark, path)
+    rows = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "q long, term string")
+    got = {}
+    for r in index.best(rows, 7).collect():
+        got.setdefault(r["q"], []).append((r["doc"], r["score"]))
+    for q, ts in asked.items():
+        want = _bm25(held, ts, 7)
+        mine = sorted(got[q], key=lambda r: (-r[1], r[0]))
+        assert [d for d, _ in mine] == [d for d, _ in want] and [s for _, s in mine] == pytest.approx([s for _, s in want])
+    # the two documents with a word more are longer: classes of their own
+    assert met[0][0] <= 6 and met[0][1] <= 8
