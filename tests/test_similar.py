@@ -131,3 +131,31 @@ def test_few_items_that_all_share_go_by_blocks(spark, monkeypatch):
         monkeypatch.setattr(similar, "CHEAPER", 20)
         assert found[-1] == found[-2] and found[-1]
     assert len(blocks) == 3
+
+
+def test_blocks_get_numbers_for_callees(spark, monkeypatch):
+    """A row goes to many tasks: callees are numbers there, unless two have the same number."""
+    f = spark.createDataFrame([("a", ["x", "y"]), ("b", ["y", "z"])], "fqn string, callees array<string>")
+    assert f.select(similar._short(f).alias("c")).dtypes == [("c", "array<int>")]
+    rows = dict(f.select("fqn", similar._short(f)).collect())
+    assert rows["a"][1] == rows["b"][0] and len({*rows["a"], *rows["b"]}) == 3
+    monkeypatch.setattr(similar.F, "hash", lambda c: F.lit(1))
+    assert f.select(similar._short(f).alias("c")).dtypes == [("c", "array<string>")]
+
+
+def test_short_rows_keep_odd_names(spark):
+    """Names whose lower case is another, and numbers or names for callees, give the same pairs."""
+    names = ["Get_User", "get_user", "GET_user_2", "ÄB_c", "äb_c_d", "_", "__", "x_X", "x"]
+    f = spark.createDataFrame([(f"p::{i}", n, ["a", "b", "c"][: 1 + i % 3]) for i, n in enumerate(names * 3)], "fqn string, name string, callees array<string>")
+    got = sorted(map(tuple, similar._by_blocks(f, 0.5).collect()))
+    low = lambda i: names[i % 9].lower()
+    toks = lambda n: {w for w in n.split("_") if w}
+
+    def alike(i, j):
+        a, b = low(i), low(j)
+        name = 1.0 if a == b else 0.8 if a in b or b in a else len(toks(a) & toks(b)) / len(toks(a) | toks(b)) if toks(a) and toks(b) else 0.0
+        x, y = 1 + (i % 9 + i // 9 * 9) % 3, 1 + (j % 9 + j // 9 * 9) % 3
+        return round(0.3 * name + 0.7 * min(x, y) / max(x, y), 6)
+
+    want = sorted((*sorted((f"p::{i}", f"p::{j}")), alike(i, j)) for i in range(27) for j in range(i + 1, 27) if alike(i, j) >= 0.5)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
