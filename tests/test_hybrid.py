@@ -165,3 +165,31 @@ def test_search_equals_a_plain_version(spark, tmp_path):
         want = [best[i] for i in _plain_mmr(best, [score[i] for i in best], like, 8, hybrid.BALANCE)]
         assert [i for i, _ in got[q]] == want
         assert [s for _, s in got[q]] == pytest.approx([score[i] for i in want], abs=1e-6)
+
+
+def test_vectors_of_unlike_lengths(spark, tmp_path):
+    """What a vector has not counts as 0; no row is lost, and longer queries are no error."""
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=2 + i % 3)]) for i in range(60)]
+    vectors.build(_frame(spark, rows), str(tmp_path / "v"))
+    asked = [(q, v) for q, v in rows[::7]] + [(100, [1.0, 0.5, -1.0, 2.0, 1.0, 0.1])]
+    got = {}
+    for r in vectors.Index(spark, str(tmp_path / "v")).knn(_frame(spark, asked).select(F.col("id").alias("q"), "vector"), 5, probes=10**6).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["id"], r["cosine"]))
+    wide = lambda v: np.pad(np.array(v, np.float32).astype(float), (0, 6 - len(v)))
+    for q, v in asked:
+        like = {i: wide(x) @ wide(v) / np.linalg.norm(wide(x)) / np.linalg.norm(wide(v)) for i, x in rows}
+        want = sorted(like, key=lambda i: (-round(like[i], 9), i))[:5]
+        assert [i for i, _ in got[q]] == want and [c for _, c in got[q]] == pytest.approx([like[i] for i in want])
+
+
+def test_equal_cosines_of_many_parts_are_in_the_order_of_keys(spark, tmp_path, monkeypatch):
+    """Copies over several parts and blocks: the first keys of the nearest, each once."""
+    for name, n in (("CHUNK", 20), ("PART", 50), ("BLOCK", 8), ("STRIP", 3)):
+        monkeypatch.setattr(vectors, name, n)
+    kinds = [[1.0, 0.0, 0.1], [0.0, 1.0, 0.2], [0.5, 0.5, -1.0]]
+    df = _frame(spark, [(i, kinds[i % 3]) for i in range(300)])
+    vectors.build(df, str(tmp_path / "v"))
+    got = {}
+    for r in vectors.Index(spark, str(tmp_path / "v")).knn(_asked(df, list(range(0, 300, 10))), 4, probes=10**6).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append(r["id"])
+    assert got == {q: [q % 3 + 3 * i for i in range(4)] for q in range(0, 300, 10)}
